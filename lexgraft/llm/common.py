@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: ASCII capitals to small letters, on UTF-8 bytes; no byte of a longer sequence is touched.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Java pattern of a word: what stands between space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -31,11 +32,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read again: its lineage is cut and its rows outlive executors."""
+def written(df: DataFrame, name: str, conf: dict[str, str] | None = None) -> DataFrame:
+    """df as a table in the shared folder, read again: its lineage is cut and its rows outlive executors.
+
+    conf: settings that hold while it is written.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf = {CLEAN_UP: "true"} | (conf or {})  # the shuffle files go as soon as the table is there
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df.select("*").write.parquet(path)  # planned under these settings
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,6 +68,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     joins have plain shuffles on either side, so a node with very many links can be split.
     """
     links = written(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
+    if links.isEmpty():
+        return links.select(F.col("u").alias("node"), F.col("v").alias("label"))
     labels = written(links.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("label")), "labels")
     for _ in range(rounds):
         told = links.join(labels.withColumnRenamed("node", "u"), "u").groupBy(F.col("v").alias("node")).agg(F.min("label").alias("heard"))

@@ -5,10 +5,11 @@ A fingerprint of 64 bits is cut into radius // 2 + 1 segments. Of two fingerprin
 one bit taken out. Every fingerprint emits its 64 variants (one for each bit); equal variants are joined
 and each pair is verified on all 64 bits.
 
-Copies collapse first: everything after the fingerprints works on distinct ones. In each variant's bucket
-all are linked to the bucket's least fingerprint where near enough; only buckets that still hold more than
-one component go on to a join of pairs. No link between components is lost, and groups of near copies
-never become all their pairs.
+Copies collapse first: everything after the fingerprints works on distinct ones. The pairs of buckets of up
+to SMALL fingerprints are compared one by one. In larger buckets all are first linked to the bucket's least
+fingerprint where near enough; those that still hold more than one component go on to a join of pairs of
+different components. No link between components is lost, and large groups of near copies never become all
+their pairs.
 
 Results: nulls count as empty texts, which have fingerprint zero and link like any other. Rows that repeat
 a doc_id keep a row each. A null doc_id is never a component's name unless all ids in it are null.
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from lexgraft.llm.common import LOWER, components, hamming, table, written
 
 BLOCK = 1 << 14
+SMALL = 64
 
 
 def fingerprint(text: str | None, width: int) -> int:
@@ -79,16 +81,18 @@ def clusters(prints: DataFrame, radius: int = 4) -> DataFrame:
     keyed = distinct.select("fp", F.explode(F.array(*variants(radius))).alias("key"))
     bucket = Window.partitionBy("key")
     shared = keyed.withColumn("lead", F.min("fp").over(bucket)).withColumn("size", F.count("fp").over(bucket)).filter("size > 1")
-    shared = written(shared.select("key", "fp", "lead"), "shared")
-    led = shared.filter((F.col("fp") != F.col("lead")) & (hamming("fp", "lead") <= radius)).select(F.col("fp").alias("u"), F.col("lead").alias("v")).distinct()
-    label = components(led)
-    known = shared.select("key", "fp").join(label.withColumnRenamed("node", "fp"), "fp", "left")
+    shared = written(shared, "shared")
+    small, large = shared.filter(F.col("size") <= SMALL).select("key", "fp"), shared.filter(F.col("size") > SMALL)
+    direct = small.join(small.select("key", F.col("fp").alias("fp_2")), "key").filter((F.col("fp") < F.col("fp_2")) & (hamming("fp", "fp_2") <= radius))
+    led = large.filter((F.col("fp") != F.col("lead")) & (hamming("fp", "lead") <= radius))
+    label = components(direct.select(F.col("fp").alias("u"), F.col("fp_2").alias("v")).union(led.select("fp", "lead")))
+    known = large.select("key", "fp").join(label.withColumnRenamed("node", "fp"), "fp", "left")
     known = known.select("key", "fp", F.coalesce("label", "fp").alias("label"))
     open_ = known.withColumn("low", F.min("label").over(bucket)).withColumn("high", F.max("label").over(bucket))
     open_ = written(open_.filter("low <> high").select("key", "fp", "label"), "open")
     other = open_.select("key", F.col("fp").alias("fp_2"), F.col("label").alias("label_2"))
     pairs = open_.join(other, "key").filter((F.col("fp") < F.col("fp_2")) & (F.col("label") != F.col("label_2")) & (hamming("fp", "fp_2") <= radius))
-    top = components(pairs.select(F.col("label").alias("u"), F.col("label_2").alias("v")).distinct())
+    top = components(pairs.select(F.col("label").alias("u"), F.col("label_2").alias("v")))
     # distinct fingerprint -> label of the first pass -> label of the second
     one = written(distinct.join(label.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label")), "labelled")
     two = one.join(top.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left")
