@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexgraft.llm import simhash
+from lexgraft.llm import lines, mixing, simhash
 
-MODULES = (simhash,)
+MODULES = (mixing, lines, simhash)
 
 
 def queries() -> dict:
