@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexgraft.llm import chat, lines, mixing, secrets, simhash
+from lexgraft.llm import chat, decontaminate, lines, mixing, secrets, simhash
 
-MODULES = (mixing, lines, simhash, secrets, chat)
+MODULES = (mixing, lines, decontaminate, simhash, secrets, chat)
 
 
 def queries() -> dict:
