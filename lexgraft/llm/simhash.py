@@ -59,12 +59,25 @@ def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_c
     return ready.mapInArrow(run, "id long, fp long")
 
 
-def variants(radius: int) -> list[Column]:
-    """For each of the 64 bits: its segment without it, and the bit's number in the low byte's place."""
+def segments(radius: int) -> list[tuple[int, int]]:
     n = radius // 2 + 1
     cuts = [64 * i // n for i in range(n + 1)]
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
+def linked(radius: int) -> Column:
+    """Whether fp and fp_2 are near, and key is the first variant that they share: so a pair is found once."""
+    differ, bit = F.col("fp").bitwiseXOR(F.col("fp_2")), F.lit(64)
+    for low, high in reversed(segments(radius)):
+        part = F.shiftrightunsigned(differ, low).bitwiseAND((1 << (high - low)) - 1)
+        bit = F.when(F.bit_count(part) <= 1, low + F.bit_count(F.greatest(part, F.lit(1)) - 1)).otherwise(bit)
+    return (F.bit_count(differ) <= radius) & (F.col("key").bitwiseAND(63) == bit)
+
+
+def variants(radius: int) -> list[Column]:
+    """For each of the 64 bits: its segment without it, and the bit's number in the lowest six."""
     out = []
-    for low, high in zip(cuts, cuts[1:], strict=False):
+    for low, high in segments(radius):
         segment = F.shiftrightunsigned("fp", low).bitwiseAND((1 << (high - low)) - 1)
         for bit in range(low, high):
             value = segment.bitwiseAND(F.lit(((1 << (high - low)) - 1) & ~(1 << (bit - low))))
@@ -83,7 +96,7 @@ def clusters(prints: DataFrame, radius: int = 4) -> DataFrame:
     shared = keyed.withColumn("lead", F.min("fp").over(bucket)).withColumn("size", F.count("fp").over(bucket)).filter("size > 1")
     shared = written(shared, "shared")
     small, large = shared.filter(F.col("size") <= SMALL).select("key", "fp"), shared.filter(F.col("size") > SMALL)
-    direct = small.join(small.select("key", F.col("fp").alias("fp_2")), "key").filter((F.col("fp") < F.col("fp_2")) & (hamming("fp", "fp_2") <= radius))
+    direct = small.join(small.select("key", F.col("fp").alias("fp_2")), "key").filter((F.col("fp") < F.col("fp_2")) & linked(radius))
     led = large.filter((F.col("fp") != F.col("lead")) & (hamming("fp", "lead") <= radius))
     label = components(direct.select(F.col("fp").alias("u"), F.col("fp_2").alias("v")).union(led.select("fp", "lead")))
     known = large.select("key", "fp").join(label.withColumnRenamed("node", "fp"), "fp", "left")
@@ -91,7 +104,7 @@ def clusters(prints: DataFrame, radius: int = 4) -> DataFrame:
     open_ = known.withColumn("low", F.min("label").over(bucket)).withColumn("high", F.max("label").over(bucket))
     open_ = written(open_.filter("low <> high").select("key", "fp", "label"), "open")
     other = open_.select("key", F.col("fp").alias("fp_2"), F.col("label").alias("label_2"))
-    pairs = open_.join(other, "key").filter((F.col("fp") < F.col("fp_2")) & (F.col("label") != F.col("label_2")) & (hamming("fp", "fp_2") <= radius))
+    pairs = open_.join(other, "key").filter((F.col("fp") < F.col("fp_2")) & (F.col("label") != F.col("label_2")) & linked(radius))
     top = components(pairs.select(F.col("label").alias("u"), F.col("label_2").alias("v")))
     # distinct fingerprint -> label of the first pass -> label of the second
     one = written(distinct.join(label.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label")), "labelled")
