@@ -44,11 +44,21 @@ def written(df: DataFrame, name: str, conf: dict[str, str] | None = None) -> Dat
     try:
         for k, v in conf.items():
             spark.conf.set(k, v)
-        df.select("*").write.parquet(path)  # planned under these settings
+        df.select("*").write.option("compression", "zstd").parquet(path)  # planned under these settings
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.scratch)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def crc_mod(column: str, by: int) -> Column:

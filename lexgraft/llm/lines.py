@@ -5,11 +5,11 @@ then line number) has a Jaccard similarity of `threshold` or more with it. Lines
 words are never compared and never removed.
 
 1. Equal sets collapse to their first line; all others of a set are removed.
-2. The words of a set are ordered by rarity: the corpus's `common` most frequent words come last, the others
-   by length, longest first, then hash. Any fixed order is exact; it only decides how many candidates there are.
-   A lookup of every word's own count would have to shuffle all words of all lines twice.
+2. The words of a set are ordered by rarity, for which their length stands (long words are the rare ones), then
+   by hash. Any fixed order is exact; it only decides how many candidates there are. Counts of all words would
+   have to be shuffled to all lines and back, which the disk does not hold at this size of vocabulary.
 3. Two sets of the given similarity share a word of their prefixes. Rows (word of the prefix, set) are grouped
-   by word; length, position and a 128-bit parity bitmap (a lower bound of the sets' difference) rule pairs out.
+   by word; length, position and a parity bitmap of 96 bits (a lower bound of the sets' difference) rule pairs out.
 4. One earlier witness removes a line. In each group the first line leads; those near it by the filters are
    paired with it alone, the others choose their own leader, LEADERS times over. Later leaders and what is left
    are compared with every earlier line of the group. So a group of near copies makes pairs in proportion to its size.
@@ -26,32 +26,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexgraft.llm.common import SPACE, table, written
+from lexgraft.llm.common import SPACE, dropped, table, written
 
-LEADERS = 4
+LEADERS = 3
 #: Asks for a Bloom filter of the wanted ids on the scan of the documents, before their texts are shuffled.
 BLOOM = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
-#: A word's code: its rarity by length in bits 56 to 61, its hash in the 56 below; bit 62 marks the most frequent.
+#: A word's code: its rarity by length in bits 56 to 61, its hash in the 56 below.
 CODE = f"((63L - least(length(w), 63)) << 56) | (xxhash64(w) & {(1 << 56) - 1}L)"
-MARK = 1 << 62
+#: Words of fewer letters are in the second part of the bitmap.
+LONG = 6
+#: A row for a word of a set's prefix: the set's first line, (line, size, place in the prefix) in one number, the bitmap.
+ROW = ("id", "meta", "b1", "b2")
 
 
 def words(text: str) -> str:
     return f"array_remove(split(lower({text}), '{SPACE.replace(chr(92), chr(92) * 2)}'), '')"
 
 
-def frequent(docs: DataFrame, text_col: str, common: int) -> list[int]:
-    """Codes of the `common` most frequent words of all texts, counted over all documents."""
-    counts = docs.select(F.explode(F.expr(words(f"`{text_col}`"))).alias("w")).groupBy(F.expr(CODE).alias("code")).count()
-    return [r.code for r in counts.orderBy(F.desc("count"), "code").limit(common).collect()]
-
-
-def coded(lines: DataFrame, marks: list[int]) -> DataFrame:
+def coded(lines: DataFrame) -> DataFrame:
     """lines (.., words: string) with `codes`: the line's distinct words, the rarest first."""
-    codes = f"transform(array_distinct({words('words')}), w -> {CODE})"
-    if marks:
-        codes = f"transform({codes}, k -> IF(k IN ({', '.join(f'{k}L' for k in marks)}), k | {MARK}L, k))"
-    return lines.withColumn("codes", F.sort_array(F.expr(codes))).drop("words")
+    return lines.withColumn("codes", F.sort_array(F.array_distinct(F.expr(f"transform({words('words')}, w -> {CODE})")))).drop("words")
 
 
 def all_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
@@ -66,33 +60,37 @@ def long_enough(min_words: int) -> str:
 
 
 def near(x: str, y: str, t: float) -> Column:
-    """Whether the filters leave the pair of structs (n, pos, b1, b2): by length, position and bitmap."""
-    c = F.col
-    n = c(f"{x}.n") + c(f"{y}.n")
-    need = F.ceil(n * (t / (1 + t)) - 1e-9)
-    length = F.least(c(f"{x}.n"), c(f"{y}.n")) >= t * F.greatest(c(f"{x}.n"), c(f"{y}.n")) - 1e-9
-    place = F.least(c(f"{x}.n") - c(f"{x}.pos"), c(f"{y}.n") - c(f"{y}.pos")) >= need
-    differ = F.bit_count(c(f"{x}.b1").bitwiseXOR(c(f"{y}.b1"))) + F.bit_count(c(f"{x}.b2").bitwiseXOR(c(f"{y}.b2")))
-    return length & place & (differ <= n - 2 * need)
+    """Whether the filters leave the pair of rows x and y: by length, position and bitmap."""
+    part = lambda r, low: F.shiftright(F.col(f"{r}.meta"), low).bitwiseAND(F.lit((1 << 20) - 1))
+    nx, ny = part(x, 20), part(y, 20)
+    need = F.ceil((nx + ny) * (t / (1 + t)) - 1e-9)
+    length = F.least(nx, ny) >= t * F.greatest(nx, ny) - 1e-9
+    place = F.least(nx - part(x, 0), ny - part(y, 0)) >= need
+    differ = F.bit_count(F.col(f"{x}.b1").bitwiseXOR(F.col(f"{y}.b1"))) + F.bit_count(F.col(f"{x}.b2").bitwiseXOR(F.col(f"{y}.b2")).cast("long").bitwiseAND(F.lit((1 << 32) - 1)))
+    return length & place & (differ <= nx + ny - 2 * need)
+
+
+def line_of(x: str) -> Column:
+    return F.shiftright(F.col(f"{x}.meta"), 40).cast("int")
 
 
 def earlier(x: str, y: str) -> Column:
     """Whether y's place is before x's; a null id is before all others."""
-    return F.struct(f"{y}.id", f"{y}.line") < F.struct(f"{x}.id", f"{x}.line")
+    return F.struct(f"{y}.id", line_of(y)) < F.struct(f"{x}.id", line_of(x))
 
 
 def pair() -> list[Column]:
-    return [F.col("x.id").alias("id"), F.col("x.line").alias("line"), F.col("y.id").alias("id_2"), F.col("y.line").alias("line_2")]
+    return [F.col("x.id").alias("id"), line_of("x").alias("line"), F.col("y.id").alias("id_2"), line_of("y").alias("line_2")]
 
 
-def verified(docs: DataFrame, pairs: DataFrame, marks: list[int], t: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def verified(docs: DataFrame, pairs: DataFrame, t: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(the places (id, line) that a pair proves to be like an earlier line; the codes by place)."""
     places = pairs.select("id", "line").unionByName(pairs.select(F.col("id_2").alias("id"), F.col("line_2").alias("line")))
     wanted = written(places.groupBy("id").agg(F.collect_set("line").alias("lines")), "wanted")
     texts = docs.select(F.col(id_col).alias("id_1"), F.col(text_col).alias("text"))
     met = texts.join(wanted.filter(F.size("lines") > 0), F.col("id_1").eqNullSafe(F.col("id")))
     found = met.select("id", F.explode("lines").alias("line"), F.split("text", "\n").alias("all"))
-    found = coded(found.select("id", "line", F.get("all", F.col("line")).alias("words")), marks)
+    found = coded(found.select("id", "line", F.get("all", F.col("line")).alias("words")))
     sets = written(found.groupBy("id", "line").agg(F.min("codes").alias("codes")), "sets", BLOOM)
     one = pairs.join(sets.withColumnsRenamed({"id": "i", "line": "l", "codes": "mine"}), F.col("id").eqNullSafe(F.col("i")) & (F.col("line") == F.col("l"))).drop("i", "l")
     two = one.join(sets.withColumnsRenamed({"id": "i", "line": "l"}), F.col("id_2").eqNullSafe(F.col("i")) & (F.col("line_2") == F.col("l")))
@@ -102,48 +100,58 @@ def verified(docs: DataFrame, pairs: DataFrame, marks: list[int], t: float, id_c
 
 
 def prefixed(codes: DataFrame, t: float) -> DataFrame:
-    """With n, the parity bitmaps b1 and b2, and the prefix of the codes."""
-    bit = "aggregate(codes, 0L, (a, k) -> IF((k & 64L) = {0}L, a ^ (1L << cast(k & 63L AS int)), a))"
-    n = F.size("codes")
-    return codes.select("*", n.alias("n"), F.expr(bit.format(0)).alias("b1"), F.expr(bit.format(64)).alias("b2"), F.slice("codes", F.lit(1), (n - F.ceil(n * t - 1e-9) + 1).cast("int")).alias("prefix"))
+    """codes (id, line, codes) with n, the bitmap b1 (64 bits, long words) and b2 (32 bits, short ones) and the prefix."""
+    n, cut = F.size("codes"), F.expr(f"size(filter(codes, k -> k < {(64 - LONG) << 56}L))")
+    bits = lambda codes, one, most: F.expr(f"aggregate({codes}, {one}, (a, k) -> a ^ ({one.replace('0', '1')} << cast(k & {most}L AS int)))")
+    codes = codes.select("*", n.alias("n"), cut.alias("cut"))
+    b1, b2 = bits("slice(codes, 1, cut)", "0L", 63), bits("slice(codes, cut + 1, n)", "0", 31)
+    return codes.select("*", b1.alias("b1"), b2.alias("b2"), F.slice("codes", F.lit(1), (n - F.ceil(n * t - 1e-9) + 1).cast("int")).alias("prefix")).drop("cut")
 
 
-def first_lines(docs: DataFrame, t: float = 0.8, min_words: int = 2, common: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def rows_of(sets: DataFrame) -> DataFrame:
+    """(sig, ROW) for each word of each prefix."""
+    rows = sets.select("id", "line", "n", "b1", "b2", F.posexplode("prefix").alias("pos", "code"))
+    meta = F.shiftleft(F.col("line").cast("long"), 40) + F.shiftleft(F.col("n").cast("long"), 20) + F.col("pos")
+    return rows.select(F.hash("code").alias("sig"), "id", meta.alias("meta"), "b1", "b2")
+
+
+def first_lines(docs: DataFrame, t: float = 0.8, min_words: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, line): the compared lines that stay, each the first of its kind."""
-    marks = frequent(docs, text_col, common)
-    sets = prefixed(coded(all_lines(docs, id_col, text_col, min_words), marks), t)
+    sets = prefixed(coded(all_lines(docs, id_col, text_col, min_words)), t)
     first = F.min(F.struct("id", "line", "n", "b1", "b2", "prefix")).alias("s")
     sets = written(sets.groupBy(F.xxhash64("codes").alias("h1"), F.xxhash64("codes", F.lit(1)).alias("h2")).agg(first).select("s.*"), "firsts")
-    rows = sets.select("id", "line", "n", "b1", "b2", F.posexplode("prefix").alias("pos", "sig"))
-    group = Window.partitionBy("sig")
-    rows = rows.select("sig", F.struct("id", "line", "n", "pos", "b1", "b2").alias("x")).withColumn("size", F.count("*").over(group)).filter("size > 1")
-    rows = rows.withColumn("y", F.lit(None).cast("struct<id:bigint,line:int,n:int,pos:int,b1:bigint,b2:bigint>")).withColumn("open", F.lit(True))
-    for _ in range(LEADERS):
-        rows = rows.withColumn("lead", F.min(F.when(F.col("open"), F.col("x"))).over(group))
-        leads = F.col("x") == F.col("lead")
-        meets = F.col("open") & ~leads & near("x", "lead", t)
-        rows = rows.withColumn("y", F.when(meets, F.col("lead")).otherwise(F.col("y"))).withColumn("open", F.coalesce(F.col("open") & ~leads & ~meets, F.lit(False)))
-    rows = written(rows.select("sig", "x", "y", (F.col("y").isNull() & (F.col("x") != F.min("x").over(group))).alias("open")), "grouped")
-    led = rows.filter("y IS NOT NULL").select(*pair())
-    others = rows.select("sig", F.col("x").alias("y"))
-    rest = rows.filter("open").select("sig", "x").join(others, "sig").filter(earlier("x", "y") & near("x", "y", t)).select(*pair())
+    group, x = Window.partitionBy("sig"), F.struct(*ROW)
+    rows = rows_of(sets).withColumns({"first": F.min(x).over(group), "size": F.count("*").over(group)}).filter("size > 1").drop("size")
+    rows = rows.withColumn("x", x).withColumn("lead", F.col("first")).withColumn("y", F.when(near("x", "lead", t) & (F.col("x") != F.col("lead")), F.col("lead")))
+    for _ in range(LEADERS - 1):  # of those that were near no leader so far, and were none, the first leads
+        free = F.col("y").isNull() & (x > F.col("lead"))
+        rows = rows.withColumn("next", F.min(F.when(free, x)).over(group))
+        rows = rows.withColumn("y", F.when(free & near("x", "next", t) & (F.col("x") != F.col("next")), F.col("next")).otherwise(F.col("y")))
+        rows = rows.withColumn("lead", F.coalesce("next", "lead")).drop("next")
+    rows = written(rows.select("sig", *ROW, "y", (F.col("y").isNull() & (x != F.col("first"))).alias("open")), "grouped")
+    led = rows.filter("y IS NOT NULL").select(x.alias("x"), "y").select(*pair())
+    others, probes = rows.select("sig", *ROW).alias("y"), rows.filter("open").select("sig", *ROW).alias("x")
+    rest = probes.join(others, F.col("x.sig") == F.col("y.sig")).filter(earlier("x", "y") & near("x", "y", t)).select(*pair())
     pairs = written(led.unionByName(rest).distinct(), "pairs")
-    hits, codes = verified(docs, pairs, marks, t, id_col, text_col)
+    hits, codes = verified(docs, pairs, t, id_col, text_col)
     on = lambda a, b: (a["id"].eqNullSafe(b["id"])) & (a["line"] == b["line"])
     tried = pairs.select("id", "line").distinct()
     failed = tried.join(hits, on(tried, hits), "left_anti")
     failed = written(codes.join(failed, on(codes, failed), "left_semi"), "failed")
-    again = prefixed(failed, t).select("id", "line", "n", "b1", "b2", F.posexplode("prefix").alias("pos", "sig"))
-    again = again.select("sig", F.struct("id", "line", "n", "pos", "b1", "b2").alias("x"))
-    more = again.join(others, "sig").filter(earlier("x", "y") & near("x", "y", t)).select(*pair()).distinct()
-    hits_2, _ = verified(docs, written(more, "pairs"), marks, t, id_col, text_col)
-    gone = written(hits.unionByName(hits_2), "gone")
-    return sets.select("id", "line").join(gone.withColumnsRenamed({"id": "i", "line": "l"}), F.col("id").eqNullSafe(F.col("i")) & (F.col("line") == F.col("l")), "left_anti")
-
-
-def dedup(docs: DataFrame, t: float = 0.8, min_words: int = 2, common: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    again = rows_of(prefixed(failed, t)).alias("x")
+    more = again.join(others, F.col("x.sig") == F.col("y.sig")).filter(earlier("x", "y") & near("x", "y", t)).select(*pair()).distinct()
+    more = written(more, "pairs")
+    dropped(rows, codes, pairs)
+    hits_2, codes = verified(docs, more, t, id_col, text_col)
+    gone = hits.unionByName(hits_2).withColumnsRenamed({"id": "i", "line": "l"})
+    stay = written(sets.select("id", "line").join(gone, F.col("id").eqNullSafe(F.col("i")) & (F.col("line") == F.col("l")), "left_anti"), "stay")
+    dropped(sets, codes, more, failed)
+    return stay
+
+
+def dedup(docs: DataFrame, t: float = 0.8, min_words: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with its columns, text_col without the removed lines, and n_lines, n_removed (int)."""
-    stay = first_lines(docs, t, min_words, common, id_col, text_col)
+    stay = first_lines(docs, t, min_words, id_col, text_col)
     stay = written(stay.groupBy(F.col("id").alias("__id")).agg(F.collect_list("line").alias("__stay")), "stay")
     met = docs.join(stay, docs[id_col].eqNullSafe(F.col("__id")), "left")
     lines = F.split(text_col, "\n")

@@ -66,4 +66,4 @@ def test_groups_with_more_kinds_than_leaders(spark):
         rows.append((k, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute(rows)
-    assert {r.doc_id: r.text for r in lines.dedup(df, common=0).collect()} == {k: want[i] for i, (k, _) in enumerate(rows)}
+    assert {r.doc_id: r.text for r in lines.dedup(df).collect()} == {k: want[i] for i, (k, _) in enumerate(rows)}
