@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexgraft.llm import chat, decontaminate, lines, mixing, secrets, simhash
+from lexgraft.llm import chat, decontaminate, lines, mixing, secrets, simhash, toxicity
 
-MODULES = (mixing, lines, decontaminate, simhash, secrets, chat)
+MODULES = (toxicity, mixing, lines, decontaminate, simhash, secrets, chat)
 
 
 def queries() -> dict:
