@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexgraft.llm import chat, decontaminate, lines, mixing, quality, secrets, simhash, toxicity
+from lexgraft.llm import brown, chat, decontaminate, lines, mixing, quality, secrets, simhash, toxicity
 
-MODULES = (toxicity, quality, mixing, lines, decontaminate, simhash, secrets, chat)
+MODULES = (toxicity, quality, mixing, lines, brown, decontaminate, simhash, secrets, chat)
 
 
 def queries() -> dict:
