@@ -12,7 +12,7 @@ words are never compared and never removed.
    by word; length, position and a parity bitmap of 96 bits (a lower bound of the sets' difference) rule pairs out.
 4. One earlier witness removes a line. In each group the first line leads; those near it by the filters are
    paired with it alone, the others choose their own leader, LEADERS times over. Later leaders and what is left
-   are compared with every earlier line of the group. So a group of near copies makes pairs in proportion to its size.
+   are compared with every earlier line of the group. Of its leaders a line is tried with the nearest. So a group of near copies makes pairs in proportion to its size.
 5. Pairs are verified on the words of their lines. Lines for which each leader fails are compared with every
    earlier line of their groups, so none is missed.
 
@@ -39,6 +39,14 @@ LONG = 6
 ROW = ("id", "meta", "b1", "b2")
 
 
+#: Stands for a null id: before all others, and equal to itself.
+NO_ID = -(1 << 63)
+
+
+def known_id(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+
+
 def words(text: str) -> str:
     return f"array_remove(split(lower({text}), '{SPACE.replace(chr(92), chr(92) * 2)}'), '')"
 
@@ -50,7 +58,7 @@ def coded(lines: DataFrame) -> DataFrame:
 
 def all_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """(id, line, words) of the lines that are compared."""
-    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("line", "words"))
+    lines = docs.select(known_id(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("line", "words"))
     return lines.filter(F.col("words").rlike(long_enough(min_words)))
 
 
@@ -59,15 +67,23 @@ def long_enough(min_words: int) -> str:
     return rf"(?:[^{space[1:-1]}]+{SPACE}){{{min_words - 1}}}[^{space[1:-1]}]"
 
 
+def part(x: str, low: int) -> Column:
+    return F.shiftright(F.col(f"{x}.meta"), low).bitwiseAND(F.lit((1 << 20) - 1))
+
+
+def differ(x: str, y: str) -> Column:
+    """At least so many words are in one of the sets alone."""
+    b2 = F.col(f"{x}.b2").bitwiseXOR(F.col(f"{y}.b2")).cast("long").bitwiseAND(F.lit((1 << 32) - 1))
+    return F.bit_count(F.col(f"{x}.b1").bitwiseXOR(F.col(f"{y}.b1"))) + F.bit_count(b2)
+
+
 def near(x: str, y: str, t: float) -> Column:
     """Whether the filters leave the pair of rows x and y: by length, position and bitmap."""
-    part = lambda r, low: F.shiftright(F.col(f"{r}.meta"), low).bitwiseAND(F.lit((1 << 20) - 1))
     nx, ny = part(x, 20), part(y, 20)
     need = F.ceil((nx + ny) * (t / (1 + t)) - 1e-9)
     length = F.least(nx, ny) >= t * F.greatest(nx, ny) - 1e-9
     place = F.least(nx - part(x, 0), ny - part(y, 0)) >= need
-    differ = F.bit_count(F.col(f"{x}.b1").bitwiseXOR(F.col(f"{y}.b1"))) + F.bit_count(F.col(f"{x}.b2").bitwiseXOR(F.col(f"{y}.b2")).cast("long").bitwiseAND(F.lit((1 << 32) - 1)))
-    return length & place & (differ <= nx + ny - 2 * need)
+    return length & place & (differ(x, y) <= nx + ny - 2 * need)
 
 
 def line_of(x: str) -> Column:
@@ -75,25 +91,21 @@ def line_of(x: str) -> Column:
 
 
 def earlier(x: str, y: str) -> Column:
-    """Whether y's place is before x's; a null id is before all others."""
+    """Whether y's place is before x's."""
     return F.struct(f"{y}.id", line_of(y)) < F.struct(f"{x}.id", line_of(x))
 
 
-def pair() -> list[Column]:
-    return [F.col("x.id").alias("id"), line_of("x").alias("line"), F.col("y.id").alias("id_2"), line_of("y").alias("line_2")]
-
-
 def verified(docs: DataFrame, pairs: DataFrame, t: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(the places (id, line) that a pair proves to be like an earlier line; the codes by place)."""
     places = pairs.select("id", "line").unionByName(pairs.select(F.col("id_2").alias("id"), F.col("line_2").alias("line")))
     wanted = written(places.groupBy("id").agg(F.collect_set("line").alias("lines")), "wanted")
-    texts = docs.select(F.col(id_col).alias("id_1"), F.col(text_col).alias("text"))
-    met = texts.join(wanted.filter(F.size("lines") > 0), F.col("id_1").eqNullSafe(F.col("id")))
+    texts = docs.select(known_id(id_col).alias("id"), F.col(text_col).alias("text"))
+    met = texts.join(wanted.filter(F.size("lines") > 0), "id")
     found = met.select("id", F.explode("lines").alias("line"), F.split("text", "\n").alias("all"))
     found = coded(found.select("id", "line", F.get("all", F.col("line")).alias("words")))
     sets = written(found.groupBy("id", "line").agg(F.min("codes").alias("codes")), "sets", BLOOM)
-    one = pairs.join(sets.withColumnsRenamed({"id": "i", "line": "l", "codes": "mine"}), F.col("id").eqNullSafe(F.col("i")) & (F.col("line") == F.col("l"))).drop("i", "l")
-    two = one.join(sets.withColumnsRenamed({"id": "i", "line": "l"}), F.col("id_2").eqNullSafe(F.col("i")) & (F.col("line_2") == F.col("l")))
+    one = pairs.join(sets.withColumnRenamed("codes", "mine"), ["id", "line"])
+    two = one.join(sets.withColumnsRenamed({"id": "id_2", "line": "line_2"}), ["id_2", "line_2"])
     both = F.size(F.array_intersect("mine", "codes"))
     hits = two.filter(both >= t * (F.size("mine") + F.size("codes") - both) - 1e-9).select("id", "line").distinct()
     return written(hits, "hits"), sets
@@ -121,31 +133,36 @@ def first_lines(docs: DataFrame, t: float = 0.8, min_words: int = 2, id_col: str
     first = F.min(F.struct("id", "line", "n", "b1", "b2", "prefix")).alias("s")
     sets = written(sets.groupBy(F.xxhash64("codes").alias("h1"), F.xxhash64("codes", F.lit(1)).alias("h2")).agg(first).select("s.*"), "firsts")
     group, x = Window.partitionBy("sig"), F.struct(*ROW)
-    rows = rows_of(sets).withColumns({"first": F.min(x).over(group), "size": F.count("*").over(group)}).filter("size > 1").drop("size")
+    all_rows = rows_of(sets)
+    rows = all_rows.withColumns({"first": F.min(x).over(group), "size": F.count("*").over(group)}).filter("size > 1").drop("size")
     rows = rows.withColumn("x", x).withColumn("lead", F.col("first")).withColumn("y", F.when(near("x", "lead", t) & (F.col("x") != F.col("lead")), F.col("lead")))
     for _ in range(LEADERS - 1):  # of those that were near no leader so far, and were none, the first leads
         free = F.col("y").isNull() & (x > F.col("lead"))
         rows = rows.withColumn("next", F.min(F.when(free, x)).over(group))
         rows = rows.withColumn("y", F.when(free & near("x", "next", t) & (F.col("x") != F.col("next")), F.col("next")).otherwise(F.col("y")))
         rows = rows.withColumn("lead", F.coalesce("next", "lead")).drop("next")
-    rows = written(rows.select("sig", *ROW, "y", (F.col("y").isNull() & (x != F.col("first"))).alias("open")), "grouped")
-    led = rows.filter("y IS NOT NULL").select(x.alias("x"), "y").select(*pair())
-    others, probes = rows.select("sig", *ROW).alias("y"), rows.filter("open").select("sig", *ROW).alias("x")
-    rest = probes.join(others, F.col("x.sig") == F.col("y.sig")).filter(earlier("x", "y") & near("x", "y", t)).select(*pair())
-    pairs = written(led.unionByName(rest).distinct(), "pairs")
+    rows = rows.filter(F.col("x") != F.col("first")).select("sig", "x", F.col("y").alias("led"))
+    # one join on the rows' partitioning: those with a leader meet it alone, the others every earlier row
+    others = all_rows.select(F.col("sig").alias("sig_2"), x.alias("y"))
+    free = F.col("led").isNull() & earlier("x", "y") & near("x", "y", t)
+    met = rows.join(others, (F.col("sig") == F.col("sig_2")) & (free | (F.col("y") == F.col("led"))))
+    place = lambda r: F.struct(F.col(f"{r}.id").alias("id"), line_of(r).alias("line"))
+    met = met.select(place("x").alias("x"), F.col("led").isNotNull().alias("led"), F.struct(differ("x", "y").alias("d"), place("y").alias("y")).alias("y"))
+    # a line that has leaders is tried with the one that looks nearest
+    best = met.groupBy("x").agg(F.min(F.when(F.col("led"), F.col("y"))).alias("one"), F.collect_set(F.when(~F.col("led"), F.col("y.y"))).alias("all"))
+    tries = F.when(F.col("one").isNotNull(), F.array("one.y")).otherwise(F.col("all"))
+    pairs = written(best.select("x", F.explode(tries).alias("y")).select("x.id", "x.line", F.col("y.id").alias("id_2"), F.col("y.line").alias("line_2")), "pairs")
     hits, codes = verified(docs, pairs, t, id_col, text_col)
-    on = lambda a, b: (a["id"].eqNullSafe(b["id"])) & (a["line"] == b["line"])
-    tried = pairs.select("id", "line").distinct()
-    failed = tried.join(hits, on(tried, hits), "left_anti")
-    failed = written(codes.join(failed, on(codes, failed), "left_semi"), "failed")
-    again = rows_of(prefixed(failed, t)).alias("x")
-    more = again.join(others, F.col("x.sig") == F.col("y.sig")).filter(earlier("x", "y") & near("x", "y", t)).select(*pair()).distinct()
-    more = written(more, "pairs")
-    dropped(rows, codes, pairs)
+    tried = pairs.select("id", "line").distinct().join(hits, ["id", "line"], "left_anti")
+    failed = written(codes.join(tried, ["id", "line"], "left_semi"), "failed")
+    again = written(rows_of(prefixed(failed, t)).select("sig", x.alias("x")), "again")
+    more = others.join(again.filter("sig IS NOT NULL AND sig >= -2147483648"), F.col("sig") == F.col("sig_2")).filter(earlier("x", "y") & near("x", "y", t))
+    more = more.select("x.id", line_of("x").alias("line"), F.col("y.id").alias("id_2"), line_of("y").alias("line_2")).distinct()
+    more = written(more, "pairs", BLOOM)
+    dropped(codes, pairs, again, failed)
     hits_2, codes = verified(docs, more, t, id_col, text_col)
-    gone = hits.unionByName(hits_2).withColumnsRenamed({"id": "i", "line": "l"})
-    stay = written(sets.select("id", "line").join(gone, F.col("id").eqNullSafe(F.col("i")) & (F.col("line") == F.col("l")), "left_anti"), "stay")
-    dropped(sets, codes, more, failed)
+    stay = written(sets.select("id", "line").join(hits.unionByName(hits_2), ["id", "line"], "left_anti"), "stay")
+    dropped(sets, codes, more)
     return stay
 
 
@@ -153,7 +170,7 @@ def dedup(docs: DataFrame, t: float = 0.8, min_words: int = 2, id_col: str = "do
     """docs with its columns, text_col without the removed lines, and n_lines, n_removed (int)."""
     stay = first_lines(docs, t, min_words, id_col, text_col)
     stay = written(stay.groupBy(F.col("id").alias("__id")).agg(F.collect_list("line").alias("__stay")), "stay")
-    met = docs.join(stay, docs[id_col].eqNullSafe(F.col("__id")), "left")
+    met = docs.join(stay, known_id(id_col) == F.col("__id"), "left")
     lines = F.split(text_col, "\n")
     short = lambda line: ~line.rlike(long_enough(min_words))
     kept = F.filter(lines, lambda line, i: short(line) | F.coalesce(F.array_contains("__stay", i), F.lit(False)))
