@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lexgraft.plans import lookups, texts
+from lexgraft.plans import lookups, rounds, texts
 from lexgraft.sources import tables
 
-MODULES = (texts, lookups)
+MODULES = (texts, lookups, rounds)
 
 
 def queries() -> dict:
