@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lexgraft.plans import lookups, rounds, texts
+from lexgraft.plans import filed, lookups, rounds, texts
 from lexgraft.sources import tables
 
-MODULES = (texts, lookups, rounds)
+MODULES = (texts, lookups, rounds, filed)
 
 
 def queries() -> dict:
