@@ -36,6 +36,14 @@ SQL = {
     "parse_h2_conj": _head("h2"),
     "parse_h4_head_noun": _head("h4"),
     "parse_h5_subject": _head("h5"),
+    "parse_h3_person": f"WITH clean AS (SELECT entry_id, string_split(lower({_CLEAN.format(g='raw')}), ' ') AS w FROM raw) SELECT entry_id, 'person' AS lemma FROM clean WHERE w[1] IN ('one', 'someone') AND list_contains(w, 'who')",
+    "parse_h6_existential": f"WITH {_PARSE} SELECT entry_id, text AS lemma FROM child WHERE rel IN ('prep', 'dep') AND root_tag = 'RB' AND tag = 'NN'",
+    "parse_h9_negated": "WITH w AS (SELECT entry_id, regexp_replace(split_part(raw, ' ', 2), '[;,]$', '') AS lemma FROM raw WHERE raw LIKE 'not %') SELECT entry_id, lemma FROM w WHERE lemma IN (SELECT lemma FROM sense WHERE pos = 'adjective')",
+    "parse_h11_infinitive": "WITH w AS (SELECT entry_id, regexp_extract(raw, '\\[\\[([a-z]+)\\]\\]', 1) AS lemma FROM raw WHERE lower(split_part(raw, ' ', 1)) = 'to') SELECT entry_id, lemma FROM w WHERE lemma IN (SELECT lemma FROM sense WHERE pos = 'noun')",
+    "adj_noun_candidates": """WITH w AS (SELECT entry_id, string_split(replace(regexp_extract(raw, '^(?:Of or r|R)elating to (.*)$', 1), ',', ''), ' ') AS w FROM raw WHERE regexp_matches(raw, '^(?:Of or r|R)elating to ')),
+        g AS (SELECT entry_id, [array_to_string(w[1:3], ' '), array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' '), w[1], w[2], w[3]] AS g FROM w),
+        u AS (SELECT entry_id, (generate_subscripts(g, 1) - 1)::INTEGER AS ord, unnest(g) AS lemma FROM g)
+        SELECT entry_id, ord, lemma FROM u WHERE lemma IN (SELECT lemma FROM sense WHERE pos = 'noun')""",
     "parse_h8_advmod": _head("h8"),
     "parse_h10_dep": _head("h10"),
     "parse_siblings": f"WITH {_PARSE} SELECT d.entry_id, h.text AS lemma, t.text AS sibling FROM dep d JOIN token h ON h.entry_id = d.entry_id AND h.tok = d.head JOIN token t ON t.entry_id = d.entry_id AND t.tok = d.dep WHERE d.rel = 'conj' AND h.tag = t.tag",
