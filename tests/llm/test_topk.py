@@ -61,3 +61,9 @@ def test_pruning_keeps_every_candidate_that_can_reach_the_best():
         assert set(np.flatnonzero(x @ q >= best)) <= set(at)
         cut += 80 - len(at)
     assert cut > 1000
+
+
+def test_query_equals_sql(spark, sf):
+    from tests import oracle
+
+    oracle.compare(spark, oracle.connect(sf), sf, topk.op7_topk, topk.SQL["op7_topk"])
