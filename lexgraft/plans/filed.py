@@ -25,6 +25,13 @@ def read_entries_jsonl(spark, d) -> DataFrame:
     return rows.select("entry_id", "lemma", "pos", F.col("glosses")[0].alias("gloss"), F.array_join(F.transform("relations", lambda r: r["target"]), ",").alias("targets"))
 
 
+def write_entries_jsonl(spark, d) -> DataFrame:
+    """K1: the written lines, as they stand in the files."""
+    path = files.scratch(spark)
+    files.write_entries(entries(spark, d), path)
+    return spark.read.text(path).select(F.get_json_object("value", "$.entry_id").cast("long").alias("entry_id"), F.col("value").alias("line"))
+
+
 def read_dump_entries(spark, d) -> DataFrame:
     """Pages of an XML dump, made of the marked-up glosses, read back as entries."""
     raw = S.raw(spark, d)
@@ -80,7 +87,7 @@ def round_loop(spark, d, rounds: int = 3) -> DataFrame:
     return known.groupBy("round").agg(F.count("*").alias("lemmas"))
 
 
-QUERIES = {f.__name__: f for f in (read_entries_jsonl, read_dump_entries, exceptions_in, load_lexicon, pluggable_similarity, round_loop)}
+QUERIES = {f.__name__: f for f in (read_entries_jsonl, write_entries_jsonl, read_dump_entries, exceptions_in, load_lexicon, pluggable_similarity, round_loop)}
 
 _WORDS = r"list_distinct(list_filter(list_transform(string_split_regex(trim(lower({g})), '\s+'), lambda t: regexp_extract(t, '^[[:punct:]]*([^[:punct:]\s]+)[[:punct:]]*$', 1)), lambda t: t <> ''))"
 SQL = {

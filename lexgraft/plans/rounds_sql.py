@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexgraft.plans.lookups_sql import _PROPOSALS, _VOTES
+from lexgraft.plans.lookups_sql import _FORMS, _PROPOSALS, _VOTES
 from lexgraft.plans.texts import _CLEAN
 
 _PARSE = """gw AS (SELECT entry_id, string_split(gloss, ' ') AS w FROM entry),
@@ -24,6 +24,9 @@ _ATTACHED = f"""{_PROPOSALS},
   merged AS (SELECT DISTINCT m.target AS synset_id, r.lemma FROM first_match m JOIN raw r USING (entry_id) WHERE m.op = 'merge' AND NOT EXISTS (SELECT 1 FROM sense s WHERE s.synset_id = m.target AND s.lemma = r.lemma))"""
 _HEADED = f"clean AS (SELECT entry_id, pos, {_CLEAN.format(g='raw')} AS g FROM raw)"
 
+_MEMBER = """member AS (SELECT lemma, genus, member, hypernym FROM (SELECT s.lemma, s.synset_id AS genus, m.src AS member, u.dst AS hypernym FROM sense s JOIN edge m ON m.pointer = '+' AND m.dst = s.synset_id
+    JOIN edge u ON u.pointer = '@' AND u.src = m.src WHERE s.sense_rank = 1 AND s.pos = 'noun') QUALIFY row_number() OVER (PARTITION BY lemma, genus ORDER BY member, hypernym) = 1)"""
+
 
 def _head(name: str) -> str:
     return f"WITH {_PARSE} SELECT entry_id, lemma FROM {name}"
@@ -61,6 +64,8 @@ SQL = {
     "verb_pattern": f"WITH {_HEADED}, h AS (SELECT entry_id, regexp_extract(g, '^[Tt]o (?:[a-z]+ly )?([a-z]+)', 1) AS head FROM clean WHERE pos = 'verb') SELECT entry_id, head, synset_id FROM h JOIN sense s ON s.lemma = head AND s.pos = 'noun' AND s.sense_rank = 1",
     "noun_pattern": f"WITH {_HEADED}, h AS (SELECT entry_id, regexp_extract(g, '^(?:A|An|The) ([a-z]+)(?: that| which|,)', 1) AS head FROM clean WHERE pos = 'noun') SELECT entry_id, head, synset_id FROM h JOIN sense s ON s.lemma = head AND s.pos = 'noun' AND s.sense_rank = 1",
     "adj_parataxis": "WITH p AS (SELECT entry_id, string_split(regexp_replace(raw, '^Of or relating to ', ''), ', ') AS parts FROM raw) SELECT entry_id, unnest(parts) AS word FROM p WHERE len(parts) >= 3",
+    "organism_member": f"WITH {_MEMBER} SELECT lemma, genus, member, hypernym FROM member",
+    "taxonomic_rule": f"WITH {_MEMBER}, n AS (SELECT entry_id, lemma AS own, regexp_extract(raw, '^(?:Any member of|A group of) the ([A-Za-z]+)', 1) AS noun FROM raw) SELECT entry_id, noun, genus, hypernym FROM n JOIN member ON own = lemma WHERE noun <> ''",
     "attach_new_synset": f"WITH {_ATTACHED} SELECT entry_id, target, slot FROM attached",
     "attach_modifier": f"WITH {_ATTACHED} SELECT entry_id, lemma, pos, CASE WHEN target IS NOT NULL THEN symbol END AS symbol, target FROM modified",
     "merge_lemmas": f"WITH {_ATTACHED} SELECT synset_id, lemma FROM merged",
@@ -69,6 +74,9 @@ SQL = {
     "enriched_lexicon": f"""WITH {_ATTACHED} SELECT lemma, synset_id::VARCHAR AS synset, 0 AS round FROM sense
         UNION ALL SELECT lemma, synset_id::VARCHAR, 1 FROM merged
         UNION ALL SELECT r.lemma, md5(r.pos || '|' || r.lemma || '|' || r.entry_id), 1 FROM attached JOIN raw r USING (entry_id)""",
+    "fuzzy_lookup_many": "WITH "
+    + _FORMS.replace("dkeys AS (SELECT lemma, pos, min(key_id) AS key_id FROM keys GROUP BY lemma, pos)", "dkeys AS (SELECT target AS lemma, 'noun' AS pos, entry_id AS key_id FROM relation)")
+    + " SELECT DISTINCT key_id AS entry_id, synset_id FROM fuzzy",
     "read_lexicon_lines": "WITH l AS (SELECT src, count(*) AS n FROM edge GROUP BY src) SELECT key AS synset_id, replace(lemma, ' ', '_') AS lemma, kind, coalesce(n, 0)::INTEGER AS links FROM parts LEFT JOIN l ON key = src",
     "noun_ngram_candidates": f"""WITH {_HEADED}, w AS (SELECT entry_id, string_split(regexp_extract(g, '^(?:A|An|The) ([a-z]+(?: [a-z]+)*)', 1), ' ') AS w FROM clean),
         c AS (SELECT entry_id, list_transform([3, 2, 1], lambda n: array_to_string(list_slice(w, 1, n), ' ')) AS g FROM w),
