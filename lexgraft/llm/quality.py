@@ -28,9 +28,13 @@ TREES, DEPTH, RATE, BINS, LEAST = 40, 3, 0.3, 24, 5
 THRESHOLD = 0.5
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a non-null text; shares are of its words or characters."""
-    n, words = F.length(text), F.regexp_count(text, F.lit(WORD))
+def sizes(text: Column) -> tuple[Column, Column]:
+    """Characters and words of a non-null text."""
+    return F.length(text), F.regexp_count(text, F.lit(WORD))
+
+
+def statistics(text: Column, n: Column, words: Column) -> dict[str, Column]:
+    """Statistics of a non-null text of n characters and so many words; shares are of these."""
     per = lambda count, of: F.when(of > 0, count / of).otherwise(0.0)
     seen = lambda pattern: F.regexp_count(text, F.lit(pattern))
     return {
@@ -149,7 +153,7 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str]) -> Rules:
 
 def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Rules:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    stats = statistics(text)
+    stats = statistics(text, *sizes(text))
     rows = sampled(docs.filter(F.length(text) <= TRAIN_CHARS), labels, label, TRAIN_ROWS, [c.cast("double").alias(f"__{n}") for n, c in stats.items()], id_col)
     x = np.array([[r[f"__{n}"] for n in stats] for r in rows]).reshape(len(rows), len(stats))
     return fit(x, np.array([r.y for r in rows], np.int64), list(stats))
@@ -157,10 +161,13 @@ def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col:
 
 def scored(docs: DataFrame, rules: Rules, text_col: str = "text", name: str = "score") -> DataFrame:
     """docs with all columns and the score of the whole text."""
-    stats = statistics(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     kept = [F.col(c) for c in docs.columns if c != name]
-    # columns of their own: the rules use each many times, and the optimizer would copy a struct's fields into every use
-    inner = docs.select(*kept, *(c.cast("double").alias(f"__{n}") for n, c in stats.items()))
+    # columns of their own at each step: what is used many times would else be worked out at every use
+    n, words = sizes(text)
+    sized = docs.select(*kept, n.alias("__n"), words.alias("__words"))
+    stats = statistics(text, F.col("__n"), F.col("__words"))
+    inner = sized.select(*kept, *(c.cast("double").alias(f"__{n}") for n, c in stats.items()))
     return inner.withColumn(name, rules.column({n: F.col(f"__{n}") for n in stats})).drop(*(f"__{n}" for n in stats))
 
 
