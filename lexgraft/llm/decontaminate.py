@@ -169,10 +169,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, id_col:
     return out if out is not None else spark.createDataFrame([], FOUND)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that meet no item; all columns stay. Rows without an id are tested too."""
-    found = written(leaks(docs, benchmark, threshold, id_col, text_col).select(F.col("doc_id").alias("__leak")).distinct(), "leaky")
-    return docs.join(found, docs[id_col].eqNullSafe(F.col("__leak")), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, text_col: str = "text") -> DataFrame:
+    """The rows of docs that meet no item; all columns stay. Each row is judged by its own text, whatever its id."""
+    spark, place = docs.sparkSession, docs.columns.index(text_col)
+    for n, part in enumerate(parts(benchmark, "item_id", "text")):
+        items = spark.sparkContext.broadcast(part)  # at most PART_WORDS words
+
+        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+            index = Index(items.value)
+            for batch in batches:
+                clean = [not (index.ids and index.matches(text.as_py(), threshold)) for text in batch.column(place)]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = (written(docs, "clean") if n else docs).mapInArrow(run, docs.schema)
+    return docs
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

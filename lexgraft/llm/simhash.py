@@ -122,13 +122,16 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, id_col: st
 
 
 def keep_one(docs: DataFrame, width: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is its component's least; all columns stay.
+    """One row of each component, the one with the least id (null ids last); all columns stay.
 
-    Rows that repeat a kept id all stay, as do rows without an id: they can't be told apart by it.
+    Rows are told apart by a number of their own, so null and repeated ids are rows like any other.
     """
-    found = clusters(fingerprints(docs, width, id_col, text_col), radius)
-    gone = written(found.filter("id <> component").select(F.col("id").alias(id_col)).distinct(), "gone")
-    return docs.join(gone, id_col, "left_anti")
+    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = clusters(fingerprints(numbered, width, "__row", text_col), radius)
+    ids = numbered.select(F.col("__row").alias("id"), F.col(id_col).alias("own"))
+    least = F.min(F.struct(F.col("own").isNull().alias("none"), "own", "id")).alias("place")
+    kept = found.join(ids, "id").groupBy("component").agg(least).select(F.col("place.id").alias("__row"))
+    return numbered.join(written(kept, "kept"), "__row", "left_semi").drop("__row")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,3 +79,14 @@ def test_block_tables_find_every_fingerprint_within_the_radius():
         y[pick.choice(64, bits, replace=False)] ^= 1
         a, b = np.packbits(x), np.packbits(y)
         assert (d._DISTANCE[a, b] <= d.RADIUS // d.BLOCKS).any()
+
+
+def test_clean_judges_rows_that_share_an_id_or_have_none_by_their_own_texts(spark, monkeypatch):
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(20))) for i in range(3)]
+    rows = [(None, f"before {items[0][1]} after"), (None, "a clean text without an id"), (None, None), (1, f"{items[2][1]} and more"), (1, "a clean text with the same id"), (2, "clean")]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for words in (d.PART_WORDS, 25):
+        monkeypatch.setattr(d, "PART_WORDS", words)
+        out = d.clean(df, bench)
+        assert out.columns == df.columns
+        assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, (r for i, r in enumerate(rows) if i not in (0, 3))))

@@ -79,3 +79,9 @@ def test_every_pair_within_the_radius_is_found(spark):
                     a, b = parent[i], parent[j]
                     parent = [min(a, b) if p in (a, b) else p for p in parent]
         assert {(r.id, r.component) for r in simhash.clusters(df, radius).collect()} == set(enumerate(parent))
+
+
+def test_keep_one_decides_by_row(spark):
+    rows = [(None, "no id and one copy"), (None, "no id and one copy"), (None, "a text of its own"), (1, "the same id"), (1, "another text"), (2, "THE same id")]
+    out = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, (rows[0], rows[2], rows[3], rows[4])))
