@@ -115,9 +115,17 @@ def word_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").filter("lang = 'en'")
     counts = docs.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).filter("word <> ''").groupBy("word").count()
     vectors = table(spark, sf_dir, "embeddings")
-    # as many words as vectors: the ranking sees these rows only
-    ranked = counts.orderBy(F.desc("count"), "word").limit(vectors.count())
-    ranked = ranked.withColumn("vec_id", (F.row_number().over(Window.orderBy(F.desc("count"), "word")) - 1).cast("long"))
+    # a word's place: the words of greater counts, those of its count whose first letters come before, those of the same
+    # first letters before it; the window without partitions sees one row for each different count
+    counts = counts.withColumn("start", F.substring("word", 1, 3))
+    groups = counts.groupBy("count", "start").agg(F.count("*").alias("n"))
+    down = Window.orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.partitionBy("count").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    greater = groups.groupBy("count").agg(F.sum("n").alias("n")).select("count", F.coalesce(F.sum("n").over(down), F.lit(0)).alias("greater"))
+    before = groups.select("count", "start", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("before")).join(greater, "count")
+    within = F.row_number().over(Window.partitionBy("count", "start").orderBy("word")) - 1
+    ranked = counts.withColumn("within", within).join(before, ["count", "start"])
+    ranked = ranked.select("word", (F.col("greater") + F.col("before") + F.col("within")).cast("long").alias("vec_id"))
     return ranked.join(vectors, "vec_id").select("word", F.col("embedding").alias("vec"))
 
 
