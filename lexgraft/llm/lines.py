@@ -1,24 +1,29 @@
 """Line dedup by an exact set-similarity join, in DataFrame operations only.
 
-A line is its set of lower-cased words. A line is removed if an earlier line of the corpus (by document id,
-then line number) has a Jaccard similarity of `threshold` or more with it. Lines of fewer than `min_words`
-words are never compared and never removed.
+A line is its set of lower-cased words. A line is removed if an earlier line of the corpus has a Jaccard
+similarity of `threshold` or more with it. Earlier goes by document id (null first), then by a hash of the text
+where rows share an id, then by line number. Lines of fewer than `min_words` words are never compared and never
+removed; lines without words never are in any case.
 
 1. Equal sets collapse to their first line; all others of a set are removed.
-2. The words of a set are ordered by rarity, for which their length stands (long words are the rare ones), then
-   by hash. Any fixed order is exact; it only decides how many candidates there are. Counts of all words would
-   have to be shuffled to all lines and back, which the disk does not hold at this size of vocabulary.
-3. Two sets of the given similarity share a word of their prefixes. Rows (word of the prefix, set) are grouped
-   by word; length, position and a parity bitmap of 96 bits (a lower bound of the sets' difference) rule pairs out.
-4. One earlier witness removes a line. In each group the first line leads; those near it by the filters are
-   paired with it alone, the others choose their own leader, LEADERS times over. Later leaders and what is left
-   are compared with every earlier line of the group. Of its leaders a line is tried with the nearest. So a group of near copies makes pairs in proportion to its size.
-5. Pairs are verified on the words of their lines. Lines for which each leader fails are compared with every
-   earlier line of their groups, so none is missed.
-
-Results: a null text stays null and counts no lines; empty texts stay; rows that repeat a doc_id and its text
-are treated alike (where such texts differ, they are judged together by line number); an empty table gives
-an empty one.
+2. Words are ordered by rarity. Every word of every distinct set is counted, in 2^21 buckets of its hash, so the
+   table of rarities has a fixed size (2 MB) for any corpus; within a rarity the hash decides. Any fixed order is
+   exact, the counts only decide how many candidates there are. A word whose bucket counts 1 is in one set only
+   and leads to nobody.
+3. Two sets of the given similarity share a word of their prefixes. The words before the first one that they share
+   are in one of the sets alone, so the two places of that word add up to no more than the difference that the
+   similarity allows. Length, these places and a parity bitmap (a lower bound of the difference) rule pairs out.
+4. One earlier witness removes a line. The words that many sets hold (HOT) first try each of their sets with the
+   group's earliest one; a set that is proved to repeat it needs no other witness and asks no more, but still
+   serves as one. So a group of near copies makes pairs in proportion to its size. Then every set that is still
+   open meets all earlier sets of its words' groups.
+5. Pairs are verified on the sets of whole hashes of 64 bits.
+
+Results: a null text stays null and counts no lines; empty texts stay; a text whose lines all go becomes empty.
+Rows that share an id or have none are told apart by their texts; of rows with the same id and the same text the
+first keeps its lines and the others are removed line by line like any repetition. An empty table gives an empty
+one. Very long lines and texts are worked on whole. Columns called n_lines or n_removed are replaced by dedup()
+and stay as they are in without_repeats().
 """
 
 from __future__ import annotations
@@ -28,157 +33,170 @@ from pyspark.sql import functions as F
 
 from lexgraft.llm.common import SPACE, dropped, table, written
 
-LEADERS = 3
-#: Asks for a Bloom filter of the wanted ids on the scan of the documents, before their texts are shuffled.
+#: Asks for a Bloom filter of the wanted sets on the scan of all sets, before their words are shuffled.
 BLOOM = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
-#: A word's code: its rarity by length in bits 56 to 61, its hash in the 56 below.
-CODE = f"((63L - least(length(w), 63)) << 56) | (xxhash64(w) & {(1 << 56) - 1}L)"
-#: Words of fewer letters are in the second part of the bitmap.
-LONG = 6
-#: A row for a word of a set's prefix: the set's first line, (line, size, place in the prefix) in one number, the bitmap.
-ROW = ("id", "meta", "b1", "b2")
-
-
-#: Stands for a null id: before all others, and equal to itself.
+#: The word counts have 2 ** BUCKET_BITS cells; they come together in chunks of 2 ** CHUNK_BITS.
+BUCKET_BITS, CHUNK_BITS = 21, 12
+#: A rarity is 4 * log2(count), so 28 stands for words in 128 sets or more; LEADERS rounds are held for those.
+RARITY_SHIFT, HOT, LEADERS = 56, 28, 2
+#: Stands for a null id: before all others.
 NO_ID = -(1 << 63)
+KEY = ("id", "m1", "m2")
+ROW = ("code", "set", "id", "n", "pos", "bits", "open")
 
 
-def known_id(id_col: str) -> Column:
-    return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-
-
-def words(text: str) -> str:
-    return f"array_remove(split(lower({text}), '{SPACE.replace(chr(92), chr(92) * 2)}'), '')"
-
-
-def coded(lines: DataFrame) -> DataFrame:
-    """lines (.., words: string) with `codes`: the line's distinct words, the rarest first."""
-    return lines.withColumn("codes", F.sort_array(F.array_distinct(F.expr(f"transform({words('words')}, w -> {CODE})")))).drop("words")
-
-
-def all_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(id, line, words) of the lines that are compared."""
-    lines = docs.select(known_id(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("line", "words"))
-    return lines.filter(F.col("words").rlike(long_enough(min_words)))
+def keys(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """What tells a row's document apart: its id, and its text by a hash of 128 bits."""
+    text = F.col(text_col).cast("string")
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("m1"), F.xxhash64(F.lit(1), text).alias("m2")]
 
 
 def long_enough(min_words: int) -> str:
-    space = SPACE[:-1]
-    return rf"(?:[^{space[1:-1]}]+{SPACE}){{{min_words - 1}}}[^{space[1:-1]}]"
-
-
-def part(x: str, low: int) -> Column:
-    return F.shiftright(F.col(f"{x}.meta"), low).bitwiseAND(F.lit((1 << 20) - 1))
+    """Pattern of a line of at least so many words."""
+    word = f"[^{SPACE[1:-2]}]"
+    return rf"(?:{word}+{SPACE}){{{max(min_words, 1) - 1}}}{word}"
+
+
+def hashed_words(line: str) -> Column:
+    """The sorted distinct hashes of a line's lower-cased words."""
+    low = F.lower(line)
+    odd = F.contains(low, F.lit("\t")) | F.contains(low, F.lit("\x0b")) | F.contains(low, F.lit("\x0c")) | F.contains(low, F.lit("\r"))
+    parts = F.when(odd, F.split(low, SPACE)).otherwise(F.split(low, " "))  # a single blank needs no pattern
+    return F.sort_array(F.array_remove(F.array_distinct(F.transform(parts, lambda w: F.xxhash64(w))), F.xxhash64(F.lit(""))))
+
+
+def distinct_sets(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """(set: its number, id, m1, m2, line, codes) of the first line of each distinct set of words, as a table."""
+    lines = docs.select(*keys(docs, id_col, text_col), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("line", "words"))
+    lines = lines.filter(F.col("words").rlike(long_enough(min_words))).select(*KEY, "line", hashed_words("words").alias("codes"))
+    lines = lines.withColumns({"h1": F.xxhash64("codes"), "h2": F.xxhash64(F.lit(1), "codes")})
+    # each task keeps one line of a set before the shuffle, so a line that is everywhere is no group of its own
+    first = F.row_number().over(Window.partitionBy("h1", "h2").orderBy(*KEY, "line"))
+    lines = lines.withColumn("first", first).filter("first = 1")
+    return written(lines.select(F.monotonically_increasing_id().alias("set"), *KEY, "line", "codes"), "sets")
+
+
+def rarities(sets: DataFrame) -> DataFrame:
+    """One row with an array: the rarity of each bucket of words, by how many sets hold a word of it."""
+    bucket = lambda c: c.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int")
+    ones = sets.select(F.explode("codes").alias("c")).select(bucket(F.col("c")).alias("bucket"), F.lit(1).alias("n"))
+    none = sets.sparkSession.range(1 << BUCKET_BITS).select(F.col("id").cast("int").alias("bucket"), F.lit(0).alias("n"))
+    counts = ones.unionAll(none).groupBy("bucket").agg(F.sum("n").alias("n"))
+    rarity = F.least(F.floor(4 * F.log2(F.greatest("n", F.lit(1)))), F.lit(126)).cast("tinyint")
+    cells = F.sort_array(F.collect_list(F.struct("bucket", rarity.alias("rarity"))))["rarity"]
+    chunks = counts.groupBy(F.shiftright("bucket", CHUNK_BITS).alias("chunk")).agg(cells.alias("cells"))
+    return chunks.agg(F.flatten(F.sort_array(F.collect_list(F.struct("chunk", "cells")))["cells"]).alias("rarities"))
+
+
+def prefixes(sets: DataFrame, t: float) -> DataFrame:
+    """(set, id, n, bits, prefix): size, parity bitmap and the rarest words of each set, each with its rarity, as a table."""
+    place, low = (1 << BUCKET_BITS) - 1, (1 << RARITY_SHIFT) - 1
+    ranked = F.expr(f"sort_array(transform(codes, c -> (coalesce(cast(get(rarities, cast(c & {place}L AS int)) AS bigint), 0L) << {RARITY_SHIFT}) | (c & {low}L)))")
+    bits = F.expr("aggregate(codes, 0L, (a, c) -> a ^ (1L << cast((c >> 32) & 63L AS int)))")
+    known = sets.withColumn("rarities", rarities(sets).scalar())
+    n = F.size("codes")
+    return written(known.select("set", "id", n.alias("n"), bits.alias("bits"), F.slice(ranked, F.lit(1), (n - F.ceil(n * t - 1e-9) + 1).cast("int")).alias("prefix")), "prefixes")
 
 
-def differ(x: str, y: str) -> Column:
-    """At least so many words are in one of the sets alone."""
-    b2 = F.col(f"{x}.b2").bitwiseXOR(F.col(f"{y}.b2")).cast("long").bitwiseAND(F.lit((1 << 32) - 1))
-    return F.bit_count(F.col(f"{x}.b1").bitwiseXOR(F.col(f"{y}.b1"))) + F.bit_count(b2)
+def rows_of(sets: DataFrame) -> DataFrame:
+    """A row for each word of each prefix that more than one set can hold."""
+    rows = sets.select("set", "id", "n", "bits", "open", F.posexplode("prefix").alias("pos", "code"))
+    return rows.filter(F.col("code") >= 1 << RARITY_SHIFT).select(*ROW)
 
 
 def near(x: str, y: str, t: float) -> Column:
-    """Whether the filters leave the pair of rows x and y: by length, position and bitmap."""
-    nx, ny = part(x, 20), part(y, 20)
-    need = F.ceil((nx + ny) * (t / (1 + t)) - 1e-9)
+    """Whether the filters leave the pair of rows x and y: by length, places and bitmap."""
+    at = lambda r, c: F.col(f"{r}.{c}")
+    nx, ny = at(x, "n"), at(y, "n")
+    most = nx + ny - 2 * F.ceil((nx + ny) * (t / (1 + t)) - 1e-9)  # words in one of the sets alone
     length = F.least(nx, ny) >= t * F.greatest(nx, ny) - 1e-9
-    place = F.least(nx - part(x, 0), ny - part(y, 0)) >= need
-    return length & place & (differ(x, y) <= nx + ny - 2 * need)
-
-
-def line_of(x: str) -> Column:
-    return F.shiftright(F.col(f"{x}.meta"), 40).cast("int")
-
-
-def earlier(x: str, y: str) -> Column:
-    """Whether y's place is before x's."""
-    return F.struct(f"{y}.id", line_of(y)) < F.struct(f"{x}.id", line_of(x))
-
-
-def verified(docs: DataFrame, pairs: DataFrame, t: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(the places (id, line) that a pair proves to be like an earlier line; the codes by place)."""
-    places = pairs.select("id", "line").unionByName(pairs.select(F.col("id_2").alias("id"), F.col("line_2").alias("line")))
-    wanted = written(places.groupBy("id").agg(F.collect_set("line").alias("lines")), "wanted")
-    texts = docs.select(known_id(id_col).alias("id"), F.col(text_col).alias("text"))
-    met = texts.join(wanted.filter(F.size("lines") > 0), "id")
-    found = met.select("id", F.explode("lines").alias("line"), F.split("text", "\n").alias("all"))
-    found = coded(found.select("id", "line", F.get("all", F.col("line")).alias("words")))
-    sets = written(found.groupBy("id", "line").agg(F.min("codes").alias("codes")), "sets", BLOOM)
-    one = pairs.join(sets.withColumnRenamed("codes", "mine"), ["id", "line"])
-    two = one.join(sets.withColumnsRenamed({"id": "id_2", "line": "line_2"}), ["id_2", "line_2"])
+    return length & (at(x, "pos") + at(y, "pos") <= most) & (F.bit_count(at(x, "bits").bitwiseXOR(at(y, "bits"))) <= most)
+
+
+def repeated(sets: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
+    """(set): of each pair (a, b) that has the similarity, the later one, as a table."""
+    pairs = written(pairs.distinct(), "pairs")
+    wanted = written(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct(), "wanted")
+    # numbers are never negative: the optimizer makes Bloom filters only of a side that has some condition
+    met = sets.join(wanted.filter("set >= 0"), "set").select("set", F.struct(*KEY, "line").alias("place"), "codes")
+    met = written(met, "met", BLOOM)
+    one = pairs.join(met.select(F.col("set").alias("a"), F.col("place").alias("place_a"), F.col("codes").alias("mine")), "a")
+    two = one.join(met.select(F.col("set").alias("b"), F.col("place").alias("place_b"), "codes"), "b")
     both = F.size(F.array_intersect("mine", "codes"))
-    hits = two.filter(both >= t * (F.size("mine") + F.size("codes") - both) - 1e-9).select("id", "line").distinct()
-    return written(hits, "hits"), sets
-
-
-def prefixed(codes: DataFrame, t: float) -> DataFrame:
-    """codes (id, line, codes) with n, the bitmap b1 (64 bits, long words) and b2 (32 bits, short ones) and the prefix."""
-    n, cut = F.size("codes"), F.expr(f"size(filter(codes, k -> k < {(64 - LONG) << 56}L))")
-    bits = lambda codes, one, most: F.expr(f"aggregate({codes}, {one}, (a, k) -> a ^ ({one.replace('0', '1')} << cast(k & {most}L AS int)))")
-    codes = codes.select("*", n.alias("n"), cut.alias("cut"))
-    b1, b2 = bits("slice(codes, 1, cut)", "0L", 63), bits("slice(codes, cut + 1, n)", "0", 31)
-    return codes.select("*", b1.alias("b1"), b2.alias("b2"), F.slice("codes", F.lit(1), (n - F.ceil(n * t - 1e-9) + 1).cast("int")).alias("prefix")).drop("cut")
-
-
-def rows_of(sets: DataFrame) -> DataFrame:
-    """(sig, ROW) for each word of each prefix."""
-    rows = sets.select("id", "line", "n", "b1", "b2", F.posexplode("prefix").alias("pos", "code"))
-    meta = F.shiftleft(F.col("line").cast("long"), 40) + F.shiftleft(F.col("n").cast("long"), 20) + F.col("pos")
-    return rows.select(F.hash("code").alias("sig"), "id", meta.alias("meta"), "b1", "b2")
-
-
-def first_lines(docs: DataFrame, t: float = 0.8, min_words: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, line): the compared lines that stay, each the first of its kind."""
-    sets = prefixed(coded(all_lines(docs, id_col, text_col, min_words)), t)
-    first = F.min(F.struct("id", "line", "n", "b1", "b2", "prefix")).alias("s")
-    sets = written(sets.groupBy(F.xxhash64("codes").alias("h1"), F.xxhash64("codes", F.lit(1)).alias("h2")).agg(first).select("s.*"), "firsts")
-    group, x = Window.partitionBy("sig"), F.struct(*ROW)
-    all_rows = rows_of(sets)
-    rows = all_rows.withColumns({"first": F.min(x).over(group), "size": F.count("*").over(group)}).filter("size > 1").drop("size")
-    rows = rows.withColumn("x", x).withColumn("lead", F.col("first")).withColumn("y", F.when(near("x", "lead", t) & (F.col("x") != F.col("lead")), F.col("lead")))
-    for _ in range(LEADERS - 1):  # of those that were near no leader so far, and were none, the first leads
-        free = F.col("y").isNull() & (x > F.col("lead"))
-        rows = rows.withColumn("next", F.min(F.when(free, x)).over(group))
-        rows = rows.withColumn("y", F.when(free & near("x", "next", t) & (F.col("x") != F.col("next")), F.col("next")).otherwise(F.col("y")))
-        rows = rows.withColumn("lead", F.coalesce("next", "lead")).drop("next")
-    rows = rows.filter(F.col("x") != F.col("first")).select("sig", "x", F.col("y").alias("led"))
-    # one join on the rows' partitioning: those with a leader meet it alone, the others every earlier row
-    others = all_rows.select(F.col("sig").alias("sig_2"), x.alias("y"))
-    free = F.col("led").isNull() & earlier("x", "y") & near("x", "y", t)
-    met = rows.join(others, (F.col("sig") == F.col("sig_2")) & (free | (F.col("y") == F.col("led"))))
-    place = lambda r: F.struct(F.col(f"{r}.id").alias("id"), line_of(r).alias("line"))
-    met = met.select(place("x").alias("x"), F.col("led").isNotNull().alias("led"), F.struct(differ("x", "y").alias("d"), place("y").alias("y")).alias("y"))
-    # a line that has leaders is tried with the one that looks nearest
-    best = met.groupBy("x").agg(F.min(F.when(F.col("led"), F.col("y"))).alias("one"), F.collect_set(F.when(~F.col("led"), F.col("y.y"))).alias("all"))
-    tries = F.when(F.col("one").isNotNull(), F.array("one.y")).otherwise(F.col("all"))
-    pairs = written(best.select("x", F.explode(tries).alias("y")).select("x.id", "x.line", F.col("y.id").alias("id_2"), F.col("y.line").alias("line_2")), "pairs")
-    hits, codes = verified(docs, pairs, t, id_col, text_col)
-    tried = pairs.select("id", "line").distinct().join(hits, ["id", "line"], "left_anti")
-    failed = written(codes.join(tried, ["id", "line"], "left_semi"), "failed")
-    again = written(rows_of(prefixed(failed, t)).select("sig", x.alias("x")), "again")
-    more = others.join(again.filter("sig IS NOT NULL AND sig >= -2147483648"), F.col("sig") == F.col("sig_2")).filter(earlier("x", "y") & near("x", "y", t))
-    more = more.select("x.id", line_of("x").alias("line"), F.col("y.id").alias("id_2"), line_of("y").alias("line_2")).distinct()
-    more = written(more, "pairs", BLOOM)
-    dropped(codes, pairs, again, failed)
-    hits_2, codes = verified(docs, more, t, id_col, text_col)
-    stay = written(sets.select("id", "line").join(hits.unionByName(hits_2), ["id", "line"], "left_anti"), "stay")
-    dropped(sets, codes, more)
+    alike = two.filter(both >= t * (F.size("mine") + F.size("codes") - both) - 1e-9)
+    found = written(alike.select(F.when(F.col("place_a") < F.col("place_b"), F.col("b")).otherwise(F.col("a")).alias("set")).distinct(), "repeated")
+    dropped(pairs, wanted, met)
+    return found
+
+
+def led(sets: DataFrame, prefixed: DataFrame, t: float) -> DataFrame:
+    """(set): sets that repeat the earliest set of a group of a word that many hold, by LEADERS leaders a group."""
+    wide = rows_of(prefixed.filter(F.element_at("prefix", -1) >= HOT << RARITY_SHIFT).withColumn("open", F.lit(True))).filter(F.col("code") >= HOT << RARITY_SHIFT)
+    found = tried = None
+    for _ in range(LEADERS):
+        rows = wide if tried is None else wide.join(tried, "set", "left_anti")
+        lead = written(rows.groupBy("code").agg(F.min(F.struct("id", "set", "n", "pos", "bits")).alias("y")), "leaders")
+        x = rows.select("code", F.struct("id", "set", "n", "pos", "bits").alias("x"))
+        pairs = x.join(lead, "code").filter((F.col("x.set") != F.col("y.set")) & near("x", "y", t))
+        more = repeated(sets, pairs.select(F.col("x.set").alias("a"), F.col("y.set").alias("b")), t)
+        found = more if found is None else found.union(more)
+        done = more.union(lead.select("y.set"))
+        tried = done if tried is None else tried.union(done)
+    return written(found.distinct(), "led")
+
+
+def first_lines(docs: DataFrame, t: float = 0.8, min_words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, m1, m2, line): the compared lines that stay, each the first of its kind, as a table."""
+    sets = distinct_sets(docs, min_words, id_col, text_col)
+    prefixed = prefixes(sets, t)
+    settled = led(sets, prefixed, t)
+    known = prefixed.join(settled.withColumn("open", F.lit(False)), "set", "left").withColumn("open", F.coalesce("open", F.lit(True)))
+    rows = rows_of(known).select("code", F.struct(*ROW[1:]).alias("x"))
+    other = rows.select(F.col("code").alias("code_2"), F.col("x").alias("y"))
+    # y is the later one; rows of the same id meet both ways, and verification tells which is the later
+    asks = F.when(F.col("x.id") == F.col("y.id"), (F.col("x.open") | F.col("y.open")) & (F.col("x.set") < F.col("y.set"))).otherwise(F.col("y.open") & (F.col("x.id") < F.col("y.id")))
+    met = rows.join(other, (F.col("code") == F.col("code_2")) & asks & near("x", "y", t))
+    more = repeated(sets, met.select(F.col("x.set").alias("a"), F.col("y.set").alias("b")), t)
+    stay = sets.select("set", *KEY, "line").join(settled.union(more), "set", "left_anti")
+    stay = written(stay.select(*KEY, "line"), "stay")
+    dropped(sets, prefixed, settled, more)
     return stay
 
 
-def dedup(docs: DataFrame, t: float = 0.8, min_words: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with its columns, text_col without the removed lines, and n_lines, n_removed (int)."""
+def cleaned(docs: DataFrame, t: float, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """docs with __text, the text without the removed lines, and __lines, __left, the lines before and after."""
     stay = first_lines(docs, t, min_words, id_col, text_col)
-    stay = written(stay.groupBy(F.col("id").alias("__id")).agg(F.collect_list("line").alias("__stay")), "stay")
-    met = docs.join(stay, known_id(id_col) == F.col("__id"), "left")
-    lines = F.split(text_col, "\n")
-    short = lambda line: ~line.rlike(long_enough(min_words))
-    kept = F.filter(lines, lambda line, i: short(line) | F.coalesce(F.array_contains("__stay", i), F.lit(False)))
-    met = met.withColumn("__kept", kept)
-    n, left = F.coalesce(F.size(lines), F.lit(0)), F.coalesce(F.size("__kept"), F.lit(0))
-    n, left = (F.when(F.col(text_col).isNull(), 0).otherwise(x) for x in (n, left))
-    columns = [F.array_join("__kept", "\n").alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return met.select(*columns, n.alias("n_lines"), (n - left).alias("n_removed"))
+    stay = stay.groupBy(*(F.col(k).alias(f"__{k}") for k in KEY)).agg(F.collect_list("line").alias("__stay"))
+    known = docs.select("*", *(k.alias(f"__k{i}") for i, k in enumerate(keys(docs, id_col, text_col))))
+    met = known.join(stay, [F.col(f"__k{i}") == F.col(f"__{k}") for i, k in enumerate(KEY)], "left")
+    # of rows with the same id and text the first has the lines; the join has put them together
+    own = [f"__k{i}" for i in range(len(KEY))]
+    met = met.withColumn("__copy", F.row_number().over(Window.partitionBy(*own).orderBy(*own)))
+    met = met.withColumn("__all", F.split(F.col(text_col).cast("string"), "\n"))
+    short = F.expr(f"filter(sequence(0, size(__all) - 1), i -> NOT get(__all, i) RLIKE {quoted(long_enough(min_words))})")
+    mine = F.when((F.col("__copy") == 1) & F.col("__stay").isNotNull(), F.col("__stay")).otherwise(F.array().cast("array<int>"))
+    met = met.withColumn("__kept", F.sort_array(F.concat(mine, short)))
+    none = F.col(text_col).isNull()
+    left = F.when(none, 0).otherwise(F.size("__kept"))
+    lines = F.when(none, 0).otherwise(F.size("__all"))
+    text = F.when(none | (F.size("__kept") == F.size("__all")), F.col(text_col).cast("string")).otherwise(F.array_join(F.transform("__kept", lambda i: F.get("__all", i)), "\n"))
+    return met.select(*docs.columns, text.alias("__text"), lines.alias("__lines"), left.alias("__left"))
+
+
+def quoted(pattern: str) -> str:
+    return "'" + pattern.replace("\\", "\\\\") + "'"
+
+
+def dedup(docs: DataFrame, t: float = 0.8, min_words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with its columns, text_col without the removed lines, and n_lines, n_removed (int)."""
+    met = cleaned(docs, t, min_words, id_col, text_col)
+    columns = [F.col("__text").alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return met.select(*columns, F.col("__lines").alias("n_lines"), (F.col("__lines") - F.col("__left")).alias("n_removed"))
+
+
+def without_repeats(docs: DataFrame, t: float = 0.8, min_words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with just its columns, text_col without the removed lines."""
+    return cleaned(docs, t, min_words, id_col, text_col).select(*(F.col("__text").alias(c) if c == text_col else F.col(c) for c in docs.columns))
 
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
