@@ -28,6 +28,8 @@ and stay as they are in without_repeats().
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +44,8 @@ RARITY_SHIFT, HOT, LEADERS = 56, 28, 2
 #: Stands for a null id: before all others.
 NO_ID = -(1 << 63)
 KEY = ("id", "m1", "m2")
-ROW = ("code", "set", "id", "n", "pos", "bits", "open")
+#: The rows of the prefixes are joined in so many passes, by their words, so that as small a part is on disk at once.
+PASSES = 2
 
 
 def keys(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
@@ -98,10 +101,10 @@ def prefixes(sets: DataFrame, t: float) -> DataFrame:
     return written(known.select("set", "id", n.alias("n"), bits.alias("bits"), F.slice(ranked, F.lit(1), (n - F.ceil(n * t - 1e-9) + 1).cast("int")).alias("prefix")), "prefixes")
 
 
-def rows_of(sets: DataFrame) -> DataFrame:
-    """A row for each word of each prefix that more than one set can hold."""
-    rows = sets.select("set", "id", "n", "bits", "open", F.posexplode("prefix").alias("pos", "code"))
-    return rows.filter(F.col("code") >= 1 << RARITY_SHIFT).select(*ROW)
+def rows_of(sets: DataFrame, *more: str) -> DataFrame:
+    """(code, id, set, n, pos, bits, *more): a row for each word of each prefix that more than one set can hold."""
+    rows = sets.select("set", "id", "n", "bits", *more, F.posexplode("prefix").alias("pos", "code"))
+    return rows.filter(F.col("code") >= 1 << RARITY_SHIFT).select("code", "id", "set", "n", "pos", "bits", *more)
 
 
 def near(x: str, y: str, t: float) -> Column:
@@ -131,7 +134,7 @@ def repeated(sets: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
 
 def led(sets: DataFrame, prefixed: DataFrame, t: float) -> DataFrame:
     """(set): sets that repeat the earliest set of a group of a word that many hold, by LEADERS leaders a group."""
-    wide = rows_of(prefixed.filter(F.element_at("prefix", -1) >= HOT << RARITY_SHIFT).withColumn("open", F.lit(True))).filter(F.col("code") >= HOT << RARITY_SHIFT)
+    wide = rows_of(prefixed.filter(F.element_at("prefix", -1) >= HOT << RARITY_SHIFT)).filter(F.col("code") >= HOT << RARITY_SHIFT)
     found = tried = None
     for _ in range(LEADERS):
         rows = wide if tried is None else wide.join(tried, "set", "left_anti")
@@ -145,18 +148,30 @@ def led(sets: DataFrame, prefixed: DataFrame, t: float) -> DataFrame:
     return written(found.distinct(), "led")
 
 
+def met(known: DataFrame, t: float, n: int) -> DataFrame:
+    """(a, b): the pairs that the filters leave among the words of pass n, if the later set is still open; a table.
+
+    Only words that many sets hold have rows with ids: of the others either of a pair may be open. Rows of the same
+    id meet both ways. Verification tells which is the later.
+    """
+    rows = rows_of(known, "open").filter(F.pmod(F.col("code"), F.lit(PASSES)) == n)
+    word = (F.col("code").bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)).cast("int")  # 32 bits of its hash
+    many = F.when(F.col("code") >= HOT << RARITY_SHIFT, F.col("id"))
+    rows = rows.select(word.alias("word"), F.struct("set", many.alias("id"), "n", "pos", "bits", "open").alias("x"))
+    other = rows.select(F.col("word").alias("word_2"), F.col("x").alias("y"))
+    either = (F.col("x.set") < F.col("y.set")) & (F.col("x.open") | F.col("y.open"))
+    asks = F.when(F.col("x.id") != F.col("y.id"), (F.col("x.id") < F.col("y.id")) & F.col("y.open")).otherwise(either)
+    pairs = rows.join(other, (F.col("word") == F.col("word_2")) & asks & near("x", "y", t))
+    return written(pairs.select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct(), "met")
+
+
 def first_lines(docs: DataFrame, t: float = 0.8, min_words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, m1, m2, line): the compared lines that stay, each the first of its kind, as a table."""
     sets = distinct_sets(docs, min_words, id_col, text_col)
     prefixed = prefixes(sets, t)
     settled = led(sets, prefixed, t)
     known = prefixed.join(settled.withColumn("open", F.lit(False)), "set", "left").withColumn("open", F.coalesce("open", F.lit(True)))
-    rows = rows_of(known).select("code", F.struct(*ROW[1:]).alias("x"))
-    other = rows.select(F.col("code").alias("code_2"), F.col("x").alias("y"))
-    # y is the later one; rows of the same id meet both ways, and verification tells which is the later
-    asks = F.when(F.col("x.id") == F.col("y.id"), (F.col("x.open") | F.col("y.open")) & (F.col("x.set") < F.col("y.set"))).otherwise(F.col("y.open") & (F.col("x.id") < F.col("y.id")))
-    met = rows.join(other, (F.col("code") == F.col("code_2")) & asks & near("x", "y", t))
-    more = repeated(sets, met.select(F.col("x.set").alias("a"), F.col("y.set").alias("b")), t)
+    more = repeated(sets, reduce(DataFrame.union, (met(known, t, n) for n in range(PASSES))), t)
     stay = sets.select("set", *KEY, "line").join(settled.union(more), "set", "left_anti")
     stay = written(stay.select(*KEY, "line"), "stay")
     dropped(sets, prefixed, settled, more)

@@ -2,11 +2,17 @@ import re
 from collections import Counter
 
 import pandas as pd
+import pytest
 import xxhash
 
 from lexgraft.llm import lines
 
 
+@pytest.fixture(autouse=True)
+def small_tables(monkeypatch):
+    monkeypatch.setattr(lines, "BUCKET_BITS", 13)
+
+
 def place(row):
     """The order of rows: id, null first, then the hash of the text."""
     h = xxhash.xxh64_intdigest((row[1] or "").encode(), 42)
@@ -83,7 +89,7 @@ def test_one_line_of_very_many_words(spark):
 def test_groups_with_more_kinds_than_leaders(spark, monkeypatch):
     import random
 
-    for hot in (lines.HOT, 8):  # with 8 words in four sets have leaders
+    for hot in (lines.HOT, 8, 20):  # with 8 words in four sets have leaders
         monkeypatch.setattr(lines, "HOT", hot)
         pick = random.Random(3)
         rows = []
