@@ -1,98 +1,109 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Components become floor(scale * x). Candidates are dealt into parts by a hash of their ids; within a part they
-stand in buckets by length, the longest first. Queries are a stated set; in blocks they meet every part. A query
-keeps its k-th best product so far; in a bucket with greatest length l, only candidates whose cosine reaches
-best / (|q| * l) can still matter (the local threshold).
+Components become floor(scale * x). All vectors are range-sorted by length, the longest first, into buckets of
+about BUCKET_ROWS; the buckets are visited in levels of growing size, from the longest down. Between levels each
+query's k best so far are merged, and its k-th best product goes along to the next one:
 
-- Above 1 the bucket and all after it are skipped.
-- A high threshold t prunes by coordinates: of unit vectors with cosine t or more, coordinate i lies from
-  t * q_i - sqrt((1 - t^2) * (1 - q_i^2)) on, and below the same with + unless q_i is above t (for q_i >= 0);
-  the query's largest coordinates are tested.
-- A low one prunes by length: candidates shorter than best / |q| are passed over (the bucket is sorted by length).
+- A bucket whose longest vector can't reach that product with any query of a block isn't sent to the block at all
+  (blocks hold queries that need about the same length).
+- Within a bucket, tile by tile, best / (|q| * l) with the tile's greatest length l is the local cosine threshold.
+  Above 1 the tile is skipped. A high one prunes by coordinates: with the largest coordinates of the query as focus,
+  so many that what is left of it is shorter than half the threshold, the cosine is at most the focus's part plus
+  the product of both rests. A low one prunes by length: candidates shorter than best / |q| are passed over.
+- What is left is verified by exact products of whole numbers.
 
-What is left is verified by exact products of whole numbers. The k best of each part are merged by a ranking.
+Queries are a stated set: block by block they meet every bucket that may matter, in a cogroup.
 
 Results: vectors that are null, empty or hold a null or a component that is not finite take no part; ties go to
 the smaller id; rows that repeat an id are candidates each, except to the query that has that id; vectors of
-other dimensions than the query's are never its candidates.
+other dimensions than the query's are never its candidates; an empty table gives an empty result. Long vectors
+are taken whole. Other columns, of any name, play no part.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexgraft.llm.common import table
+from lexgraft.llm.common import dropped, table, written
 
-PART_ROWS, LEAST_PARTS, QUERY_ROWS, BUCKET_ROWS = 20_000, 64, 1_000, 1_000
+BUCKET_ROWS, QUERY_ROWS, TILE, CHUNK = 2_000, 4_000, 250, 500
+#: Ends of the levels, as shares of all buckets.
+LEVELS = (1 / 64, 1 / 16, 1 / 4, 1)
 #: From this local threshold on coordinates prune; below, lengths do.
-STEEP, COORDINATES = 0.6, 3
-FOUND = "query_id long, vec_id long, score long"
+STEEP = 0.1
+SLACK = 1e-7
+FOUND = "query_id long, vec_id long, score long, products long"
 
 
 def whole(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
-    """(id, v: array<long>): scaled and floored, without vectors that take no part."""
+    """(id, v: array<long>, length, asked): scaled and floored, without vectors that take no part."""
     v = F.transform(vector_col, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
     sound = F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.filter(sound & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
-
-
-def pruned(q: np.ndarray, length: float, unit: np.ndarray, lengths: np.ndarray, best: float) -> np.ndarray:
-    """Places of the bucket's candidates (longest first) whose product with q can reach best (> 0)."""
-    if length * lengths[0] < best * (1 - 1e-9):
-        return np.zeros(0, np.int64)
-    local = min(1.0, best / (length * lengths[0]))
-    if local < STEEP:
-        return np.arange(np.searchsorted(-lengths, -(best / length) * (1 - 1e-9), "right"))
-    at, direction = np.arange(len(lengths)), q / length
-    for i in np.argsort(-np.abs(direction))[:COORDINATES]:
-        # with angles a to the query and b of the coordinate, x_i lies from cos(a + b) to cos(a - b)
-        sign, size = (1.0 if direction[i] >= 0 else -1.0), abs(direction[i])
-        slack = np.sqrt((1 - local**2) * max(0.0, 1 - size**2)) + 1e-6
-        high = 1 + 1e-6 if size >= local else local * size + slack
-        at = at[(sign * unit[at, i] >= local * size - slack) & (sign * unit[at, i] <= high)]
-    return at
-
-
-def search(queries: np.ndarray, q_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query id, id, product): the k best of this part for each query; whole numbers below 2**53 are exact."""
+    kept = vectors.filter(sound & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.coalesce("__query", F.lit(False)).alias("asked"))
+    return kept.withColumn("length", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)))
+
+
+def near_enough(unit: np.ndarray, lengths: np.ndarray, directions: np.ndarray, local: np.ndarray) -> np.ndarray:
+    """Whether each candidate (rows) can reach each query (columns) by its coordinates, at the queries' local thresholds."""
+    order = np.argsort(-np.abs(directions), axis=1)
+    squares = np.take_along_axis(directions**2, order, axis=1)
+    rest = np.sqrt(np.maximum(0.0, 1 - np.cumsum(squares, axis=1)))  # of the query, after so many coordinates
+    width = np.argmax(rest <= np.maximum(local[:, None] / 2, SLACK), axis=1) + (rest.min(axis=1) > np.maximum(local / 2, SLACK)) * directions.shape[1]
+    focus = np.zeros_like(directions)
+    np.put_along_axis(focus, order, (np.arange(directions.shape[1])[None, :] <= width[:, None]).astype(float), axis=1)
+    left = np.sqrt(np.maximum(0.0, 1 - (focus * directions**2).sum(axis=1)))
+    most = unit @ (directions * focus).T + np.sqrt(np.maximum(0.0, 1 - unit**2 @ focus.T)) * left[None, :]
+    return most * (lengths / lengths[0])[:, None] >= local[None, :] - SLACK
+
+
+def search(queries: np.ndarray, q_ids: np.ndarray, best: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> list[tuple]:
+    """(query id, id, product, None) of what may be among the k best, and (query id, None, None, products made).
+
+    best: each query's k-th best product so far, minus infinity if there is none. Whole numbers below 2**53 are exact.
+    """
     lengths = np.sqrt((vectors**2).sum(axis=1))
     order = np.lexsort((ids, -lengths))
     vectors, ids, lengths = vectors[order], ids[order], lengths[order]
     unit, out = vectors / np.maximum(lengths, 1e-12)[:, None], []
-    for q, key in zip(queries, q_ids, strict=True):
-        length, kept = float(np.sqrt((q**2).sum())), np.zeros((0, 2), np.int64)
-        for a in range(0, len(ids), BUCKET_ROWS):
-            b = slice(a, a + BUCKET_ROWS)
-            best = float(kept[-1, 0]) if len(kept) == k else -np.inf
-            at = pruned(q, length, unit[b], lengths[b], best) if best > 0 and length > 0 else np.arange(len(ids[b]))
-            if best > 0 and length * lengths[a] < best * (1 - 1e-9):
-                break
-            at = at[ids[b][at] != key]
-            if len(at):
-                rows = np.stack([(vectors[b][at] @ q).astype(np.int64), ids[b][at]], axis=1)
-                rows = np.concatenate([kept, rows])
-                kept = rows[np.lexsort((rows[:, 1], -rows[:, 0]))[:k]]
-        out += [(int(key), int(i), int(s)) for s, i in kept]
+    for c in range(0, len(q_ids), CHUNK):
+        q, key, limit = queries[c : c + CHUNK], q_ids[c : c + CHUNK], best[c : c + CHUNK].copy()
+        size = np.sqrt((q**2).sum(axis=1))
+        direction = q / np.maximum(size, 1e-12)[:, None]
+        kept, made = [np.zeros((0, 2), np.int64)] * len(key), np.zeros(len(key), np.int64)
+        for a in range(0, len(ids), TILE):
+            b = slice(a, a + TILE)
+            reach = size * lengths[a]
+            local = np.where((limit > 0) & (reach > 0), limit / np.maximum(reach, 1e-12), np.where((limit > 0) & (reach == 0), np.inf, -np.inf))
+            likely = np.tile(local[None, :] <= 1 + SLACK, (len(ids[b]), 1))
+            steep, flat = np.flatnonzero((local >= STEEP) & (local <= 1 + SLACK)), np.flatnonzero((local > 0) & (local < STEEP))
+            if len(steep):
+                likely[:, steep] = near_enough(unit[b], lengths[b], direction[steep], local[steep])
+            if len(flat):
+                likely[:, flat] = lengths[b][:, None] * size[flat][None, :] >= limit[flat][None, :] * (1 - SLACK)
+            likely &= ids[b][:, None] != key[None, :]
+            for i in np.flatnonzero(likely.any(axis=0)).tolist():
+                at = np.flatnonzero(likely[:, i])
+                made[i] += len(at)
+                rows = np.concatenate([kept[i], np.stack([(vectors[b][at] @ q[i]).astype(np.int64), ids[b][at]], axis=1)])
+                kept[i] = rows[np.lexsort((rows[:, 1], -rows[:, 0]))[:k]]
+                if len(kept[i]) == k:
+                    limit[i] = max(limit[i], float(kept[i][-1, 0]))
+        for i in np.flatnonzero(made).tolist():
+            out += [(int(key[i]), int(x), int(s), None) for s, x in kept[i]] + [(int(key[i]), None, None, int(made[i]))]
     return out
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score) for each row of vectors that is_query holds for, against all other rows."""
-    rows = vectors.withColumn("__query", is_query)
-    kept = whole(rows, id_col, vector_col, scale)
-    asked = whole(rows.filter("__query"), id_col, vector_col, scale).withColumnsRenamed({"id": "query_id", "v": "q"})
-    n, m = kept.count(), asked.count()
-    parts, blocks = max(LEAST_PARTS, -(-n // PART_ROWS)), max(1, -(-m // QUERY_ROWS))
-    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    # every block of queries meets every part once: part and block make the key of the cogroup
-    one = kept.withColumn("part", deal("id", parts)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    two = asked.withColumn("block", deal("query_id", blocks)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+def visited(rows: DataFrame, asked: DataFrame, blocks: int, k: int) -> DataFrame:
+    """FOUND: what the queries (id, v, length, best, block) find in the buckets of rows."""
+    limits = rows.groupBy("bucket").agg(F.max("length").alias("longest")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    needs = asked.groupBy("block").agg(F.min(F.coalesce("need", F.lit(-1.0))).alias("need"))
+    pairs = limits.join(needs, "block").filter(F.col("longest") * (1 + SLACK) >= F.col("need")).select("bucket", "block")
+    pairs = written(pairs, "pairs")
+    one = rows.join(pairs, "bucket").select("bucket", "block", "id", "v")
+    two = asked.join(pairs, "block").select("bucket", "block", F.col("id").alias("query_id"), F.col("v").alias("q"), "best")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -101,16 +112,50 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
             for d in np.unique(sizes[1]):
                 a, b = left[sizes[0] == d], right[sizes[1] == d]
                 if len(a):
-                    found += search(np.stack(b.q.to_numpy()).astype(float), b.query_id.to_numpy(), np.stack(a.v.to_numpy()).astype(float), a.id.to_numpy(), k)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
+                    limit = b.best.to_numpy(dtype=float, na_value=np.nan)
+                    found += search(np.stack(b.q.to_numpy()).astype(float), b.query_id.to_numpy(), np.where(np.isnan(limit), -np.inf, limit), np.stack(a.v.to_numpy()).astype(float), a.id.to_numpy(), k)
+        return pd.DataFrame(found, columns=["query_id", "vec_id", "score", "products"]).astype("Int64")
+
+    return one.groupBy("bucket", "block").cogroup(two.groupBy("bucket", "block")).applyInPandas(run, FOUND)
 
-    met = one.groupBy("part", "block").cogroup(two.groupBy("part", "block")).applyInPandas(run, FOUND)
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score, products) for each row of vectors that is_query holds for, against all other rows.
+
+    products: how many exact products the query has cost.
+    """
+    kept = whole(vectors.withColumn("__query", is_query), id_col, vector_col, scale)
+    sums = kept.agg(F.count("*").alias("n"), F.sum(F.col("asked").cast("long")).alias("m")).collect()[0]
+    n, m = sums.n, sums.m or 0
+    dealt = kept.repartitionByRange(max(1, -(-n // BUCKET_ROWS)), F.desc("length"), "id")
+    rows = written(dealt.withColumn("bucket", F.spark_partition_id()), "buckets")
+    last = (rows.agg(F.max("bucket").alias("b")).collect()[0].b or 0) + 1
+    queries = rows.filter("asked").select("id", "v", "length")
+    blocks, begin, found, made = max(1, -(-m // QUERY_ROWS)), 0, None, None
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    for end in sorted({-(-int(last * 64 * share) // 64) or 1 for share in LEVELS}):
+        if found is None:
+            asked = queries.withColumn("best", F.lit(None).cast("long"))
+        else:
+            kth = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("best"))
+            asked = queries.join(kth, F.col("id") == F.col("query_id"), "left").drop("query_id")
+        need = F.when((F.col("best") > 0) & (F.col("length") > 0), F.col("best") / F.col("length"))
+        asked = asked.withColumn("need", need).repartitionByRange(blocks, "need", "id").withColumn("block", F.spark_partition_id())
+        asked = written(asked, "asked")
+        met = written(visited(rows.filter((F.col("bucket") >= begin) & (F.col("bucket") < end)), asked, (asked.agg(F.max("block").alias("b")).collect()[0].b or 0) + 1, k), "met")
+        new = met.filter("vec_id IS NOT NULL").select("query_id", "vec_id", "score")
+        new = new if found is None else found.union(new)
+        old, found = found, written(new.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).drop("rank"), "found")
+        costs = met.filter("products IS NOT NULL").groupBy("query_id").agg(F.sum("products").alias("products"))
+        costs = written(costs if made is None else made.union(costs).groupBy("query_id").agg(F.sum("products").alias("products")), "products")
+        dropped(asked, met, *([] if old is None else [old, made]))
+        made, begin = costs, end
+    ranked = found.withColumn("rank", F.row_number().over(by))
+    return ranked.join(made, "query_id").select("query_id", "rank", "vec_id", "score", "products")
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0).drop("products")
 
 
 #: In DuckDB: every query against all rows.

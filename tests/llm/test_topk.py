@@ -29,8 +29,8 @@ def test_query(spark, sf):
 
 
 def test_lengths_ties_signs_broken_vectors_and_clashing_names(spark, monkeypatch):
-    monkeypatch.setattr(topk, "BUCKET_ROWS", 7)
-    monkeypatch.setattr(topk, "LEAST_PARTS", 3)
+    monkeypatch.setattr(topk, "BUCKET_ROWS", 7)  # both decide how rows are dealt, in the driver
+    monkeypatch.setattr(topk, "QUERY_ROWS", 9)
     pick = random.Random(4)
     rows = []
     for i in range(300):
@@ -45,22 +45,27 @@ def test_lengths_ties_signs_broken_vectors_and_clashing_names(spark, monkeypatch
     assert got(topk.top_k(df.filter("vec_id in (0, 1, 2)"), asked)) == brute(rows[:3], lambda i: i % 10 == 0)
 
 
-def test_pruning_keeps_every_candidate_that_can_reach_the_best():
+def test_search_prunes_and_misses_nothing():
     pick = np.random.default_rng(0)
-    cut = 0
-    for _ in range(300):
-        q = pick.normal(size=6)
-        x = pick.normal(size=(80, 6)) + q * pick.uniform(0, 3)
-        lengths = np.sqrt((x**2).sum(axis=1))
-        order = np.argsort(-lengths)
-        x, lengths = x[order], lengths[order]
-        best = np.sort(x @ q)[-pick.integers(1, 40)]
-        if best <= 0:
-            continue
-        at = topk.pruned(q, float(np.sqrt(q @ q)), x / lengths[:, None], lengths, float(best))
-        assert set(np.flatnonzero(x @ q >= best)) <= set(at)
-        cut += 80 - len(at)
-    assert cut > 1000
+    for spread in (0.3, 1.0, 3.0):
+        x = np.floor(200 * pick.normal(size=(3000, 12)) * pick.uniform(0.2, 2, size=(3000, 1)))
+        q = np.floor(200 * (pick.normal(size=(40, 12)) * spread + x[:40]))
+        ids, key = np.arange(3000), np.arange(5000, 5040)
+        for best in (np.full(40, -np.inf), np.sort(x @ q.T, axis=0)[-9].astype(float)):
+            out = topk.search(q, key, best, x, ids, 5)
+            for i, k in enumerate(key.tolist()):
+                products = x @ q[i]
+                order = np.lexsort((ids, -products))[:5]
+                assert [(s, n) for a, n, s, m in out if a == k and n is not None] == [(int(products[j]), j) for j in order.tolist()]
+            made = sum(m for _, n, _, m in out if n is None)
+            assert made < 0.7 * 40 * 3000
+
+
+def test_query_makes_fewer_products_than_pairs(spark):
+    """In the workers: the products column counts what they have made."""
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    found = topk.top_k(vectors, topk.F.col("vec_id") % 50 == 0).select("query_id", "products").distinct().toPandas()
+    assert found["products"].sum() < 0.25 * len(found) * vectors.count()
 
 
 def test_query_equals_sql(spark, sf):
