@@ -45,7 +45,7 @@ RARITY_SHIFT, HOT, LEADERS = 56, 28, 2
 NO_ID = -(1 << 63)
 KEY = ("id", "m1", "m2")
 #: The rows of the prefixes are joined in so many passes, by their words, so that as small a part is on disk at once.
-PASSES = 2
+PASSES = 3
 
 
 def keys(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
@@ -92,19 +92,20 @@ def rarities(sets: DataFrame) -> DataFrame:
 
 
 def prefixes(sets: DataFrame, t: float) -> DataFrame:
-    """(set, id, n, bits, prefix): size, parity bitmap and the rarest words of each set, each with its rarity, as a table."""
+    """(set, id, n, b1, b2, prefix): size, parity bitmap of 128 bits and the rarest words of each set, each with its rarity, as a table."""
     place, low = (1 << BUCKET_BITS) - 1, (1 << RARITY_SHIFT) - 1
     ranked = F.expr(f"sort_array(transform(codes, c -> (coalesce(cast(get(rarities, cast(c & {place}L AS int)) AS bigint), 0L) << {RARITY_SHIFT}) | (c & {low}L)))")
-    bits = F.expr("aggregate(codes, 0L, (a, c) -> a ^ (1L << cast((c >> 32) & 63L AS int)))")
+    # a word flips one of 128 bits: one of 64 in the bitmap that a further bit of its hash names
+    bits = [F.expr(f"aggregate(codes, 0L, (a, c) -> a ^ CASE WHEN (c >> 46) & 1L = {half}L THEN 1L << cast((c >> 40) & 63L AS int) ELSE 0L END)") for half in (0, 1)]
     known = sets.withColumn("rarities", rarities(sets).scalar())
     n = F.size("codes")
-    return written(known.select("set", "id", n.alias("n"), bits.alias("bits"), F.slice(ranked, F.lit(1), (n - F.ceil(n * t - 1e-9) + 1).cast("int")).alias("prefix")), "prefixes")
+    return written(known.select("set", "id", n.alias("n"), bits[0].alias("b1"), bits[1].alias("b2"), F.slice(ranked, F.lit(1), (n - F.ceil(n * t - 1e-9) + 1).cast("int")).alias("prefix")), "prefixes")
 
 
 def rows_of(sets: DataFrame, *more: str) -> DataFrame:
-    """(code, id, set, n, pos, bits, *more): a row for each word of each prefix that more than one set can hold."""
-    rows = sets.select("set", "id", "n", "bits", *more, F.posexplode("prefix").alias("pos", "code"))
-    return rows.filter(F.col("code") >= 1 << RARITY_SHIFT).select("code", "id", "set", "n", "pos", "bits", *more)
+    """(code, id, set, n, pos, b1, b2, *more): a row for each word of each prefix that more than one set can hold."""
+    rows = sets.select("set", "id", "n", "b1", "b2", *more, F.posexplode("prefix").alias("pos", "code"))
+    return rows.filter(F.col("code") >= 1 << RARITY_SHIFT).select("code", "id", "set", "n", "pos", "b1", "b2", *more)
 
 
 def near(x: str, y: str, t: float) -> Column:
@@ -113,7 +114,7 @@ def near(x: str, y: str, t: float) -> Column:
     nx, ny = at(x, "n"), at(y, "n")
     most = nx + ny - 2 * F.ceil((nx + ny) * (t / (1 + t)) - 1e-9)  # words in one of the sets alone
     length = F.least(nx, ny) >= t * F.greatest(nx, ny) - 1e-9
-    return length & (at(x, "pos") + at(y, "pos") <= most) & (F.bit_count(at(x, "bits").bitwiseXOR(at(y, "bits"))) <= most)
+    return length & (at(x, "pos") + at(y, "pos") <= most) & (sum(F.bit_count(at(x, b).bitwiseXOR(at(y, b))) for b in ("b1", "b2")) <= most)
 
 
 def repeated(sets: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
@@ -138,8 +139,8 @@ def led(sets: DataFrame, prefixed: DataFrame, t: float) -> DataFrame:
     found = tried = None
     for _ in range(LEADERS):
         rows = wide if tried is None else wide.join(tried, "set", "left_anti")
-        lead = written(rows.groupBy("code").agg(F.min(F.struct("id", "set", "n", "pos", "bits")).alias("y")), "leaders")
-        x = rows.select("code", F.struct("id", "set", "n", "pos", "bits").alias("x"))
+        lead = written(rows.groupBy("code").agg(F.min(F.struct("id", "set", "n", "pos", "b1", "b2")).alias("y")), "leaders")
+        x = rows.select("code", F.struct("id", "set", "n", "pos", "b1", "b2").alias("x"))
         pairs = x.join(lead, "code").filter((F.col("x.set") != F.col("y.set")) & near("x", "y", t))
         more = repeated(sets, pairs.select(F.col("x.set").alias("a"), F.col("y.set").alias("b")), t)
         found = more if found is None else found.union(more)
@@ -157,7 +158,7 @@ def met(known: DataFrame, t: float, n: int) -> DataFrame:
     rows = rows_of(known, "open").filter(F.pmod(F.col("code"), F.lit(PASSES)) == n)
     word = (F.col("code").bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)).cast("int")  # 32 bits of its hash
     many = F.when(F.col("code") >= HOT << RARITY_SHIFT, F.col("id"))
-    rows = rows.select(word.alias("word"), F.struct("set", many.alias("id"), "n", "pos", "bits", "open").alias("x"))
+    rows = rows.select(word.alias("word"), F.struct("set", many.alias("id"), "n", "pos", "b1", "b2", "open").alias("x"))
     other = rows.select(F.col("word").alias("word_2"), F.col("x").alias("y"))
     either = (F.col("x.set") < F.col("y.set")) & (F.col("x.open") | F.col("y.open"))
     asks = F.when(F.col("x.id") != F.col("y.id"), (F.col("x.id") < F.col("y.id")) & F.col("y.open")).otherwise(either)
