@@ -23,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's folder for scratch tables; one of our own only where the session names none."""
+    """The cluster's folder for scratch tables; one of our own only where the session names none and has one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="lexgraft-")
         atexit.register(shutil.rmtree, path, True)
         spark.conf.set("spark.checkpoint.dir", path)
@@ -82,12 +84,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         return links.select(F.col("u").alias("node"), F.col("v").alias("label"))
     labels = written(links.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("label")), "labels")
     for _ in range(rounds):
-        told = links.join(labels.withColumnRenamed("node", "u"), "u").groupBy(F.col("v").alias("node")).agg(F.min("label").alias("heard"))
-        near = labels.join(told, "node").select("node", F.least("label", "heard").alias("label"), F.col("label").alias("old"))
+        told = links.join(labels.select(F.col("node").alias("u"), "label"), "u").groupBy(F.col("v").alias("node")).agg(F.min("label").alias("heard"))
+        near = labels.select("node", "label").join(told, "node").select("node", F.least("label", "heard").alias("label"), F.col("label").alias("old"))
         near = written(near, "labels")
         jump = near.join(near.select(F.col("node").alias("label"), F.col("label").alias("next")), "label")
-        labels = written(jump.select("node", F.least("label", "next").alias("label"), "old"), "labels")
+        old, labels = labels, written(jump.select("node", F.least("label", "next").alias("label"), "old"), "labels")
+        dropped(old, near)
         if labels.filter("label <> old").limit(1).count() == 0:
             return labels.select("node", "label")
-        labels = labels.select("node", "label")
     raise RuntimeError(f"components did not settle in {rounds} rounds")

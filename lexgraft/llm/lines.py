@@ -39,8 +39,8 @@ from lexgraft.llm.common import SPACE, dropped, table, written
 BLOOM = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
 #: The word counts have 2 ** BUCKET_BITS cells; they come together in chunks of 2 ** CHUNK_BITS.
 BUCKET_BITS, CHUNK_BITS = 21, 12
-#: A rarity is 4 * log2(count), so 28 stands for words in 128 sets or more; LEADERS rounds are held for those.
-RARITY_SHIFT, HOT, LEADERS = 56, 28, 2
+#: A rarity is 4 * log2(count), so 36 stands for words in 512 sets or more; LEADERS rounds are held for those.
+RARITY_SHIFT, HOT, LEADERS = 56, 36, 2
 #: Stands for a null id: before all others.
 NO_ID = -(1 << 63)
 KEY = ("id", "m1", "m2")
