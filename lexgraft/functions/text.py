@@ -5,16 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Template families and what stands for them; slang labels; the stop list.
+# Template families and what stands for them, slang labels, the stop list, words too general for hypernyms.
 JOINED, FIRST = "soplink", ("taxlink", "term", "w", "unsupported", "gloss")
-SLANG = ("slang", "vulgar", "offensive", "pejorative", "derogatory", "obscene", "profanity", "internet")
-STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
+SLANG = ("informal", "euphemistic", "slang", "internet slang", "vulgar", "offensive", "pejorative", "ethnic slug")
+STOP = tuple(
+    (
+        "a about above after again against all am an and any are aren't as at be because been before being below between both but by "
+        "can't cannot could couldn't did didn't do does doesn't doing don't down during each few for from further had hadn't has hasn't "
+        "have haven't having he he'd he'll he's her here here's hers herself him himself his how how's i i'd i'll i'm i've if in into is "
+        "isn't it it's its itself let's me more most mustn't my myself no nor not of off on once only or other ought our ours ourselves "
+        "out over own same shan't she she'd she'll she's should shouldn't so some such than that that's the their theirs them themselves "
+        "then there there's these they they'd they'll they're they've this those through to too under until up very was wasn't we we'd "
+        "we'll we're we've were weren't what what's when when's where where's which while who who's whom why why's with won't would "
+        "wouldn't you you'd you'll you're you've your yours yourself yourselves"
+    ).split(" ")
+)
+TOO_GENERAL = ("city", "person", "military", "physics", "plural", "town", "law", "mineral", "enzyme", "protein", "body", "act", "compound", "drug", "kind", "form", "state", "member", "type", "condition", "computer science", "term", "word")
+SOURCE_TAG = "<ref name=SOED/>"
 
 
 def clean_gloss(gloss: Column) -> Column:
-    """Templates by their family, links to their last part, straight quotes, trimmed."""
-    g = F.regexp_replace(gloss, r"[“”]", '"')
-    g = F.regexp_replace(g, r"\{\{" + JOINED + r"\|([^{}|]*)\|([^{}|]*)\}\}", "$1$2")
+    """Templates by their family, links to their last part, straight quotes, no source tag, trimmed."""
+    g = F.replace(F.regexp_replace(gloss, r"[“”]", '"'), F.lit(SOURCE_TAG), F.lit(""))
+    joined = F.regexp_extract_all(g, F.lit(r"\{\{" + JOINED + r"\|[^{}]*\}\}"), F.lit(0))
+    g = F.aggregate(joined, g, lambda a, t: F.replace(a, t, F.replace(F.regexp_extract(t, r"\|([^{}]*)\}\}$", 1), F.lit("|"), F.lit(""))))
     g = F.regexp_replace(g, r"\{\{(?:" + "|".join(FIRST) + r")\|([^{}|]*)(?:\|[^{}]*)?\}\}", "$1")
     g = F.regexp_replace(g, r"\{\{non-gloss definition\|([^{}|]*)(?:\|[^{}]*)?\}\}", "$1")
     g = F.regexp_replace(g, r"\{\{[^{}]*\}\}", " ")
@@ -45,9 +59,9 @@ def annotation_value(body: Column) -> Column:
     return F.struct(args[0].alias("type"), F.get(rest, F.lit(0)).alias("value"))
 
 
-def linked_terms(gloss: Column) -> Column:
-    """The first run of links that only white space parts; punctuation at their ends is cut."""
-    run = F.regexp_extract(gloss, r"((?:\[\[[^\[\]]*\]\]\s*)+)", 1)
+def linked_terms(gloss: Column, offset: int = 0) -> Column:
+    """The first run of links from an offset on that only white space parts; punctuation at their ends is cut."""
+    run = F.regexp_extract(F.substring(gloss, offset + 1, 1 << 30) if offset else gloss, r"((?:\[\[[^\[\]]*\]\]\s*)+)", 1)
     return F.transform(F.regexp_extract_all(run, F.lit(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]"), F.lit(1)), lambda t: F.regexp_replace(t, r"[.,;:!?]+$", ""))
 
 
@@ -98,8 +112,34 @@ def balance_parens(gloss: Column) -> Column:
     return F.concat(F.repeat(F.lit("("), F.greatest(missing, F.lit(0))), gloss, F.repeat(F.lit(")"), F.greatest(-missing, F.lit(0))))
 
 
-def entry_valid(lemma: Column, gloss: Column) -> Column:
-    return lemma.rlike(r"^[A-Za-z0-9 '_./-]+$") & (F.length(lemma) < 47) & F.length(gloss).between(3, 250) & ~gloss.rlike(r"[^\x00-\x7F]")
+def valid_lemma(lemma: Column) -> Column:
+    """Letters, digits, underscores, hyphens and apostrophes, at the end a letter or digit; shorter than 47."""
+    return F.replace(lemma, F.lit(" "), F.lit("_")).rlike(r"^[\w'-]+[A-Za-z0-9]$") & (F.length(lemma) < 47)
+
+
+def entry_valid(lemma: Column, gloss: Column, exempt: Column | None = None) -> Column:
+    """Whether an entry may be written; merged and lexicalised ones (exempt) need no gloss of 3 to 250 ASCII characters."""
+    fits = F.length(gloss).between(3, 250) & ~gloss.rlike(r"[^\x00-\x7F]")
+    return valid_lemma(lemma) & (fits if exempt is None else fits | exempt)
+
+
+def following(text: Column) -> Column:
+    """The words up to clause punctuation."""
+    return F.filter(F.split(F.regexp_extract(text, r"^([^,.;:]*)", 1), " "), lambda w: w != "")
+
+
+def noun_ngrams(words: Column) -> Column:
+    """From a term with up to two words after it: the longer terms first, then later words, then the first."""
+    n = F.size(words)
+    gram = lambda i, k: F.when(n >= i + k - 1, F.array_join(F.slice(words, i, k), " "))
+    return F.array_distinct(F.filter(F.array(gram(1, 3), gram(1, 2), gram(3, 1), gram(2, 1), gram(1, 1)), lambda g: g.isNotNull()))
+
+
+def adjective_ngrams(words: Column) -> Column:
+    """Three words, two pairs, then the words without stop words."""
+    n = F.size(words)
+    gram = lambda i, k: F.when(n >= i + k - 1, F.array_join(F.slice(words, i, k), " "))
+    return F.array_distinct(F.filter(F.array(gram(1, 3), gram(1, 2), gram(2, 2), gram(1, 1), gram(2, 1), gram(3, 1)), lambda g: g.isNotNull() & ~g.isin(*STOP)))
 
 
 def sub_definitions(gloss: Column, by: str) -> Column:

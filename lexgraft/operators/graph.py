@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexgraft.sources.files import kept
+
 
 def closure(start: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
     """(root, node, hops): what start (root) reaches over edges (src, dst), itself at 0; cycles are visited once.
 
-    checkpoint() writes to the folder of spark.checkpoint.dir where the session has one.
+    Each hop is a written table in the shared scratch folder.
     """
-    keep = (lambda df: df.checkpoint()) if start.sparkSession.sparkContext.getCheckpointDir() else (lambda df: df.persist())
-    seen = keep(start.select("root", F.col("root").alias("node"), F.lit(0).alias("hops")))
+    seen = kept(start.select("root", F.col("root").alias("node"), F.lit(0).alias("hops")))
     front, hops = seen, 0
     while depth is None or hops < depth:
         hops += 1
         step = front.join(edges, front.node == edges.src).select("root", F.col("dst").alias("node")).distinct()
-        front = keep(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("hops", F.lit(hops)))
+        front = kept(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("hops", F.lit(hops)))
         if front.isEmpty():
             break
-        seen = keep(seen.unionByName(front))
+        seen = kept(seen.unionByName(front))
     return seen

@@ -35,21 +35,13 @@ def first_sense(keys: DataFrame, sense: DataFrame, exception: DataFrame) -> Data
     return fuzzy(keys, sense, exception).groupBy("key_id").agg(best).select("key_id", F.col("m.synset_id").alias("synset_id"))
 
 
-def one_hop(nodes: DataFrame, edge: DataFrame, pointers: tuple[str, ...] = ("@", "~")) -> DataFrame:
+def one_hop(nodes: DataFrame, edge: DataFrame, pointers: tuple[str, ...] = ("@", "@i", "&", "^")) -> DataFrame:
     """(synset_id, near): neighbours in both directions over the given pointers."""
     some = edge.filter(F.col("pointer").isin(*pointers))
     both = some.select("src", "dst").unionByName(some.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return nodes.join(both, nodes.synset_id == both.src).select("synset_id", F.col("dst").alias("near")).distinct()
 
 
-def within_two(nodes: DataFrame, edge: DataFrame) -> DataFrame:
-    """(synset_id, near): the synset itself and what two hops reach."""
-    one = one_hop(nodes, edge)
-    hops = one_hop(one.select(F.col("near").alias("synset_id")).distinct(), edge)
-    two = one.join(hops.select(F.col("synset_id").alias("near"), F.col("near").alias("far")), "near").select("synset_id", F.col("far").alias("near"))
-    return nodes.select("synset_id", F.col("synset_id").alias("near")).unionByName(one).unionByName(two).distinct()
-
-
 def best(scored: DataFrame, key: str, least: float = 0.0) -> DataFrame:
     """The row of each key with the greatest score above least; ties by sense_rank, then synset_id."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "sense_rank", "synset_id"))

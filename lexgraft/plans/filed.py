@@ -59,35 +59,20 @@ def load_lexicon(spark, d) -> DataFrame:
     return files.read_lexicon(spark, path).select("synset_id", F.array_join("lemmas", ",").alias("lemmas"), "gloss")
 
 
-def pluggable_similarity(spark, d) -> DataFrame:
-    """V6: the best sense under another similarity: the share of the entry's words that the sense's gloss has."""
-    words = lambda c: T.gloss_words(F.lower(c))
-    senses = S.sense(spark, d).join(S.synset(spark, d).select("synset_id", F.col("gloss").alias("other")), "synset_id")
-    met = S.entry(spark, d).join(senses, ["lemma", "pos"])
-    share = F.size(F.array_intersect(words("gloss"), words("other"))) / F.greatest(F.size(words("gloss")), F.lit(1))
-    return lookup.best(met.withColumn("score", F.round(share, 6)), "entry_id").select("entry_id", "synset_id", "score")
-
-
-def round_loop(spark, d, rounds: int = 3) -> DataFrame:
-    """In each round entries attach to synsets of lemmas named in their glosses; the next round sees the new lemmas.
-
-    A round's lexicon and the rest of the pool are written to the shared folder, so no lineage grows.
-    """
-    pool = S.raw(spark, d).select("entry_id", "lemma", F.explode(T.gloss_words(T.clean_gloss(F.col("raw")))).alias("word")).distinct()
-    known = S.sense(spark, d).filter("pos = 'adjective'").select(F.col("lemma").alias("word"), F.lit(0).alias("round")).distinct()
-    for k in range(1, rounds + 1):
-        path = files.scratch(spark)
-        met = pool.join(known, "word").select("entry_id", F.col("lemma").alias("name")).distinct()
-        met.write.parquet(f"{path}/met")
-        met = spark.read.parquet(f"{path}/met")
-        new = met.select(F.explode(F.split("name", " ")).alias("word")).distinct().join(known, "word", "left_anti").withColumn("round", F.lit(k))
-        known.unionByName(new).write.parquet(f"{path}/known")
-        pool.join(met.select("entry_id"), "entry_id", "left_anti").write.parquet(f"{path}/pool")
-        known, pool = spark.read.parquet(f"{path}/known"), spark.read.parquet(f"{path}/pool")
-    return known.groupBy("round").agg(F.count("*").alias("lemmas"))
-
-
-QUERIES = {f.__name__: f for f in (read_entries_jsonl, write_entries_jsonl, read_dump_entries, exceptions_in, load_lexicon, pluggable_similarity, round_loop)}
+def share(a, b):
+    """The share of a's words that b has too."""
+    return F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.lit(1))
+
+
+def pluggable_similarity(spark, d, similarity=share) -> DataFrame:
+    """V6: the best sense under any similarity of two lists of words; each gloss is cut into words once."""
+    words = lambda df: df.withColumn("words", T.gloss_words(F.lower("gloss"))).drop("gloss")
+    senses = S.sense(spark, d).join(words(S.synset(spark, d).select("synset_id", "gloss")).withColumnRenamed("words", "other"), "synset_id")
+    met = words(S.entry(spark, d)).join(senses, ["lemma", "pos"])
+    return lookup.best(met.withColumn("score", F.round(similarity(F.col("words"), F.col("other")), 6)), "entry_id").select("entry_id", "synset_id", "score")
+
+
+QUERIES = {f.__name__: f for f in (read_entries_jsonl, write_entries_jsonl, read_dump_entries, exceptions_in, load_lexicon, pluggable_similarity)}
 
 _WORDS = r"list_distinct(list_filter(list_transform(string_split_regex(trim(lower({g})), '\s+'), lambda t: regexp_extract(t, '^[[:punct:]]*([^[:punct:]\s]+)[[:punct:]]*$', 1)), lambda t: t <> ''))"
 SQL = {
@@ -95,7 +80,7 @@ SQL = {
     "read_dump_entries": "SELECT entry_id, pos, 0 AS n, raw AS gloss FROM raw UNION ALL SELECT entry_id, pos, 1, 'second of ' || lemma FROM raw",
     "exceptions_in": "SELECT surface, base FROM exception",
     "load_lexicon": "SELECT s.synset_id, string_agg(lemma, ',' ORDER BY replace(lemma, ' ', '_')) AS lemmas, any_value(s.gloss) AS gloss FROM synset s JOIN (SELECT DISTINCT synset_id, lemma FROM sense) USING (synset_id) GROUP BY s.synset_id",
-    "pluggable_similarity": f"""WITH s AS (SELECT e.entry_id, n.synset_id, n.sense_rank, round(len(list_intersect({_WORDS.format(g='e.gloss')}, {_WORDS.format(g='y.gloss')})) / greatest(len({_WORDS.format(g='e.gloss')}), 1), 6) AS score
-        FROM entry e JOIN sense n USING (lemma, pos) JOIN synset y ON y.synset_id = n.synset_id)
+    "pluggable_similarity": f"""WITH ew AS MATERIALIZED (SELECT entry_id, lemma, pos, {_WORDS.format(g='gloss')} AS a FROM entry), sw AS MATERIALIZED (SELECT synset_id, {_WORDS.format(g='gloss')} AS b FROM synset),
+        s AS (SELECT entry_id, synset_id, sense_rank, round(len(list_intersect(a, b)) / greatest(len(a), 1), 6) AS score FROM ew JOIN sense n USING (lemma, pos) JOIN sw USING (synset_id))
         SELECT entry_id, synset_id, score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY score DESC, sense_rank, synset_id) = 1""",
 }

@@ -32,6 +32,12 @@ def fuzzy_sense_lookup(spark, d):
     return lookup.fuzzy(distinct_keys(spark, d), S.sense(spark, d), S.exception(spark, d)).select("key_id", "synset_id", "branch")
 
 
+def fuzzy_lookup_many(spark, d):
+    """Senses of all the synonyms of an entry together."""
+    words = S.relation(spark, d).filter("type = 'SYNONYM'").select(F.col("entry_id").alias("key_id"), F.col("target").alias("lemma"), F.lit("noun").alias("pos"))
+    return lookup.fuzzy(words, S.sense(spark, d), S.exception(spark, d)).select(F.col("key_id").alias("entry_id"), "synset_id").distinct()
+
+
 def first_sense(spark, d):
     """The first sense of each form."""
     return lookup.first_sense(distinct_keys(spark, d), S.sense(spark, d), S.exception(spark, d))
@@ -51,30 +57,21 @@ def not_in_lexicon_anti(spark, d):
 
 
 def one_hop(spark, d):
-    """Hypernyms and hyponyms."""
-    nodes = S.part_words(spark, d).select(F.col("key").alias("synset_id"))
-    return lookup.one_hop(nodes, S.edge(spark, d))
-
-
-def near_duplicate_guard(spark, d):
-    """Proposals (entry, synset of its lemma) that are not within two hops of the lemma's first sense."""
-    senses = S.sense(spark, d).filter("pos = 'noun'")
-    first = senses.filter("sense_rank = 1").select("lemma", F.col("synset_id").alias("first"))
-    proposals = S.relation(spark, d).join(first.withColumnsRenamed({"lemma": "target", "first": "synset_id"}), "target").join(S.entry(spark, d).select("entry_id", "lemma"), "entry_id").join(first, "lemma")
-    near = lookup.within_two(proposals.select("synset_id").distinct(), S.edge(spark, d).filter("level = 'synset'")).withColumnRenamed("near", "first")
-    return proposals.join(near, ["synset_id", "first"], "left_anti").select("entry_id", "synset_id").distinct()
+    """Neighbours over hypernyms, instance hypernyms, similar-to and also-see, both ways."""
+    return lookup.one_hop(S.sense(spark, d).select("synset_id").distinct(), S.edge(spark, d))
 
 
 def pointer_follow(spark, d):
-    """The first hypernym of each synset."""
-    return S.edge(spark, d).filter("pointer = '@'").groupBy("src").agg(F.min_by("dst", "ord").alias("dst"))
+    """The first target of each kind of pointer of a synset."""
+    first = F.min(F.struct("ord", "dst")).alias("m")
+    return S.edge(spark, d).groupBy("src", "pointer").agg(first).select("src", "pointer", F.col("m.dst").alias("dst"))
 
 
 def gloss_equi_join(spark, d):
-    """Synsets that share their gloss and a lemma."""
-    rows = S.synset(spark, d).join(S.sense(spark, d).groupBy("synset_id").agg(F.collect_set("lemma").alias("lemmas")), "synset_id")
-    other = rows.withColumnsRenamed({"synset_id": "other", "lemmas": "theirs"}).select("gloss", "other", "theirs")
-    return rows.join(other, "gloss").filter("synset_id < other").filter(F.arrays_overlap("lemmas", "theirs")).select("synset_id", "other")
+    """Synsets of one gloss and lemma: the least stands for them (first), each is named with it once."""
+    rows = S.synset(spark, d).select("synset_id", F.md5("gloss").alias("digest")).join(S.sense(spark, d).select("synset_id", "lemma").distinct(), "synset_id")
+    least = rows.groupBy("digest", "lemma").agg(F.min("synset_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    return rows.join(least, ["digest", "lemma"]).select("first", "lemma", "synset_id")
 
 
 def is_descendant(spark, d):
@@ -83,47 +80,18 @@ def is_descendant(spark, d):
     return graph.closure(start, S.tree(spark, d)).select("root", "node")
 
 
-def person_closure(spark, d):
-    """Everything under the regions, with its depth."""
-    down = S.tree(spark, d).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    start = S.table(spark, d, "region").select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("root"))
-    return graph.closure(start, down).filter("hops > 0").select("root", "node", "hops")
-
-
-def bounded_closure(spark, d):
-    """Nations and customers under the regions: two levels."""
-    down = S.tree(spark, d).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    start = S.table(spark, d, "region").select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("root"))
-    return graph.closure(start, down, 2).groupBy("node").agg(F.max("hops").alias("hops"))
-
-
 def synset_votes(spark, d) -> DataFrame:
     """A2: a vote for each sense of a synonym and one for each of its hypernyms."""
-    senses = S.relation(spark, d).select("entry_id", F.col("target").alias("lemma")).join(S.sense(spark, d).filter("pos = 'noun'"), "lemma").select("entry_id", "synset_id")
+    senses = S.relation(spark, d).filter("type = 'SYNONYM'").select("entry_id", F.col("target").alias("lemma")).join(S.sense(spark, d).filter("pos = 'noun'"), "lemma").select("entry_id", "synset_id")
     up = senses.join(S.edge(spark, d).filter("pointer = '@'"), senses.synset_id == F.col("src")).select("entry_id", F.col("dst").alias("synset_id"))
     return senses.unionByName(up).groupBy("entry_id", "synset_id").agg(F.count("*").alias("n"))
 
 
-def vote_ties(spark, d):
-    """A3: the synsets with most votes of an entry, and how many there are; the least of them is taken."""
-    votes = synset_votes(spark, d)
-    rank = F.rank().over(Window.partitionBy("entry_id").orderBy(F.desc("n")))
-    top = votes.withColumn("r", rank).filter("r = 1")
-    return top.groupBy("entry_id").agg(F.count("*").alias("ties"), F.min("synset_id").alias("synset_id"), F.max("n").alias("n"))
-
-
 def lemma_weights(spark, d):
     """A4: weights of the words of all glosses."""
     return similarity.lemma_weights(S.entry(spark, d), S.synset(spark, d)).select("lemma", F.round("weight", 6).alias("weight"))
 
 
-def candidate_multimap(spark, d):
-    """A10: the heuristics that name a lemma for an entry, joined with commas."""
-    synonym = S.relation(spark, d).select("entry_id", F.col("target").alias("lemma"), F.lit("synonym").alias("by"))
-    own = S.entry(spark, d).select("entry_id", "lemma", F.lit("lemma").alias("by"))
-    return synonym.unionByName(own).groupBy("entry_id", "lemma").agg(F.array_join(F.array_sort(F.collect_set("by")), ",").alias("by"))
-
-
 def load_vectors(spark, d):
     """Vectors of the vocabulary's words, of length 1."""
     vocabulary = S.entry(spark, d).select(F.explode(T.gloss_words(F.lower("gloss"))).alias("word")).distinct()
@@ -177,79 +145,10 @@ def weighted_overlap(spark, d):
 
 
 def tiling_similarity_pairs(spark, d):
-    """V4: greedy tiling of entry and lexicon glosses that share a run of words; each distinct gloss once."""
-    once = lambda df, key: df.groupBy(F.col("gloss").alias("text")).agg(F.min(key).alias("id"))
-    return similarity.tiling_pairs(once(S.entry(spark, d), "entry_id"), once(S.synset(spark, d), "synset_id"))
-
-
-def proposals(spark, d) -> DataFrame:
-    """(entry_id, priority, op, target): what each rule proposes for a marked-up gloss; the target's first sense."""
-    raw = S.raw(spark, d)
-    # Rules in their order, the operation and the pattern that names the target.
-    rules = [
-        (1, "merge", r"^\{\{synonym of\|([a-z]+)\}\}", "noun", None),
-        (3, "antonym", r"(?:^|; )(?:not|opposed to|opposing)(?: an?)? ([a-z]+)", "adjective", "adjective"),
-        (6, "derived", r"^[Ii]n an? ([a-z]+) (?:manner|way)$", "adjective", "adverb"),
-        (8, "hypernym", r"^(?:A|An|The) [a-z]+ of (?:the|an?) ([a-z]+)", "noun", None),
-        (12, "hypernym", r"^A \[\[(?:[a-z]+\|)?([a-z]+)\]\]", "noun", "noun"),
-        (13, "hypernym", r"^[Tt]o (?:[a-z]+ly )?\[\[([a-z]+)\]\]", "noun", "verb"),
-        (15, "pertainym", r"^(?:Of or r|R)elating to ([a-z]+)", "noun", "adverb"),
-    ]
-    out = None
-    for priority, op, pattern, target_pos, pos in rules:
-        text = T.strip_annotations(F.col("raw")) if priority == 12 else F.col("raw")
-        named = F.regexp_extract(text, pattern, 1)
-        rows = raw.filter(F.col("pos") == pos) if pos else raw
-        rows = rows.select("entry_id", F.lit(priority).alias("priority"), F.lit(op).alias("op"), named.alias("lemma"), F.lit(target_pos).alias("pos")).filter("lemma <> ''")
-        out = rows if out is None else out.unionByName(rows)
-    first = S.sense(spark, d).filter("sense_rank = 1").select("lemma", "pos", F.col("synset_id").alias("target"))
-    return out.join(first, ["lemma", "pos"]).select("entry_id", "priority", "op", "target")
-
-
-def first_match(spark, d):
-    """The first rule that proposes something for an entry."""
-    best = F.min(F.struct("priority", "op", "target")).alias("m")
-    return proposals(spark, d).groupBy("entry_id").agg(best).select("entry_id", "m.*")
-
-
-def only(priority: int):
-    return lambda spark, d: proposals(spark, d).filter(F.col("priority") == priority).select("entry_id", "op", "target")
-
-
-def domain_links(spark, d):
-    """Domains of leading context templates, without excluded labels and named arguments."""
-    bodies = S.raw(spark, d).select("entry_id", F.explode(T.leading_annotations(F.col("raw"))).alias("body")).filter(F.col("body").startswith("context|"))
-    labels = bodies.select("entry_id", F.slice(F.split("body", r"\|"), 2, 100).alias("labels")).filter(~F.arrays_overlap("labels", F.array(F.lit("rare"), F.lit("archaic"), F.lit("slang"))))
-    return labels.select("entry_id", F.explode("labels").alias("domain")).filter(~F.col("domain").contains("="))
-
-
-def augment_after_match(spark, d):
-    """Domain links of matched entries only."""
-    return domain_links(spark, d).join(first_match(spark, d), "entry_id", "left_semi")
-
-
-def merge_dedup(spark, d):
-    """One entry for each synset and lemma."""
-    rows = first_match(spark, d).join(S.raw(spark, d).select("entry_id", "lemma"), "entry_id")
-    return rows.groupBy("target", "lemma").agg(F.min("entry_id").alias("entry_id"))
-
-
-def relation_edges(spark, d):
-    """Proposals as pointers; operations without a symbol make none."""
-    symbols = F.create_map(*map(F.lit, ("antonym", "!", "pertainym", "\\", "derived", "\\", "hypernym", "@")))
-    return proposals(spark, d).select("entry_id", symbols[F.col("op")].alias("symbol"), "target").filter("symbol IS NOT NULL").distinct()
-
-
-def operations_log(spark, d):
-    """K2: a line for each applied operation, with its reason as JSON."""
-    rows = first_match(spark, d).join(S.raw(spark, d), "entry_id").join(S.synset(spark, d).select(F.col("synset_id").alias("target"), "gloss"), "target")
-    reason = F.to_json(F.struct(F.col("op").alias("origin"), F.col("priority").alias("rule")))
-    return rows.select(F.concat_ws("\t", "lemma", "pos", F.col("entry_id").cast("string"), "raw", "op", F.col("target").cast("string"), "gloss", reason).alias("line"))
-
-
-def proposal_record(spark, d):
-    """C4: operations of an entry; of a single-valued one the last rule's stands."""
-    return proposals(spark, d).groupBy("entry_id", "op").agg(F.max(F.struct("priority", "target")).alias("m")).select("entry_id", "op", F.col("m.target").alias("target"))
+    """V4: greedy tiling of benchmark items and document lines that share a run of five words; each distinct line once."""
+    items = S.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
+    lines = S.table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("text")).distinct().withColumn("id", F.xxhash64("text"))
+    return similarity.tiling_pairs(items, lines, grams=5)
 
 
 def exception_pairs(spark, d):
@@ -261,14 +160,6 @@ def exception_pairs(spark, d):
     return one.select(F.when(F.col("a"), F.col("other")).otherwise(F.col("lemma")).alias("surface"), F.when(F.col("a"), F.col("lemma")).otherwise(F.col("other")).alias("base")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (sense_lookup, fuzzy_sense_lookup, first_sense, in_lexicon_semi, not_in_lexicon_anti, one_hop, near_duplicate_guard, pointer_follow, gloss_equi_join, is_descendant, person_closure, bounded_closure, synset_votes, vote_ties, lemma_weights, candidate_multimap, load_vectors, gloss_vector, gloss_cosine, best_sense, too_similar_filter, weighted_overlap, tiling_similarity_pairs, first_match, domain_links, augment_after_match, merge_dedup, relation_edges, operations_log, proposal_record, exception_pairs)} | {
-    "annotation_rule": only(1),
-    "antonym_rule": only(3),
-    "adverb_manner": only(6),
-    "group_rule": only(8),
-    "wiki_link_noun": only(12),
-    "wiki_link_verb": only(13),
-    "adj_pertainym": only(15),
-}
+QUERIES = {f.__name__: f for f in (sense_lookup, fuzzy_sense_lookup, fuzzy_lookup_many, first_sense, in_lexicon_semi, not_in_lexicon_anti, one_hop, pointer_follow, gloss_equi_join, is_descendant, synset_votes, lemma_weights, load_vectors, gloss_vector, gloss_cosine, best_sense, too_similar_filter, weighted_overlap, tiling_similarity_pairs, exception_pairs)}
 
 from lexgraft.plans.lookups_sql import SQL  # noqa: E402

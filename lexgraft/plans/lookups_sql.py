@@ -2,21 +2,13 @@
 
 from __future__ import annotations
 
-from lexgraft.plans.texts import _stems
+from lexgraft.plans.rules_sql import SUMS, forms
+from lexgraft.plans.rules_sql import stems as _stems
 
 _KEYS = "keys AS (SELECT key AS key_id, CASE key % 4 WHEN 0 THEN noun || 's' WHEN 1 THEN replace(lemma, ' ', '-') WHEN 2 THEN noun || 'en' ELSE lemma || 's' END AS lemma, 'noun' AS pos FROM parts)"
-_FORMS = f"""{_KEYS}, dkeys AS (SELECT lemma, pos, min(key_id) AS key_id FROM keys GROUP BY lemma, pos),
-  spelled AS (SELECT key_id, pos, unnest(CASE WHEN contains(lemma, '_') THEN [lemma, replace(lemma, '_', ' '), replace(lemma, '_', '-')] WHEN contains(lemma, '-') THEN [lemma, replace(lemma, '-', ' ')] WHEN contains(lemma, ' ') THEN [lemma, replace(lemma, ' ', '-')] ELSE [lemma] END) AS lemma FROM dkeys),
-  stemmed AS (SELECT *, {_stems('lemma')} AS stems FROM spelled),
-  halves AS (SELECT key_id, pos, split_part(lemma, ' ', 1) AS a, split_part(lemma, ' ', 2) AS b FROM stemmed WHERE len(stems) = 0 AND contains(lemma, ' ')),
-  compound AS (SELECT key_id, pos, x || ' ' || y AS lemma FROM (SELECT key_id, pos, x, unnest(CASE WHEN len({_stems('b')}) > 0 THEN {_stems('b')} ELSE [b] END) AS y FROM (SELECT key_id, pos, b, unnest(CASE WHEN len({_stems('a')}) > 0 THEN {_stems('a')} ELSE [a] END) AS x FROM halves))),
-  forms AS (SELECT key_id, pos, lemma, 0 AS branch FROM spelled UNION ALL SELECT key_id, pos, unnest(stems), 1 FROM stemmed UNION ALL SELECT key_id, pos, lemma, 2 FROM compound
-    UNION ALL SELECT s.key_id, s.pos, x.base, 3 FROM spelled s JOIN exception x ON s.lemma = x.surface AND s.pos = x.pos),
-  reached AS (SELECT f.key_id, s.synset_id, min((f.branch, s.sense_rank)) AS m FROM forms f JOIN sense s USING (lemma, pos) GROUP BY f.key_id, s.synset_id),
-  fuzzy AS (SELECT key_id, synset_id, m[1] AS branch, m[2] AS sense_rank FROM (SELECT key_id, synset_id, [min(branch * 100000000 + sense_rank) // 100000000, min(branch * 100000000 + sense_rank) % 100000000] AS m FROM forms f JOIN sense s USING (lemma, pos) GROUP BY key_id, synset_id))"""
-_FORMS = _FORMS.replace("  reached AS (SELECT f.key_id, s.synset_id, min((f.branch, s.sense_rank)) AS m FROM forms f JOIN sense s USING (lemma, pos) GROUP BY f.key_id, s.synset_id),\n", "")
-_HOPS = """up AS (SELECT src, dst FROM edge WHERE pointer = '@'), both_ways AS (SELECT src, dst FROM up UNION SELECT dst, src FROM up)"""
-_VOTES = """senses AS (SELECT r.entry_id, s.synset_id FROM relation r JOIN sense s ON r.target = s.lemma AND s.pos = 'noun'),
+_FORMS = f"{_KEYS}, " + forms("SELECT min(key_id) AS key_id, lemma, pos FROM keys GROUP BY lemma, pos")
+_HOPS = """up AS (SELECT src, dst FROM edge WHERE pointer IN ('@', '@i', '&', '^')), both_ways AS (SELECT src, dst FROM up UNION SELECT dst, src FROM up)"""
+_VOTES = """senses AS (SELECT r.entry_id, s.synset_id FROM relation r JOIN sense s ON r.target = s.lemma AND s.pos = 'noun' WHERE r.type = 'SYNONYM'),
   votes AS (SELECT entry_id, synset_id, count(*) AS n FROM (SELECT * FROM senses UNION ALL SELECT entry_id, e.dst FROM senses JOIN edge e ON synset_id = e.src AND e.pointer = '@') GROUP BY entry_id, synset_id)"""
 _LIST = r"list_distinct(list_filter(list_transform(string_split_regex(trim(lower({g})), '\s+'), lambda t: regexp_extract(t, '^[[:punct:]]*([^[:punct:]\s]+)[[:punct:]]*$', 1)), lambda t: t <> ''))"
 _WEIGHTS = f"""ew AS (SELECT unnest({_LIST.format(g='gloss')}) AS lemma FROM entry), sw AS (SELECT unnest({_LIST.format(g='gloss')}) AS lemma FROM synset),
@@ -24,54 +16,25 @@ _WEIGHTS = f"""ew AS (SELECT unnest({_LIST.format(g='gloss')}) AS lemma FROM ent
 _VECTORS = f"""unit AS MATERIALIZED (SELECT word, list_transform(vec, lambda x: x::DOUBLE / sqrt(list_dot_product(vec::DOUBLE[], vec::DOUBLE[]))) AS vec FROM word_vector WHERE list_dot_product(vec::DOUBLE[], vec::DOUBLE[]) > 0),
   glosses AS (SELECT gloss FROM entry UNION SELECT gloss FROM synset),
   gw AS MATERIALIZED (SELECT gloss, unnest({_LIST.format(g='gloss')}) AS word FROM glosses),
-  dims AS MATERIALIZED (SELECT gw.gloss, i, sum(u.vec[i]) AS v FROM gw JOIN unit u USING (word), generate_series(1, 64) s(i) GROUP BY gw.gloss, i),
-  gv AS MATERIALIZED (SELECT gloss, list(v ORDER BY i) AS vec FROM dims GROUP BY gloss)"""
+  gv AS MATERIALIZED (SELECT gw.gloss, [{SUMS}] AS vec FROM gw JOIN unit u USING (word) GROUP BY gw.gloss)"""
 _SCORED = f"""{_VECTORS},
   scored AS MATERIALIZED (SELECT e.entry_id, s.synset_id, s.sense_rank, round(coalesce(list_cosine_similarity(a.vec, b.vec), 0), 6) AS score
     FROM entry e JOIN gv a ON a.gloss = e.gloss JOIN sense s USING (lemma, pos) JOIN synset y ON y.synset_id = s.synset_id JOIN gv b ON b.gloss = y.gloss)"""
-_PROPOSALS = r"""named AS (
-    SELECT entry_id, 1 AS priority, 'merge' AS op, regexp_extract(raw, '^\{\{synonym of\|([a-z]+)\}\}', 1) AS lemma, 'noun' AS pos FROM raw
-    UNION ALL SELECT entry_id, 3, 'antonym', regexp_extract(raw, '(?:^|; )(?:not|opposed to|opposing)(?: an?)? ([a-z]+)', 1), 'adjective' FROM raw WHERE pos = 'adjective'
-    UNION ALL SELECT entry_id, 6, 'derived', regexp_extract(raw, '^[Ii]n an? ([a-z]+) (?:manner|way)$', 1), 'adjective' FROM raw WHERE pos = 'adverb'
-    UNION ALL SELECT entry_id, 8, 'hypernym', regexp_extract(raw, '^(?:A|An|The) [a-z]+ of (?:the|an?) ([a-z]+)', 1), 'noun' FROM raw
-    UNION ALL SELECT entry_id, 12, 'hypernym', regexp_extract(trim(regexp_replace(raw, '\{\{[^{}]*\}\}', '', 'g')), '^A \[\[(?:[a-z]+\|)?([a-z]+)\]\]', 1), 'noun' FROM raw WHERE pos = 'noun'
-    UNION ALL SELECT entry_id, 13, 'hypernym', regexp_extract(raw, '^[Tt]o (?:[a-z]+ly )?\[\[([a-z]+)\]\]', 1), 'noun' FROM raw WHERE pos = 'verb'
-    UNION ALL SELECT entry_id, 15, 'pertainym', regexp_extract(raw, '^(?:Of or r|R)elating to ([a-z]+)', 1), 'noun' FROM raw WHERE pos = 'adverb'),
-  proposals AS (SELECT n.entry_id, n.priority, n.op, s.synset_id AS target FROM named n JOIN sense s USING (lemma, pos) WHERE s.sense_rank = 1),
-  first_match AS (SELECT entry_id, priority, op, target FROM proposals QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY priority, op, target) = 1)"""
-_DOMAINS = r"""bodies AS (SELECT entry_id, unnest(regexp_extract_all(regexp_extract(raw, '^\s*((?:\{\{[^{}]*\}\}\s*)*)', 1), '\{\{([^{}]*)\}\}', 1)) AS body FROM raw),
-  labels AS (SELECT entry_id, list_slice(string_split(body, '|'), 2, 101) AS l FROM bodies WHERE body LIKE 'context|%'),
-  domains AS (SELECT entry_id, domain FROM (SELECT entry_id, unnest(l) AS domain FROM labels WHERE NOT list_has_any(l, ['rare', 'archaic', 'slang'])) WHERE NOT contains(domain, '='))"""
-
-
-def _only(priority: int) -> str:
-    return f"WITH {_PROPOSALS} SELECT entry_id, op, target FROM proposals WHERE priority = {priority}"
-
-
 SQL = {
     "sense_lookup": "SELECT entry_id, synset_id, sense_rank FROM entry JOIN sense USING (lemma, pos)",
     "fuzzy_sense_lookup": f"WITH {_FORMS} SELECT key_id, synset_id, branch::INTEGER AS branch FROM fuzzy",
+    "fuzzy_lookup_many": "WITH " + forms("SELECT DISTINCT entry_id AS key_id, target AS lemma, 'noun' AS pos FROM relation WHERE type = 'SYNONYM'") + " SELECT DISTINCT key_id AS entry_id, synset_id FROM fuzzy",
     "first_sense": f"WITH {_FORMS} SELECT key_id, synset_id FROM fuzzy QUALIFY row_number() OVER (PARTITION BY key_id ORDER BY branch, sense_rank, synset_id) = 1",
     "in_lexicon_semi": f"""WITH {_KEYS}, known AS (SELECT key_id FROM keys k JOIN exception x ON k.lemma = x.surface JOIN sense s ON s.lemma = x.base AND s.pos = 'noun'
         UNION SELECT key_id FROM (SELECT key_id, unnest(list_append({_stems('lemma')}, lemma)) AS form FROM keys) JOIN sense s ON s.lemma = form AND s.pos = 'noun') SELECT key_id FROM known""",
     "not_in_lexicon_anti": f"""WITH {_KEYS}, known AS (SELECT key_id FROM keys k JOIN exception x ON k.lemma = x.surface JOIN sense s ON s.lemma = x.base AND s.pos = 'noun'
         UNION SELECT key_id FROM (SELECT key_id, unnest(list_append({_stems('lemma')}, lemma)) AS form FROM keys) JOIN sense s ON s.lemma = form AND s.pos = 'noun') SELECT key_id, lemma FROM keys WHERE key_id NOT IN (SELECT key_id FROM known)""",
     "one_hop": f"WITH {_HOPS} SELECT DISTINCT src AS synset_id, dst AS near FROM both_ways",
-    "near_duplicate_guard": f"""WITH {_HOPS}, first AS (SELECT lemma, synset_id AS first FROM sense WHERE pos = 'noun' AND sense_rank = 1),
-        proposed AS (SELECT DISTINCT r.entry_id, t.first AS synset_id, f.first FROM relation r JOIN first t ON t.lemma = r.target JOIN entry e USING (entry_id) JOIN first f ON f.lemma = e.lemma),
-        near AS (SELECT synset_id, synset_id AS near FROM proposed UNION SELECT synset_id, dst FROM proposed JOIN both_ways ON src = synset_id
-          UNION SELECT p.synset_id, b.dst FROM (SELECT DISTINCT synset_id FROM proposed) p JOIN both_ways a ON a.src = p.synset_id JOIN both_ways b ON b.src = a.dst)
-        SELECT DISTINCT entry_id, synset_id FROM proposed p WHERE NOT EXISTS (SELECT 1 FROM near n WHERE n.synset_id = p.synset_id AND n.near = p.first)""",
-    "pointer_follow": "SELECT src, min_by(dst, ord) AS dst FROM edge WHERE pointer = '@' GROUP BY src",
-    "gloss_equi_join": """WITH l AS (SELECT synset_id, list(DISTINCT lemma) AS lemmas FROM sense GROUP BY synset_id), r AS (SELECT s.synset_id, s.gloss, l.lemmas FROM synset s JOIN l USING (synset_id))
-        SELECT a.synset_id, b.synset_id AS other FROM r a JOIN r b ON a.gloss = b.gloss AND a.synset_id < b.synset_id AND list_has_any(a.lemmas, b.lemmas)""",
+    "pointer_follow": "SELECT src, pointer, arg_min(dst, ord * 10000000000000 + dst) AS dst FROM edge GROUP BY src, pointer",
+    "gloss_equi_join": "SELECT first, lemma, synset_id FROM (SELECT s.synset_id, lemma, min(s.synset_id) OVER w AS first, count(*) OVER w AS n FROM synset y JOIN (SELECT DISTINCT synset_id, lemma FROM sense) s USING (synset_id) WINDOW w AS (PARTITION BY y.gloss, lemma)) WHERE n > 1",
     "is_descendant": "WITH up AS (SELECT src AS root, src AS node FROM tree WHERE src LIKE 'N%' UNION SELECT up.root, t.dst FROM up JOIN tree t ON t.src = up.node) SELECT root, node FROM up",
-    "person_closure": "WITH down AS (SELECT 'R' || r_regionkey AS root, 'R' || r_regionkey AS node, 0 AS hops FROM region UNION SELECT d.root, t.src, d.hops + 1 FROM down d JOIN tree t ON t.dst = d.node) SELECT root, node, hops::INTEGER AS hops FROM down WHERE hops > 0",
-    "bounded_closure": "WITH down AS (SELECT 'R' || r_regionkey AS node, 0 AS hops FROM region UNION SELECT t.src, d.hops + 1 FROM down d JOIN tree t ON t.dst = d.node WHERE d.hops < 2) SELECT node, max(hops)::INTEGER AS hops FROM down GROUP BY node",
     "synset_votes": f"WITH {_VOTES} SELECT entry_id, synset_id, n FROM votes",
-    "vote_ties": f"WITH {_VOTES}, top AS (SELECT * FROM votes QUALIFY rank() OVER (PARTITION BY entry_id ORDER BY n DESC) = 1) SELECT entry_id, count(*) AS ties, min(synset_id) AS synset_id, max(n) AS n FROM top GROUP BY entry_id",
     "lemma_weights": f"WITH {_WEIGHTS} SELECT lemma, round(weight, 6) AS weight FROM weights",
-    "candidate_multimap": "WITH c AS (SELECT entry_id, target AS lemma, 'synonym' AS by_ FROM relation UNION SELECT entry_id, lemma, 'lemma' FROM entry) SELECT entry_id, lemma, string_agg(by_, ',' ORDER BY by_) AS by FROM c GROUP BY entry_id, lemma",
     "load_vectors": f"WITH {_VECTORS}, ew AS (SELECT DISTINCT unnest({_LIST.format(g='gloss')}) AS word FROM entry) SELECT word, round(vec[1], 6) AS x, round(vec[64], 6) AS y FROM unit JOIN ew USING (word)",
     "gloss_vector": f"WITH {_VECTORS} SELECT gloss, round(vec[1], 6) AS x, round(sqrt(list_dot_product(vec, vec)), 6) AS norm FROM gv WHERE gloss IN (SELECT gloss FROM entry)",
     "gloss_cosine": f"WITH {_SCORED} SELECT entry_id, synset_id, score FROM scored",
@@ -81,22 +44,7 @@ SQL = {
         shared AS (SELECT pair_id, unnest(list_intersect({_LIST.format(g='a')}, {_LIST.format(g='b')})) AS lemma FROM pairs),
         scores AS (SELECT pair_id, sum(weight) AS score FROM shared JOIN weights USING (lemma) GROUP BY pair_id)
         SELECT pair_id, round(coalesce(score, 0), 5) AS score FROM pairs LEFT JOIN scores USING (pair_id)""",
-    "first_match": f"WITH {_PROPOSALS} SELECT entry_id, priority, op, target FROM first_match",
-    "domain_links": f"WITH {_DOMAINS} SELECT entry_id, domain FROM domains",
-    "augment_after_match": f"WITH {_PROPOSALS}, {_DOMAINS} SELECT entry_id, domain FROM domains WHERE entry_id IN (SELECT entry_id FROM first_match)",
-    "merge_dedup": f"WITH {_PROPOSALS} SELECT target, lemma, min(entry_id) AS entry_id FROM first_match JOIN raw USING (entry_id) GROUP BY target, lemma",
-    "relation_edges": f"WITH {_PROPOSALS} SELECT DISTINCT entry_id, CASE op WHEN 'antonym' THEN '!' WHEN 'hypernym' THEN '@' ELSE '\\' END AS symbol, target FROM proposals WHERE op <> 'merge'",
-    "operations_log": f"""WITH {_PROPOSALS} SELECT concat_ws(chr(9), r.lemma, r.pos, r.entry_id::VARCHAR, r.raw, f.op, f.target::VARCHAR, s.gloss, '{{"origin":"' || f.op || '","rule":' || f.priority || '}}') AS line
-        FROM first_match f JOIN raw r USING (entry_id) JOIN synset s ON s.synset_id = f.target""",
-    "proposal_record": f"WITH {_PROPOSALS} SELECT entry_id, op, target FROM proposals QUALIFY row_number() OVER (PARTITION BY entry_id, op ORDER BY priority DESC, target DESC) = 1",
     "exception_pairs": f"""WITH {_KEYS}, pairs AS (SELECT DISTINCT k.lemma, p.noun AS other FROM keys k JOIN parts p ON p.key = k.key_id), known AS (SELECT DISTINCT lemma FROM sense WHERE pos = 'noun'),
         f AS (SELECT lemma, other, lemma IN (SELECT lemma FROM known) AS a, other IN (SELECT lemma FROM known) AS b FROM pairs)
         SELECT DISTINCT CASE WHEN a THEN other ELSE lemma END AS surface, CASE WHEN a THEN lemma ELSE other END AS base FROM f WHERE a <> b""",
-    "annotation_rule": _only(1),
-    "antonym_rule": _only(3),
-    "adverb_manner": _only(6),
-    "group_rule": _only(8),
-    "wiki_link_noun": _only(12),
-    "wiki_link_verb": _only(13),
-    "adj_pertainym": _only(15),
 }

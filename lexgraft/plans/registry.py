@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lexgraft.plans import filed, lookups, rounds, texts
+from lexgraft.plans import apply, filed, lookups, rules, texts
 from lexgraft.sources import tables
 
-MODULES = (texts, lookups, rounds, filed)
+MODULES = (texts, lookups, rules, apply, filed)
 
 
 def queries() -> dict:

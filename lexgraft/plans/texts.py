@@ -63,14 +63,8 @@ def combined_gloss(spark, d) -> DataFrame:
 
 def relations_parse(spark, d) -> DataFrame:
     """Typed links of each entry, as an array and back to rows."""
-    links = S.relation(spark, d).groupBy("entry_id").agg(F.array_sort(F.collect_list(F.struct("target", "type"))).alias("relations"))
-    return links.select("entry_id", F.explode_outer("relations").alias("r")).select("entry_id", F.col("r.type").alias("type"), F.col("r.target").alias("target"))
-
-
-def remaining_entries(spark, d) -> DataFrame:
-    """What the first rule that matched leaves in the pool."""
-    chosen = S.raw(spark, d).filter(F.col("raw").startswith("not ")).select("entry_id")
-    return S.raw(spark, d).join(chosen, "entry_id", "left_anti").select("entry_id", "lemma")
+    links = S.relation(spark, d).groupBy("entry_id").agg(F.array_sort(F.collect_list(F.struct("target", "type", "target_sense"))).alias("relations"))
+    return links.select("entry_id", F.explode_outer("relations").alias("r")).select("entry_id", F.col("r.type").alias("type"), F.col("r.target").alias("target"), F.col("r.target_sense").alias("target_sense"))
 
 
 def annotation_values(spark, d) -> DataFrame:
@@ -131,12 +125,6 @@ def sub_definitions(spark, d) -> DataFrame:
     return rows.select("entry_id", "n", "part")
 
 
-def operation_counts(spark, d) -> DataFrame:
-    """A5: how often each shape of gloss was proposed, most frequent first."""
-    op = F.regexp_extract("raw", r"^(To|not|In a|A group|One who|Of or|\{\{[a-z]+)", 1)
-    return S.raw(spark, d).groupBy("pos", op.alias("op")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "pos", "op")
-
-
 def vocabulary(spark, d) -> DataFrame:
     """Distinct words of entry and lexicon glosses without stop words."""
     words = lambda df: df.select(F.explode(T.gloss_words(F.col("gloss"))).alias("word"))
@@ -148,48 +136,11 @@ def exceptions_out(spark, d) -> DataFrame:
     return S.exception(spark, d).distinct().select("pos", F.concat_ws(" ", "surface", "base").alias("line")).orderBy("pos", "line")
 
 
-def new_synset_lines(spark, d) -> DataFrame:
-    """K3: a line for each synset: lemma, hypernym and other pointers, gloss."""
-    links = S.edge(spark, d).groupBy("src").agg(F.array_join(F.array_sort(F.collect_list(F.concat("dst", F.lit(","), "pointer"))), " ").alias("links"))
-    parts = S.part_words(spark, d).select("key", "lemma", "kind")
-    rows = parts.join(links, parts.key == links.src, "left")
-    return rows.select(F.col("key").alias("synset_id"), F.concat(F.lit("{ "), F.replace("lemma", F.lit(" "), F.lit("_")), F.lit(" "), F.coalesce("links", F.lit("")), F.lit(" ("), "kind", F.lit(") }")).alias("line"))
-
-
 def stable_synset_id(spark, d) -> DataFrame:
     """A name for each new synset that later rounds can point to."""
     return S.raw(spark, d).select("entry_id", F.md5(F.concat_ws("|", "pos", "lemma", F.col("entry_id").cast("string"))).alias("synset_id"))
 
 
-def route_by_operation(spark, d) -> DataFrame:
-    """Where an accepted proposal goes."""
-    route = F.when(F.length("lemma") >= 47, "drop").when(F.col("raw").startswith("{{synonym of"), "merge").when(F.col("pos").isin("adjective", "adverb"), "modifier").otherwise("new synset")
-    return S.raw(spark, d).select("entry_id", route.alias("route"))
-
-
-def lemma_slot(spark, d) -> DataFrame:
-    """Running number of a lemma within its file, at most 15; the id of a lemma that ends in a digit gets a quote."""
-    slot = F.row_number().over(Window.partitionBy(F.lower("lemma"), "pos").orderBy("entry_id"))
-    rows = S.raw(spark, d).select("entry_id", "lemma", "pos", slot.alias("slot")).filter("slot <= 15")
-    mark = F.when(F.col("lemma").rlike("[0-9]$"), '"').otherwise("")
-    return rows.select("entry_id", F.concat("lemma", mark, F.col("slot").cast("string")).alias("file_id"))
-
-
-def sense_cap(spark, d) -> DataFrame:
-    """New senses of a lemma while it has at most 99, base and added together."""
-    base = S.sense(spark, d).groupBy("lemma").agg(F.count("*").alias("base"))
-    rank = F.row_number().over(Window.partitionBy("lemma").orderBy("entry_id"))
-    rows = S.raw(spark, d).select("entry_id", "lemma", rank.alias("rn")).join(base, "lemma", "left")
-    return rows.filter(F.coalesce("base", F.lit(0)) + F.col("rn") - 1 <= 99).select("entry_id", "lemma")
-
-
-def pointer_cap(spark, d) -> DataFrame:
-    """I4: new children of a synset while it has fewer than 500 pointers."""
-    links = S.edge(spark, d).filter("pointer = '@'")
-    rank = F.row_number().over(Window.partitionBy("dst").orderBy("src"))
-    return links.select("src", "dst", rank.alias("rn")).filter("rn <= 500").select("src", "dst")
-
-
 def pointer_counts(spark, d) -> DataFrame:
     """Pointer types of a synset plus its word-level targets."""
     n = F.countDistinct(F.when(F.col("level") == "synset", F.col("pointer"))) + F.count(F.when(F.col("level") == "word", 1))
@@ -207,12 +158,6 @@ def gloss_multimap(spark, d) -> DataFrame:
     return S.synset(spark, d).groupBy("gloss").agg(F.array_join(ids.cast("array<string>"), " ").alias("ids"))
 
 
-def round_stats(spark, d) -> DataFrame:
-    """Entries, those with a rule's opening, and those that may be written."""
-    hit = F.col("raw").rlike("^(To|not|In a|Of or)")
-    return S.raw(spark, d).agg(F.count("*").alias("processed"), F.count_if(hit).alias("tentative"), F.count_if(hit & T.entry_valid(F.col("lemma"), F.col("raw"))).alias("final"))
-
-
 QUERIES = {
     "clean_gloss": per_raw(T.clean_gloss),
     "strip_annotations": per_raw(T.strip_annotations),
@@ -222,15 +167,11 @@ QUERIES = {
     "gloss_without_examples": per_raw(T.without_examples),
     "balance_parens": per_raw(T.balance_parens),
     "extended_gloss": extended,
-} | {f.__name__: f for f in (pos_normalise, sense_explode, gloss_lines, lang_filter, lemma_normalise, entry_dedup, combined_gloss, relations_parse, remaining_entries, annotation_values, gloss_words, stopword_filter, stems, compound_stems, lemma_variants, entry_valid, sub_definitions, operation_counts, vocabulary, exceptions_out, new_synset_lines, stable_synset_id, route_by_operation, lemma_slot, sense_cap, pointer_cap, pointer_counts, sense_counts, gloss_multimap, round_stats)}
+} | {f.__name__: f for f in (pos_normalise, sense_explode, gloss_lines, lang_filter, lemma_normalise, entry_dedup, combined_gloss, relations_parse, annotation_values, gloss_words, stopword_filter, stems, compound_stems, lemma_variants, entry_valid, sub_definitions, vocabulary, exceptions_out, stable_synset_id, pointer_counts, sense_counts, gloss_multimap)}
 
 
-_CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({g},
-  '[“”]', '"', 'g'), '\{{\{{soplink\|([^{{}}|]*)\|([^{{}}|]*)\}}\}}', '\1\2', 'g'),
-  '\{{\{{(?:taxlink|term|w|unsupported|gloss)\|([^{{}}|]*)(?:\|[^{{}}]*)?\}}\}}', '\1', 'g'),
-  '\{{\{{non-gloss definition\|([^{{}}|]*)(?:\|[^{{}}]*)?\}}\}}', '\1', 'g'),
-  '\{{\{{[^{{}}]*\}}\}}', ' ', 'g'), '\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]', '\1', 'g'))"""
-_STOP = ", ".join(f"'{w}'" for w in T.STOP)
+_CLEAN = S._CLEAN
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOP)
 _WORDS = r"list_distinct(list_filter(list_transform(string_split_regex(trim({g}), '\s+'), lambda t: regexp_extract(t, '^[[:punct:]]*([^[:punct:]\s]+)[[:punct:]]*$', 1)), lambda t: t <> ''))"
 _SURFACES = "surfaces AS (SELECT entry_id, lemma || ['s', 'es', 'ches', 'men', 'ies', ''][entry_id % 6 + 1] AS surface FROM raw)"
 
@@ -261,8 +202,7 @@ SQL = {
     "combined_gloss": f"""WITH p AS (SELECT entry_id, list_transform(string_split(raw, ';'), lambda g: {_CLEAN.format(g='g')}) AS parts FROM raw),
         q AS (SELECT entry_id, list_filter(parts, lambda x, i: list_position(parts, x) = i) AS parts FROM p)
         SELECT entry_id, array_to_string(parts, ' ') AS gloss, len(parts)::INTEGER AS n FROM q""",
-    "relations_parse": "SELECT entry_id, type, target FROM relation",
-    "remaining_entries": "SELECT entry_id, lemma FROM raw WHERE raw NOT LIKE 'not %'",
+    "relations_parse": "SELECT entry_id, type, target, target_sense FROM relation",
     "annotation_values": r"""WITH b AS (SELECT entry_id, regexp_extract_all(regexp_extract(raw, '^\s*((?:\{\{[^{}]*\}\}\s*)*)', 1), '\{\{([^{}]*)\}\}', 1) AS bodies FROM raw),
         u AS (SELECT entry_id, string_split(unnest(bodies), '|') AS args, generate_subscripts(bodies, 1) AS n FROM b),
         v AS (SELECT entry_id, n, args[1] AS type, list_filter(list_slice(args, CASE args[1] WHEN 'surname' THEN 1 WHEN 'form of' THEN 3 ELSE 2 END, len(args)), lambda a: NOT contains(a, '=') AND NOT contains(a, '{'))[1] AS value FROM u)
@@ -277,24 +217,13 @@ SQL = {
         SELECT entry_id, x || ' ' || y AS stem FROM (SELECT entry_id, x, unnest(y) AS y FROM r)""",
     "lemma_variants": """WITH v AS (SELECT entry_id, CASE entry_id % 3 WHEN 0 THEN replace(lemma, ' ', '_') WHEN 1 THEN replace(lemma, ' ', '-') ELSE lemma END AS l FROM raw)
         SELECT entry_id, unnest(CASE WHEN contains(l, '_') THEN [l, replace(l, '_', ' '), replace(l, '_', '-')] WHEN contains(l, '-') THEN [l, replace(l, '-', ' ')] WHEN contains(l, ' ') THEN [l, replace(l, ' ', '-')] ELSE [l] END) AS variant FROM v""",
-    "entry_valid": r"SELECT entry_id, regexp_matches(lemma, '^[A-Za-z0-9 ''_./-]+$') AND length(lemma) < 47 AND length(gloss) BETWEEN 3 AND 250 AND NOT regexp_matches(gloss, '[^\x00-\x7F]') AS valid FROM entry",
+    "entry_valid": r"SELECT entry_id, regexp_matches(replace(lemma, ' ', '_'), '^[\w''-]+[A-Za-z0-9]$') AND length(lemma) < 47 AND length(gloss) BETWEEN 3 AND 250 AND NOT regexp_matches(gloss, '[^\x00-\x7F]') AS valid FROM entry",
     "sub_definitions": r"""WITH p AS (SELECT entry_id, list_filter(list_transform(string_split_regex(raw, '[;,]'), lambda x: regexp_replace(trim(x), '[.,;:!?]+$', '')), lambda x: x <> '') AS parts FROM raw)
         SELECT entry_id, (generate_subscripts(parts, 1) - 1)::INTEGER AS n, unnest(parts) AS part FROM p""",
-    "operation_counts": r"SELECT pos, regexp_extract(raw, '^(To|not|In a|A group|One who|Of or|\{\{[a-z]+)', 1) AS op, count(*) AS n FROM raw GROUP BY 1, 2 ORDER BY n DESC, pos, op",
     "vocabulary": f"WITH w AS (SELECT unnest({_WORDS.format(g='gloss')}) AS word FROM (SELECT gloss FROM entry UNION ALL SELECT gloss FROM synset)) SELECT DISTINCT word FROM w WHERE lower(word) NOT IN ({_STOP})",
     "exceptions_out": "SELECT DISTINCT pos, surface || ' ' || base AS line FROM exception ORDER BY pos, line",
-    "new_synset_lines": """WITH l AS (SELECT src, string_agg(x, ' ' ORDER BY x) AS links FROM (SELECT src, dst || ',' || pointer AS x FROM edge) GROUP BY src)
-        SELECT key AS synset_id, '{ ' || replace(lemma, ' ', '_') || ' ' || coalesce(links, '') || ' (' || kind || ') }' AS line FROM parts LEFT JOIN l ON key = src""",
     "stable_synset_id": "SELECT entry_id, md5(pos || '|' || lemma || '|' || entry_id) AS synset_id FROM raw",
-    "route_by_operation": "SELECT entry_id, CASE WHEN length(lemma) >= 47 THEN 'drop' WHEN raw LIKE '{{synonym of%' THEN 'merge' WHEN pos IN ('adjective', 'adverb') THEN 'modifier' ELSE 'new synset' END AS route FROM raw",
-    "lemma_slot": """WITH r AS (SELECT entry_id, lemma, row_number() OVER (PARTITION BY lower(lemma), pos ORDER BY entry_id) AS slot FROM raw)
-        SELECT entry_id, lemma || CASE WHEN regexp_matches(lemma, '[0-9]$') THEN '"' ELSE '' END || slot AS file_id FROM r WHERE slot <= 15""",
-    "sense_cap": """WITH b AS (SELECT lemma, count(*) AS base FROM sense GROUP BY lemma), r AS (SELECT entry_id, lemma, row_number() OVER (PARTITION BY lemma ORDER BY entry_id) AS rn FROM raw)
-        SELECT entry_id, lemma FROM r LEFT JOIN b USING (lemma) WHERE coalesce(base, 0) + rn - 1 <= 99""",
-    "pointer_cap": "WITH r AS (SELECT src, dst, row_number() OVER (PARTITION BY dst ORDER BY src) AS rn FROM edge WHERE pointer = '@') SELECT src, dst FROM r WHERE rn <= 500",
     "pointer_counts": "SELECT src, count(DISTINCT CASE WHEN level = 'synset' THEN pointer END) + count(CASE WHEN level = 'word' THEN 1 END) AS n FROM edge GROUP BY src",
     "sense_counts": "SELECT lemma, count(*) AS n FROM sense GROUP BY lemma",
     "gloss_multimap": "SELECT gloss, string_agg(synset_id::VARCHAR, ' ' ORDER BY synset_id) AS ids FROM synset GROUP BY gloss",
-    "round_stats": r"""SELECT count(*) AS processed, count(*) FILTER (regexp_matches(raw, '^(To|not|In a|Of or)')) AS tentative,
-        count(*) FILTER (regexp_matches(raw, '^(To|not|In a|Of or)') AND regexp_matches(lemma, '^[A-Za-z0-9 ''_./-]+$') AND length(lemma) < 47 AND length(raw) BETWEEN 3 AND 250 AND NOT regexp_matches(raw, '[^\x00-\x7F]')) AS final FROM raw""",
 }

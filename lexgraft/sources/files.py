@@ -18,6 +18,8 @@ def scratch(spark: SparkSession) -> str:
     """A new folder in the cluster's checkpoint folder; one of our own where the session names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="lexgraft-")
         atexit.register(shutil.rmtree, base, True)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -55,3 +57,10 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     words = F.split(parts[0], " ")
     rows = spark.read.text(path).select(words[0].cast("long").alias("synset_id"), F.slice(words, F.lit(4), words[2].cast("int")).alias("lemmas"), parts[1].alias("gloss"))
     return rows.select("synset_id", F.transform("lemmas", lambda w: F.replace(w, F.lit("_"), F.lit(" "))).alias("lemmas"), "gloss")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df as a table in the scratch folder, read again: its lineage is cut and it is computed once."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

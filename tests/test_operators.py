@@ -14,6 +14,8 @@ def test_glosses_literally(spark):
     assert shown(spark, T.strip_annotations, ["{{a}} b {{c}}", "{{a"]) == ["b", "{{a"]
     assert shown(spark, T.leading_annotations, ["{{a|b}} {{c}} d {{e}}", "x {{a}}", "{{open"]) == [["a|b", "c"], [], []]
     assert shown(spark, T.is_slang, ["{{context|slang|lang=en}} x", "{{context|rare}}", "slang"]) == [True, False, False]
+    assert shown(spark, T.is_slang, ["{{context|informal}}", "{{context|US|ethnic slug}}", "{{context|obscene}}"]) == [True, True, False]
+    assert shown(spark, T.clean_gloss, ["{{soplink|a|b|c|d}}<ref name=SOED/> x"]) == ["abcd x"]
     assert shown(spark, T.linked_terms, ["see [[a]] [[b|c,]] or [[d]]", "none"]) == [["a", "c"], []]
     assert shown(spark, T.balance_parens, ["(a", "a))", "ok"]) == ["(a)", "((a))", "ok"]
     assert shown(spark, T.without_examples, ['a; "b c"; d']) == ["a; d"]
@@ -44,3 +46,26 @@ def test_tiling():
     assert similarity.tiling("abcxyz", "xyzabc", 3) == 1.0
     assert similarity.tiling("abcd", "abxcd", 3) == 0.0
     assert similarity.tiling("", "a", 3) == 0.0
+    import random
+
+    def plain(a, b, least):  # every pair of places, again and again
+        free_a, free_b, marked = [True] * len(a), [True] * len(b), 0
+        while True:
+            top, found = least - 1, None
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    n = 0
+                    while i + n < len(a) and j + n < len(b) and free_a[i + n] and free_b[j + n] and a[i + n] == b[j + n]:
+                        n += 1
+                    if n > top:
+                        top, found = n, (i, j)
+            if found is None:
+                return marked / len(a)
+            i, j = found
+            free_a[i : i + top], free_b[j : j + top] = [False] * top, [False] * top
+            marked += top
+
+    pick = random.Random(1)
+    for _ in range(200):
+        a, b = ("".join(pick.choices("ab", k=pick.randint(1, 25))) for _ in range(2))
+        assert similarity.tiling(a, b, 3) == plain(a, b, 3)
