@@ -135,7 +135,9 @@ def repeated(sets: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
 
 def led(sets: DataFrame, prefixed: DataFrame, t: float) -> DataFrame:
     """(set): sets that repeat the earliest set of a group of a word that many hold, by LEADERS leaders a group."""
-    wide = rows_of(prefixed.filter(F.element_at("prefix", -1) >= HOT << RARITY_SHIFT)).filter(F.col("code") >= HOT << RARITY_SHIFT)
+    words = F.filter(F.transform("prefix", lambda c, i: F.struct(i.alias("pos"), c.alias("code"))), lambda w: w["code"] >= HOT << RARITY_SHIFT)
+    wide = prefixed.filter(F.element_at("prefix", -1) >= HOT << RARITY_SHIFT).select("set", "id", "n", "b1", "b2", F.explode(words).alias("w"))
+    wide = wide.select("w.code", "id", "set", "n", "w.pos", "b1", "b2")
     found = tried = None
     for _ in range(LEADERS):
         rows = wide if tried is None else wide.join(tried, "set", "left_anti")

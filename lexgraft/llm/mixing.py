@@ -129,7 +129,7 @@ def mixed_documents(docs: DataFrame, weigh: Callable[[list], list[float]] | None
     sums = mix(numbered, weigh, share, most, id_col, text_col, source_col, F.col("__row")).filter("taken > 0")
     sums = sums.select(F.col("row").alias("__row"), F.col("taken").alias("__taken"))
     rest = [c for c in docs.columns if c != "taken"]
-    return numbered.join(sums, "__row").select(*rest, F.col("__taken").alias("taken"))
+    return numbered.join(sums.hint("merge"), "__row").select(*rest, F.col("__taken").alias("taken"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
