@@ -119,6 +119,16 @@ def visited(rows: DataFrame, asked: DataFrame, blocks: int, k: int) -> DataFrame
     return one.groupBy("bucket", "block").cogroup(two.groupBy("bucket", "block")).applyInPandas(run, FOUND)
 
 
+def ranged(df: DataFrame, n: int, *order: Column | str, name: str) -> tuple[DataFrame, int]:
+    """(df as a table with column `name`: n ranges at most of the order, however many partitions they have; their number)."""
+    dealt = written(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), name)
+    parts = (dealt.agg(F.max("__part").alias("p")).collect()[0].p or 0) + 1
+    number = F.floor(F.col("__part") * min(n, parts) / parts).cast("int")
+    out = dealt.withColumn(name, number).drop("__part")
+    out.scratch = dealt.scratch
+    return out, min(n, parts)
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score, products) for each row of vectors that is_query holds for, against all other rows.
 
@@ -127,9 +137,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     kept = whole(vectors.withColumn("__query", is_query), id_col, vector_col, scale)
     sums = kept.agg(F.count("*").alias("n"), F.sum(F.col("asked").cast("long")).alias("m")).collect()[0]
     n, m = sums.n, sums.m or 0
-    dealt = kept.repartitionByRange(max(1, -(-n // BUCKET_ROWS)), F.desc("length"), "id")
-    rows = written(dealt.withColumn("bucket", F.spark_partition_id()), "buckets")
-    last = (rows.agg(F.max("bucket").alias("b")).collect()[0].b or 0) + 1
+    rows, last = ranged(kept, max(1, -(-n // BUCKET_ROWS)), F.desc("length"), "id", name="bucket")
     queries = rows.filter("asked").select("id", "v", "length")
     blocks, begin, found, made = max(1, -(-m // QUERY_ROWS)), 0, None, None
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -140,9 +148,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
             kth = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("best"))
             asked = queries.join(kth, F.col("id") == F.col("query_id"), "left").drop("query_id")
         need = F.when((F.col("best") > 0) & (F.col("length") > 0), F.col("best") / F.col("length"))
-        asked = asked.withColumn("need", need).repartitionByRange(blocks, "need", "id").withColumn("block", F.spark_partition_id())
-        asked = written(asked, "asked")
-        met = written(visited(rows.filter((F.col("bucket") >= begin) & (F.col("bucket") < end)), asked, (asked.agg(F.max("block").alias("b")).collect()[0].b or 0) + 1, k), "met")
+        asked, most = ranged(asked.withColumn("need", need), blocks, "need", "id", name="block")
+        met = written(visited(rows.filter((F.col("bucket") >= begin) & (F.col("bucket") < end)), asked, most, k), "met")
         new = met.filter("vec_id IS NOT NULL").select("query_id", "vec_id", "score")
         new = new if found is None else found.union(new)
         old, found = found, written(new.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).drop("rank"), "found")
