@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexgraft.llm import brown, chat, decontaminate, lines, mixing, quality, secrets, simhash, topk, toxicity
+from lexgraft.llm import audit, brown, chat, decontaminate, lines, mixing, quality, secrets, simhash, topk, toxicity
 
-MODULES = (toxicity, quality, mixing, lines, brown, decontaminate, topk, simhash, secrets, chat)
+MODULES = (toxicity, quality, mixing, lines, brown, decontaminate, topk, simhash, secrets, chat, audit)
 
 
 def queries() -> dict:
