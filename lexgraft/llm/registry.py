@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexgraft.llm import audit, brown, chat, decontaminate, lines, mixing, quality, ring, secrets, simhash, topk, toxicity
+from lexgraft.llm import audit, brown, chat, decontaminate, lines, mixing, quality, ring, secrets, simhash, spelling, topk, toxicity
 
-MODULES = (toxicity, quality, mixing, lines, brown, decontaminate, topk, simhash, secrets, chat, audit, ring)
+MODULES = (toxicity, quality, mixing, lines, brown, decontaminate, topk, simhash, secrets, chat, spelling, audit, ring)
 
 
 def queries() -> dict:
