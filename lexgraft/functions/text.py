@@ -20,7 +20,6 @@ STOP = tuple(
         "wouldn't you you'd you'll you're you've your yours yourself yourselves"
     ).split(" ")
 )
-TOO_GENERAL = ("city", "person", "military", "physics", "plural", "town", "law", "mineral", "enzyme", "protein", "body", "act", "compound", "drug", "kind", "form", "state", "member", "type", "condition", "computer science", "term", "word")
 SOURCE_TAG = "<ref name=SOED/>"
 
 
@@ -85,25 +84,30 @@ def lemma_variants(lemma: Column) -> Column:
     return F.when(lemma.contains("_"), F.array(lemma, swap("_", " "), swap("_", "-"))).when(lemma.contains("-"), F.array(lemma, swap("-", " "))).when(lemma.contains(" "), F.array(lemma, swap(" ", "-"))).otherwise(F.array(lemma))
 
 
-#: Endings of regular noun forms and what they stand for.
-NOUN_ENDINGS = (("ses", "s"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y"), ("s", ""))
+#: Endings of regular forms and what they stand for, by part of speech; adverbs have none.
+ENDINGS = {
+    "noun": (("ses", "s"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y"), ("s", "")),
+    "verb": (("s", ""), ("ies", "y"), ("es", "e"), ("es", ""), ("ed", "e"), ("ed", ""), ("ing", "e"), ("ing", "")),
+    "adjective": (("er", ""), ("est", ""), ("er", "e"), ("est", "e")),
+}
 
 
-def stems(word: Column) -> Column:
-    """Possible base forms of a noun by its ending."""
-    forms = [F.when(word.endswith(end), F.concat(word.substr(F.lit(1), F.length(word) - len(end)), F.lit(base))) for end, base in NOUN_ENDINGS]
-    return F.array_distinct(F.filter(F.array(*forms), lambda f: f.isNotNull() & (F.length(f) > 0)))
+def stems(word: Column, pos: Column) -> Column:
+    """Possible base forms of a word by the endings of its part of speech."""
+    cut = lambda end, base: F.when(word.endswith(end), F.concat(word.substr(F.lit(1), F.length(word) - len(end)), F.lit(base)))
+    forms = F.array().cast("array<string>")
+    for p, rules in ENDINGS.items():
+        forms = F.when(pos == p, F.array(*(cut(*r) for r in rules))).otherwise(forms)
+    return F.array_distinct(F.filter(forms, lambda f: f.isNotNull() & (F.length(f) > 0)))
 
 
-def compound_stems(lemma: Column) -> Column:
+def compound_stems(lemma: Column, pos: Column) -> Column:
     """All combinations of the words' stems; a word without stems stands for itself."""
-    def options(word: Column) -> Column:
-        return F.when(F.size(stems(word)) > 0, stems(word)).otherwise(F.array(word))
+    def step(acc: Column, options: Column) -> Column:
+        return F.flatten(F.transform(acc, lambda a: F.transform(options, lambda o: F.when(a == "", o).otherwise(F.concat_ws(" ", a, o)))))
 
-    def step(acc: Column, word: Column) -> Column:
-        return F.flatten(F.transform(acc, lambda a: F.transform(options(word), lambda o: F.when(a == "", o).otherwise(F.concat_ws(" ", a, o)))))
-
-    return F.aggregate(F.split(lemma, " "), F.array(F.lit("")), step)
+    options = F.transform(F.split(lemma, " "), lambda w: F.when(F.size(stems(w, pos)) > 0, stems(w, pos)).otherwise(F.array(w)))
+    return F.aggregate(options, F.array(F.lit("")), step)
 
 
 def balance_parens(gloss: Column) -> Column:

@@ -16,9 +16,9 @@ def exact(keys: DataFrame, sense: DataFrame) -> DataFrame:
 def key_forms(keys: DataFrame, exception: DataFrame) -> DataFrame:
     """(key_id, pos, lemma, branch): the lemma's spellings (0), their stems (1), compound stems (2), irregular bases (3)."""
     spelled = keys.select("key_id", "pos", F.explode(T.lemma_variants(F.col("lemma"))).alias("lemma"))
-    stems = spelled.select("key_id", "pos", "lemma", T.stems(F.col("lemma")).alias("stems"))
+    stems = spelled.select("key_id", "pos", "lemma", T.stems(F.col("lemma"), F.col("pos")).alias("stems"))
     one = stems.select("key_id", "pos", F.explode("stems").alias("lemma"), F.lit(1).alias("branch"))
-    many = stems.filter((F.size("stems") == 0) & F.col("lemma").contains(" ")).select("key_id", "pos", F.explode(T.compound_stems(F.col("lemma"))).alias("lemma"), F.lit(2).alias("branch"))
+    many = stems.filter((F.size("stems") == 0) & F.col("lemma").contains(" ")).select("key_id", "pos", F.explode(T.compound_stems(F.col("lemma"), F.col("pos"))).alias("lemma"), F.lit(2).alias("branch"))
     odd = spelled.join(exception.withColumnRenamed("surface", "lemma"), ["lemma", "pos"]).select("key_id", "pos", F.col("base").alias("lemma"), F.lit(3).alias("branch"))
     return spelled.select("key_id", "pos", "lemma", F.lit(0).alias("branch")).unionByName(one).unionByName(many).unionByName(odd)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexgraft.functions import text as T
 from lexgraft.operators import graph, lookup, similarity
+from lexgraft.sources import files
 from lexgraft.sources import tables as S
 
 
@@ -46,7 +47,7 @@ def first_sense(spark, d):
 def in_lexicon_semi(spark, d):
     """Keys that are a lemma themselves, by a stem or by an irregular form (no spellings, no compounds)."""
     k = keys(spark, d)
-    forms = k.select("key_id", "pos", F.explode(F.concat(F.array("lemma"), T.stems(F.col("lemma")))).alias("lemma"))
+    forms = k.select("key_id", "pos", F.explode(F.concat(F.array("lemma"), T.stems(F.col("lemma"), F.col("pos")))).alias("lemma"))
     odd = k.join(S.exception(spark, d).withColumnRenamed("surface", "lemma"), ["lemma", "pos"]).select("key_id", "pos", F.col("base").alias("lemma"))
     return forms.unionByName(odd).join(S.sense(spark, d), ["lemma", "pos"], "left_semi").select("key_id").distinct()
 
@@ -99,20 +100,25 @@ def load_vectors(spark, d):
     return rows.select("word", F.round(F.col("vec")[0], 6).alias("x"), F.round(F.col("vec")[63], 6).alias("y"))
 
 
+def vector_rows(df: DataFrame, name: str) -> DataFrame:
+    """(name, c1, .., c64): all components of the vectors, to six places."""
+    return df.select(name, *(F.round(F.col("vec")[i], 6).alias(f"c{i + 1}") for i in range(similarity.DIMENSIONS)))
+
+
 def gloss_vector(spark, d):
     """V1: vectors of the entries' glosses."""
-    rows = similarity.gloss_vectors(S.entry(spark, d), similarity.normalised(S.word_vector(spark, d)))
-    return rows.select("gloss", F.round(F.col("vec")[0], 6).alias("x"), F.round("norm", 6).alias("norm"))
+    glosses = S.entry(spark, d).select("gloss")
+    rows = similarity.gloss_vectors(glosses, similarity.normalised(S.word_vector(spark, d)))
+    return vector_rows(rows.withColumn("gloss", F.lower(F.hex("digest"))), "gloss")
 
 
 def scored(spark, d) -> DataFrame:
-    """Each entry with every sense of its lemma, and the cosine of the glosses. One vector for each distinct gloss."""
+    """Each entry with every sense of its lemma, and the cosine of the glosses. One vector for each distinct gloss of either side."""
     vectors = similarity.normalised(S.word_vector(spark, d))
     entries, synsets = S.entry(spark, d), S.synset(spark, d).select("synset_id", "gloss")
-    pack = lambda df, name: similarity.gloss_vectors(df, vectors).select("gloss", F.struct("vec", "norm").alias(name))
-    left = entries.join(pack(entries, "a"), "gloss").select("entry_id", "lemma", "pos", "a")
-    right = S.sense(spark, d).join(synsets.join(pack(synsets, "b"), "gloss").drop("gloss"), "synset_id")
-    met = left.join(right, ["lemma", "pos"])
+    every = files.kept(similarity.gloss_vectors(entries.select("gloss").union(synsets.select("gloss")), vectors))
+    pack = lambda df, name: df.withColumn("digest", similarity.digest("gloss")).drop("gloss").join(every.select("digest", F.struct("vec", "norm").alias(name)), "digest").drop("digest")
+    met = pack(entries, "a").join(S.sense(spark, d).join(pack(synsets, "b"), "synset_id"), ["lemma", "pos"])
     return met.select("entry_id", "synset_id", "sense_rank", F.round(similarity.cosine("a", "b"), 6).alias("score"))
 
 

@@ -20,6 +20,7 @@ _VECTORS = f"""unit AS MATERIALIZED (SELECT word, list_transform(vec, lambda x:
 _SCORED = f"""{_VECTORS},
   scored AS MATERIALIZED (SELECT e.entry_id, s.synset_id, s.sense_rank, round(coalesce(list_cosine_similarity(a.vec, b.vec), 0), 6) AS score
     FROM entry e JOIN gv a ON a.gloss = e.gloss JOIN sense s USING (lemma, pos) JOIN synset y ON y.synset_id = s.synset_id JOIN gv b ON b.gloss = y.gloss)"""
+_COMPONENTS = ", ".join(f"round(vec[{i}], 6) AS c{i}" for i in range(1, 65))
 SQL = {
     "sense_lookup": "SELECT entry_id, synset_id, sense_rank FROM entry JOIN sense USING (lemma, pos)",
     "fuzzy_sense_lookup": f"WITH {_FORMS} SELECT key_id, synset_id, branch::INTEGER AS branch FROM fuzzy",
@@ -36,7 +37,7 @@ SQL = {
     "synset_votes": f"WITH {_VOTES} SELECT entry_id, synset_id, n FROM votes",
     "lemma_weights": f"WITH {_WEIGHTS} SELECT lemma, round(weight, 6) AS weight FROM weights",
     "load_vectors": f"WITH {_VECTORS}, ew AS (SELECT DISTINCT unnest({_LIST.format(g='gloss')}) AS word FROM entry) SELECT word, round(vec[1], 6) AS x, round(vec[64], 6) AS y FROM unit JOIN ew USING (word)",
-    "gloss_vector": f"WITH {_VECTORS} SELECT gloss, round(vec[1], 6) AS x, round(sqrt(list_dot_product(vec, vec)), 6) AS norm FROM gv WHERE gloss IN (SELECT gloss FROM entry)",
+    "gloss_vector": f"WITH {_VECTORS} SELECT md5(gloss) AS gloss, {_COMPONENTS} FROM gv WHERE gloss IN (SELECT gloss FROM entry)",
     "gloss_cosine": f"WITH {_SCORED} SELECT entry_id, synset_id, score FROM scored",
     "best_sense": f"WITH {_SCORED} SELECT entry_id, synset_id, score FROM scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY score DESC, sense_rank, synset_id) = 1",
     "too_similar_filter": f"WITH {_SCORED} SELECT entry_id, lemma FROM entry WHERE entry_id NOT IN (SELECT entry_id FROM scored WHERE score > 0.3)",

@@ -4,13 +4,17 @@
 2. found(): all words of all rules are looked up at once, in fallback order; rank is a sense's place.
 3. scored(): cosine of the entry's gloss and the sense's, plain and with its lemmas (extended).
 4. duplicate(): pairs of an entry and a synset that is a sense of its lemma or within two hops of one.
-5. Each rule decides; proposals() are all their operations. The least rule of an entry stands (first_match).
+5. Each rule decides; proposals() are all their operations. The least rule of an entry stands (first_match), so rules
+   are asked in stages, and entries leave after the first stage that proposes anything for them (cascade).
 
 Ties go by score, then place of the sense, then synset. Gloss-window patterns are written from what the rules say.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,16 +68,80 @@ PATTERN = {
 
 
 class Lexicon:
-    """The tables that the rules read, each written once, so that no plan grows by all that stands before it."""
+    """The tables that the rules read, each written once, when it is first asked for."""
+
+    def __init__(self, spark, d, **tables):
+        """tables: those that stand in place of the folder's."""
+        self.spark, self.d = spark, d
+        self.__dict__.update(tables)
+
+    def with_tables(self, **tables) -> Lexicon:
+        """The same with other senses, synsets, edges, exceptions or entries; what doesn't depend on them is shared."""
+        own = {k: v for k, v in self.__dict__.items() if k in ("parts", "words", "relation", "vectors", "sense", "synset", "edge", "exception", "entries")}
+        return Lexicon(self.spark, self.d, **(own | tables))
+
+    @cached_property
+    def parts(self) -> DataFrame:
+        return files.kept(S.part_words(self.spark, self.d))
+
+    @cached_property
+    def words(self) -> DataFrame:
+        return files.kept(S.word_senses(self.spark, self.d))
+
+    @cached_property
+    def sense(self) -> DataFrame:
+        return files.kept(S.sense(self.spark, self.d))
+
+    @cached_property
+    def synset(self) -> DataFrame:
+        return files.kept(S.synset(self.spark, self.d))
 
-    def __init__(self, spark, d):
-        keep = files.kept
-        self.spark = spark
-        self.parts, self.words = keep(S.part_words(spark, d)), keep(S.word_senses(spark, d))
-        self.sense, self.synset, self.edge = keep(S.sense(spark, d)), keep(S.synset(spark, d)), keep(S.edge(spark, d))
-        self.relation, self.exception = keep(S.relation(spark, d)), keep(S.exception(spark, d))
-        self.entries = keep(S.raw(spark, d).withColumn("gloss", T.clean_gloss(F.col("raw"))))
-        self.vectors = keep(similarity.normalised(S.word_vector(spark, d)))
+    @cached_property
+    def edge(self) -> DataFrame:
+        return files.kept(S.edge(self.spark, self.d))
+
+    @cached_property
+    def relation(self) -> DataFrame:
+        return files.kept(S.relation(self.spark, self.d))
+
+    @cached_property
+    def exception(self) -> DataFrame:
+        return files.kept(S.exception(self.spark, self.d))
+
+    @cached_property
+    def entries(self) -> DataFrame:
+        return files.kept(S.raw(self.spark, self.d).withColumn("gloss", T.clean_gloss(F.col("raw"))))
+
+    @cached_property
+    def vectors(self) -> DataFrame:
+        return files.kept(similarity.normalised(S.word_vector(self.spark, self.d)))
+
+    @cached_property
+    def texts(self) -> DataFrame:
+        """(entry_id, part, a): vectors of the entries' glosses (all) and of what follows a group's name (rest)."""
+        after = pick(F.col("gloss"), "group", 2)
+        rest = self.entries.filter(after != "").select("entry_id", F.lit("rest").alias("part"), after.alias("gloss"))
+        every = self.entries.select("entry_id", F.lit("all").alias("part"), "gloss").union(rest)
+        vec = similarity.gloss_vectors(every, self.vectors).select("digest", F.struct("vec", "norm").alias("a"))
+        return files.kept(every.select("entry_id", "part", similarity.digest("gloss").alias("digest")).join(vec, "digest", "left").drop("digest"))
+
+    @cached_property
+    def sides(self) -> DataFrame:
+        """(synset_id, p, x): vectors of the synsets' glosses, plain and with their lemmas (extended).
+
+        An extended gloss has the words of the plain one and the lemmas' other words, so its text is never made.
+        """
+        plain = self.synset.select("synset_id", T.without_examples(F.col("gloss")).alias("gloss"))
+        ids = plain.select("synset_id", similarity.digest("gloss").alias("digest"))
+        words = files.kept(similarity.word_rows(plain))
+        sums = files.kept(similarity.word_sums(words, "digest", self.vectors))
+        lemmas = self.sense.join(ids, "synset_id").select("synset_id", "digest", F.explode(T.gloss_words(F.lower("lemma"))).alias("word")).distinct()
+        more = similarity.word_sums(lemmas.join(words, ["digest", "word"], "left_anti"), "synset_id", self.vectors)
+        met = ids.join(sums, "digest", "left").join(more.withColumnRenamed("vec", "more"), "synset_id", "left")
+        both = F.when(F.col("vec").isNull(), F.col("more")).when(F.col("more").isNull(), F.col("vec")).otherwise(F.zip_with("vec", "more", lambda a, b: a + b))
+        met = met.join(self.sense.select("synset_id").distinct(), "synset_id", "left_semi").withColumn("both", both)
+        pack = lambda name: F.when(F.col(name).isNotNull(), F.struct(F.col(name).alias("vec"), similarity.norm(name).alias("norm")))
+        return files.kept(met.select("synset_id", pack("vec").alias("p"), pack("both").alias("x")))
 
 
 def pick(text: Column, name: str, group: int = 1) -> Column:
@@ -86,13 +154,14 @@ def links(text: Column, name: str) -> Column:
     return T.noun_ngrams(words)
 
 
-def named(x) -> DataFrame:
-    """(entry_id, rule, kind, ord, word, wpos): what the rules' patterns name; J6 has kept known lemmas from rules 5 and 10 to 15."""
-    e = x.entries
+def named(x, e: DataFrame, rules: Sequence[int]) -> DataFrame:
+    """(entry_id, rule, kind, ord, word, wpos): what these rules' patterns name in entries e; J6 has kept known lemmas from rules 5 and 10 to 15."""
     plain, low, pos = T.strip_annotations(F.col("raw")), F.lower("gloss"), F.col("pos")
     out = []
 
     def rows(df: DataFrame, rule: int, kind, words: Column, wpos) -> None:
+        if rule not in rules:
+            return
         lit = lambda x: F.lit(x) if isinstance(x, str) else x
         found = df.select("entry_id", F.lit(rule).alias("rule"), lit(kind).alias("kind"), F.posexplode(words).alias("ord", "word"), lit(wpos).alias("wpos"))
         out.append(found.filter("word <> ''"))
@@ -154,32 +223,17 @@ def found(x, words: DataFrame) -> DataFrame:
     return met.select(F.split("key_id", r"\|", 2)[1].alias("word"), F.split("key_id", r"\|", 2)[0].alias("wpos"), "synset_id", "rank", "senses")
 
 
-def gloss_texts(x, ids: DataFrame) -> DataFrame:
-    """(synset_id, plain, extended) of the synsets of ids."""
-    lemmas = x.sense.groupBy("synset_id").agg(F.array_sort(F.collect_set("lemma")).alias("lemmas"))
-    met = x.synset.join(ids.select("synset_id").distinct(), "synset_id", "left_semi").join(lemmas, "synset_id")
-    plain = T.without_examples(F.col("gloss"))
-    return met.select("synset_id", plain.alias("plain"), T.extended_gloss(plain, F.col("lemmas")).alias("extended"))
-
-
-def scores(x, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (entry_id, part, synset_id) with plain and extended: cosines of the entry's text (entry_id, part, text) and the sense's."""
+def scores(x, pairs: DataFrame) -> DataFrame:
+    """pairs (entry_id, part, synset_id) with plain and extended: cosines of the entry's text and the sense's."""
     pairs = pairs.select("entry_id", "part", "synset_id").distinct()
-    texts = texts.join(pairs.select("entry_id", "part").distinct(), ["entry_id", "part"], "left_semi")
-    sides = gloss_texts(x, pairs)
-    every = texts.select(F.col("text").alias("gloss")).union(sides.select("plain")).union(sides.select("extended")).distinct()
-    vec = similarity.gloss_vectors(every, x.vectors).select("gloss", F.struct("vec", "norm").alias("v"))
-    left = texts.join(vec, texts.text == vec.gloss, "left").select("entry_id", "part", F.col("v").alias("a"))
-    one = sides.join(vec.withColumnRenamed("v", "p"), F.col("plain") == F.col("gloss"), "left").drop("gloss")
-    right = one.join(vec.withColumnRenamed("v", "x"), F.col("extended") == F.col("gloss"), "left").select("synset_id", "p", "x")
-    met = pairs.select("entry_id", "part", "synset_id").distinct().join(left, ["entry_id", "part"]).join(right, "synset_id")
+    met = pairs.join(x.texts, ["entry_id", "part"]).join(x.sides, "synset_id")
     return met.select("entry_id", "part", "synset_id", F.round(similarity.cosine("a", "p"), 6).alias("plain"), F.round(similarity.cosine("a", "x"), 6).alias("extended"))
 
 
 def own_senses(x) -> DataFrame:
-    """(entry_id, own): senses of an entry's lemma in its spellings."""
-    forms = x.entries.select("entry_id", "pos", F.explode(T.lemma_variants(F.col("lemma"))).alias("lemma"))
-    return forms.join(x.sense, ["lemma", "pos"]).select("entry_id", F.col("synset_id").alias("own")).distinct()
+    """(entry_id, own): senses of an entry's lemma, by J2: spellings, stems, compound stems, irregular forms."""
+    keys = x.entries.select(F.col("entry_id").alias("key_id"), "lemma", "pos")
+    return lookup.fuzzy(keys, x.sense, x.exception).select(F.col("key_id").alias("entry_id"), F.col("synset_id").alias("own")).distinct()
 
 
 def duplicates(x, pairs: DataFrame) -> DataFrame:
@@ -246,23 +300,30 @@ def domain_links(x) -> DataFrame:
     """Of a domain's noun senses the only one, or the most similar (extended, from -1 on)."""
     words = domains(x).withColumn("wpos", F.lit("noun"))
     met = words.join(found(x, words), ["word", "wpos"]).withColumn("part", F.lit("all"))
-    texts = x.entries.select("entry_id", F.lit("all").alias("part"), F.col("gloss").alias("text")).join(met.select("entry_id").distinct(), "entry_id", "left_semi")
-    rows = met.join(scores(x, met, texts), ["entry_id", "part", "synset_id"])
+    rows = met.join(scores(x, met), ["entry_id", "part", "synset_id"])
     return top(rows, ["entry_id", "word"], "extended", -1.0).select("entry_id", F.col("word").alias("domain"), F.col("synset_id").alias("target")).distinct()
 
 
 class Round:
-    """Everything that the rules decide on."""
+    """What some rules decide on for some entries."""
 
-    def __init__(self, x: Lexicon):
-        self.x, self.spark, self.entries = x, x.spark, x.entries
-        self.named = files.kept(named(x))
-        met = self.named.join(found(x, self.named), ["word", "wpos"])
-        self.found = files.kept(met.withColumn("part", F.when((F.col("rule") == 7) & (F.col("kind") == "member"), "rest").otherwise("all")))
-        after = pick(F.col("gloss"), "group", 2)
-        rest = self.entries.filter(after != "").select("entry_id", F.lit("rest").alias("part"), after.alias("text"))
-        self.texts = self.entries.select("entry_id", F.lit("all").alias("part"), F.col("gloss").alias("text")).union(rest)
-        self.rows = files.kept(self.found.join(scores(x, self.found, self.texts), ["entry_id", "part", "synset_id"]))
+    def __init__(self, x: Lexicon, rules: Sequence[int] | None = None, entries: DataFrame | None = None):
+        self.x, self.spark = x, x.spark
+        self.rules = tuple(RULES.values()) if rules is None else tuple(rules)
+        self.entries = x.entries if entries is None else entries
+
+    @cached_property
+    def named(self) -> DataFrame:
+        return files.kept(named(self.x, self.entries, self.rules))
+
+    @cached_property
+    def found(self) -> DataFrame:
+        met = self.named.join(found(self.x, self.named), ["word", "wpos"])
+        return files.kept(met.withColumn("part", F.when((F.col("rule") == 7) & (F.col("kind") == "member"), "rest").otherwise("all")))
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return files.kept(self.found.join(scores(self.x, self.found), ["entry_id", "part", "synset_id"]))
 
     def of(self, rule: int, *kinds: str) -> DataFrame:
         rows = self.rows.filter(F.col("rule") == rule)
@@ -282,7 +343,7 @@ class Round:
         if hypernyms:
             up = self.x.edge.filter("pointer = '@'").select(F.col("src").alias("synset_id"), F.col("dst").alias("up"))
             more = votes.join(up, "synset_id").select("entry_id", "word", F.col("up").alias("synset_id"), "rank")
-            near = scores(self.x, more.withColumn("part", F.lit("all")), self.texts).select("entry_id", "synset_id", "plain")
+            near = scores(self.x, more.withColumn("part", F.lit("all"))).select("entry_id", "synset_id", "plain")
             votes = votes.unionByName(more.join(near, ["entry_id", "synset_id"]))
         counts = votes.groupBy("entry_id", "synset_id").agg(F.count("*").alias("n"), F.min("rank").alias("rank"), F.max("plain").alias("plain"))
         words = rows.groupBy("entry_id").agg(F.count_distinct("word").alias("words"))
@@ -371,10 +432,10 @@ class Round:
         already = own_senses(self.x).join(persons, F.col("own") == F.col("synset_id")).select("entry_id").distinct()
         names = lemmas.select(F.col("lemma").alias("word")).union(self.spark.createDataFrame([(w,) for w in ALWAYS_PERSON], "word string"))
         typed = self.of(8, "typed").filter("rank = 1").join(names, "word", "left_semi").select("entry_id", F.col("synset_id").alias("target"), F.lit("typed").alias("how"), F.col("plain").alias("score"))
-        generic = self.named.filter("rule = 8 AND kind = 'generic'").select("entry_id", F.lit("all").alias("part"), "wpos")
-        every = generic.join(persons.withColumn("wpos", F.lit("noun")), "wpos").withColumn("rank", F.lit(1))
-        texts = self.entries.select("entry_id", F.lit("all").alias("part"), F.col("gloss").alias("text")).join(generic.select("entry_id"), "entry_id", "left_semi")
-        best = top(every.join(scores(self.x, every, texts), ["entry_id", "part", "synset_id"]), ["entry_id"], "plain")
+        generic = self.named.filter("rule = 8 AND kind = 'generic'").select("entry_id").distinct()
+        asked = self.x.texts.filter("part = 'all'").join(generic, "entry_id", "left_semi").select(F.col("entry_id").alias("key"), F.col("a").alias("v"))
+        held = self.x.sides.join(persons, "synset_id", "left_semi").select(F.col("synset_id").alias("id"), F.col("p").alias("v"))
+        best = similarity.nearest(files.kept(asked), files.kept(held)).select(F.col("key").alias("entry_id"), F.col("id").alias("synset_id"), F.col("score").alias("plain"))
         out = typed.unionByName(best.select("entry_id", F.col("synset_id").alias("target"), F.lit("closure").alias("how"), F.col("plain").alias("score")))
         return out.join(already, "entry_id", "left_anti").select("entry_id", F.lit("hypernym").alias("op"), "target", "how", "score")
 
@@ -393,8 +454,7 @@ class Round:
         back = self.x.edge.filter("pointer = '\\\\'").select(F.col("dst").alias("noun"), F.col("src").alias("synset_id"))
         none = noun.join(back.select("noun").distinct(), "noun", "left_anti").select("entry_id", F.lit("pertainym").alias("op"), F.col("noun").alias("target"), F.lit("noun").alias("how"), "score")
         some = noun.join(back, "noun").withColumn("part", F.lit("all"))
-        texts = self.entries.select("entry_id", F.lit("all").alias("part"), F.col("gloss").alias("text")).join(some.select("entry_id").distinct(), "entry_id", "left_semi")
-        close = some.join(scores(self.x, some, texts), ["entry_id", "part", "synset_id"]).filter("plain > score").withColumn("rank", F.lit(1))
+        close = some.join(scores(self.x, some), ["entry_id", "part", "synset_id"]).filter("plain > score").withColumn("rank", F.lit(1))
         best = top(close, ["entry_id"], "plain", -1.0)
         return none.unionByName(best.select("entry_id", F.lit("merge").alias("op"), F.col("synset_id").alias("target"), F.lit("adjective").alias("how"), F.col("plain").alias("score")))
 
@@ -409,11 +469,10 @@ RULES = {"annotation_rule": 1, "relation_synonym": 2, "antonym_rule": 3, "synony
 
 
 def proposed(one: Round) -> DataFrame:
-    """(entry_id, rule, op, target, how, score): what all rules propose, as tables."""
+    """(entry_id, rule, op, target, how, score): what the round's rules propose."""
     out = None
-    for number in RULES.values():
+    for number in one.rules:
         rows = one.rule(number).withColumn("rule", F.lit(number)).select("entry_id", "rule", "op", "target", "how", "score")
-        rows = files.kept(rows)
         out = rows if out is None else out.unionByName(rows)
     return out.distinct()
 
@@ -424,14 +483,33 @@ def stands(made: DataFrame) -> DataFrame:
     return made.withColumn("least", least).filter("rule = least").drop("least")
 
 
+#: Rules that are asked together; later ones only of entries for which no earlier one has a proposal.
+STAGES = ((1, 2), (3, 4, 5, 6), (7, 8), (10, 11, 12, 13, 14, 15))
+
+
+def cascade(x: Lexicon) -> tuple[DataFrame, list[Round]]:
+    """(what stands(proposed()) gives over all rules, the rounds of the stages); no entry is scored after its match."""
+    pool, out, rounds = x.entries, None, []
+    for rules in STAGES:
+        rounds.append(Round(x, rules, pool))
+        rows = files.kept(stands(proposed(rounds[-1])))
+        out = rows if out is None else out.unionByName(rows)
+        if rules != STAGES[-1]:
+            pool = files.kept(pool.join(rows.select("entry_id").distinct(), "entry_id", "left_anti"))
+    return out, rounds
+
+
 _MADE: dict = {}
 
 
 def made(spark, d, part: str):
-    """What is derived from a folder of tables once in a session: "lexicon", "round", "proposals" (written tables)."""
-    key = (spark.sparkContext.applicationId, d, part)
+    """What is derived from a folder of tables once in a session, while its files are the same.
+
+    "lexicon", "round" (all rules), "proposals" (of all rules), "accepted" (of each entry's first).
+    """
+    key = (spark.sparkContext.applicationId, d, part, files.stamp(spark, d))
     if key not in _MADE:
-        makers = {"lexicon": lambda: Lexicon(spark, d), "round": lambda: Round(made(spark, d, "lexicon")), "proposals": lambda: proposed(made(spark, d, "round"))}
+        makers = {"lexicon": lambda: Lexicon(spark, d), "round": lambda: Round(made(spark, d, "lexicon")), "proposals": lambda: files.kept(proposed(made(spark, d, "round"))), "accepted": lambda: cascade(made(spark, d, "lexicon"))[0]}
         _MADE[key] = makers[part]()
     return _MADE[key]
 
@@ -445,7 +523,7 @@ def proposals(spark, d) -> DataFrame:
 
 
 def first_match(spark, d) -> DataFrame:
-    return stands(proposals(spark, d))
+    return made(spark, d, "accepted")
 
 
 def only(number: int):

@@ -15,24 +15,25 @@ def ex(text: str, name: str, group: int = 1) -> str:
     return f"regexp_extract({text}, '{PATTERN[name]}', {group})"
 
 
-def stems(w: str) -> str:
-    forms = ", ".join(f"CASE WHEN {w} LIKE '%{end}' THEN left({w}, length({w}) - {len(end)}) || '{base}' END" for end, base in T.NOUN_ENDINGS)
-    return f"list_distinct(list_filter([{forms}], lambda f: f IS NOT NULL AND length(f) > 0))"
+def stems(w: str, pos: str = "pos") -> str:
+    cut = lambda end, base: f"CASE WHEN {w} LIKE '%{end}' THEN left({w}, length({w}) - {len(end)}) || '{base}' END"
+    cases = " ".join(f"WHEN '{p}' THEN [{', '.join(cut(*r) for r in rules)}]" for p, rules in T.ENDINGS.items())
+    return f"list_distinct(list_filter(CASE {pos} {cases} ELSE [] END, lambda f: f IS NOT NULL AND length(f) > 0))"
 
 
-def forms(keys: str) -> str:
-    """CTEs that end in fuzzy(key_id, synset_id, branch, sense_rank), for SELECT key_id, lemma, pos (words of three parts at most)."""
+def forms(keys: str, n: str = "") -> str:
+    """CTEs, their names begun by n, that end in fuzzy(key_id, synset_id, branch, sense_rank), for SELECT key_id, lemma, pos (words of three parts at most)."""
     part = lambda c: f"CASE WHEN len({stems(c)}) > 0 THEN {stems(c)} ELSE [{c}] END"
-    return f"""dkeys AS ({keys}),
-  spelled AS (SELECT key_id, pos, unnest(CASE WHEN contains(lemma, '_') THEN [lemma, replace(lemma, '_', ' '), replace(lemma, '_', '-')] WHEN contains(lemma, '-') THEN [lemma, replace(lemma, '-', ' ')] WHEN contains(lemma, ' ') THEN [lemma, replace(lemma, ' ', '-')] ELSE [lemma] END) AS lemma FROM dkeys),
-  stemmed AS (SELECT *, {stems('lemma')} AS stems FROM spelled),
-  halves AS (SELECT key_id, pos, split_part(lemma, ' ', 1) AS a, split_part(lemma, ' ', 2) AS b, split_part(lemma, ' ', 3) AS c FROM stemmed WHERE len(stems) = 0 AND contains(lemma, ' ')),
-  compound1 AS (SELECT key_id, pos, unnest({part('a')}) AS x, b, c FROM halves),
-  compound2 AS (SELECT key_id, pos, x, unnest({part('b')}) AS y, c FROM compound1),
-  compound AS (SELECT key_id, pos, trim(x || ' ' || y || ' ' || z) AS lemma FROM (SELECT key_id, pos, x, y, unnest(CASE WHEN c = '' THEN [''] ELSE {part('c')} END) AS z FROM compound2)),
-  forms AS (SELECT key_id, pos, lemma, 0 AS branch FROM spelled UNION ALL SELECT key_id, pos, unnest(stems), 1 FROM stemmed UNION ALL SELECT key_id, pos, lemma, 2 FROM compound
-    UNION ALL SELECT s.key_id, s.pos, x.base, 3 FROM spelled s JOIN exception x ON s.lemma = x.surface AND s.pos = x.pos),
-  fuzzy AS (SELECT key_id, synset_id, m // 100000000 AS branch, m % 100000000 AS sense_rank FROM (SELECT f.key_id, s.synset_id, min(f.branch * 100000000 + s.sense_rank) AS m FROM forms f JOIN sense s USING (lemma, pos) GROUP BY f.key_id, s.synset_id))"""
+    return f"""{n}dkeys AS ({keys}),
+  {n}spelled AS (SELECT key_id, pos, unnest(CASE WHEN contains(lemma, '_') THEN [lemma, replace(lemma, '_', ' '), replace(lemma, '_', '-')] WHEN contains(lemma, '-') THEN [lemma, replace(lemma, '-', ' ')] WHEN contains(lemma, ' ') THEN [lemma, replace(lemma, ' ', '-')] ELSE [lemma] END) AS lemma FROM {n}dkeys),
+  {n}stemmed AS (SELECT *, {stems('lemma')} AS stems FROM {n}spelled),
+  {n}halves AS (SELECT key_id, pos, split_part(lemma, ' ', 1) AS a, split_part(lemma, ' ', 2) AS b, split_part(lemma, ' ', 3) AS c FROM {n}stemmed WHERE len(stems) = 0 AND contains(lemma, ' ')),
+  {n}compound1 AS (SELECT key_id, pos, unnest({part('a')}) AS x, b, c FROM {n}halves),
+  {n}compound2 AS (SELECT key_id, pos, x, unnest({part('b')}) AS y, c FROM {n}compound1),
+  {n}compound AS (SELECT key_id, pos, trim(x || ' ' || y || ' ' || z) AS lemma FROM (SELECT key_id, pos, x, y, unnest(CASE WHEN c = '' THEN [''] ELSE {part('c')} END) AS z FROM {n}compound2)),
+  {n}forms AS (SELECT key_id, pos, lemma, 0 AS branch FROM {n}spelled UNION ALL SELECT key_id, pos, unnest(stems), 1 FROM {n}stemmed UNION ALL SELECT key_id, pos, lemma, 2 FROM {n}compound
+    UNION ALL SELECT s.key_id, s.pos, x.base, 3 FROM {n}spelled s JOIN exception x ON s.lemma = x.surface AND s.pos = x.pos),
+  {n}fuzzy AS (SELECT key_id, synset_id, m // 100000000 AS branch, m % 100000000 AS sense_rank FROM (SELECT f.key_id, s.synset_id, min(f.branch * 100000000 + s.sense_rank) AS m FROM {n}forms f JOIN sense s USING (lemma, pos) GROUP BY f.key_id, s.synset_id))"""
 
 
 def ngrams(w: str) -> str:
@@ -128,7 +129,8 @@ _FOUND = (
   gv AS MATERIALIZED (SELECT gw.text, [{SUMS}] AS vec FROM gw JOIN unit u USING (word) GROUP BY gw.text),
   cos AS MATERIALIZED (SELECT p.entry_id, p.part, p.synset_id, round(coalesce(list_cosine_similarity(a.vec, b.vec), 0), 6) AS plain, round(coalesce(list_cosine_similarity(a.vec, c.vec), 0), 6) AS extended
     FROM pairs p JOIN texts t USING (entry_id, part) JOIN sides s USING (synset_id) LEFT JOIN gv a ON a.text = t.text LEFT JOIN gv b ON b.text = s.plain LEFT JOIN gv c ON c.text = s.extended),
-  own AS (SELECT DISTINCT r.entry_id, s.synset_id AS own FROM (SELECT entry_id, pos, unnest(CASE WHEN contains(lemma, '_') THEN [lemma, replace(lemma, '_', ' '), replace(lemma, '_', '-')] WHEN contains(lemma, '-') THEN [lemma, replace(lemma, '-', ' ')] WHEN contains(lemma, ' ') THEN [lemma, replace(lemma, ' ', '-')] ELSE [lemma] END) AS lemma FROM raw) r JOIN sense s USING (lemma, pos)),
+  {forms("SELECT entry_id AS key_id, lemma, pos FROM raw", "o_")},
+  own AS (SELECT DISTINCT key_id AS entry_id, synset_id AS own FROM o_fuzzy),
   nb AS MATERIALIZED (SELECT src, dst FROM edge WHERE pointer IN ('@', '@i', '&', '^') UNION SELECT dst, src FROM edge WHERE pointer IN ('@', '@i', '&', '^')),
   asked AS (SELECT DISTINCT a.entry_id, a.synset_id, o.own FROM (SELECT entry_id, synset_id FROM found UNION SELECT entry_id, up FROM found JOIN upward USING (synset_id) WHERE rule = 2
     UNION SELECT entry_id, parent FROM found JOIN parent USING (synset_id) WHERE rule = 3 UNION SELECT entry_id, opposite FROM found JOIN opposite USING (synset_id) WHERE rule = 3) a JOIN own o USING (entry_id)),

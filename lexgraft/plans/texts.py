@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexgraft.functions import text as T
+from lexgraft.plans.rules_sql import stems as _stems
 from lexgraft.sources import tables as S
 
 POS = {"noun": "noun", "proper noun": "noun", "measure word": "noun", "verb": "verb", "adjective": "adjective", "adverb": "adverb"}
@@ -91,21 +92,26 @@ def stopword_filter(spark, d) -> DataFrame:
     return words.filter(~F.lower("word").isin(*T.STOP)).groupBy("word").agg(F.count("*").alias("n"))
 
 
+#: Endings that the lemmas get, by part of speech.
+SURFACES = {"noun": ("s", "es", "ches", "men", "ies", ""), "verb": ("s", "ies", "es", "ed", "ing", ""), "adjective": ("er", "est", "s", "ier", "", "men"), "adverb": ("s", "er", "", "es", "ing", "men")}
+
+
 def surfaces(spark, d) -> DataFrame:
-    """Plural forms of lemmas, of several endings."""
-    ends = ("s", "es", "ches", "men", "ies", "")
-    end = F.element_at(F.array(*map(F.lit, ends)), (F.col("entry_id") % len(ends) + 1).cast("int"))
-    return S.raw(spark, d).select("entry_id", F.concat("lemma", end).alias("surface"))
+    """Inflected forms of lemmas, of several endings; some don't belong to their part of speech."""
+    ends = F.create_map(*[x for p, e in SURFACES.items() for x in (F.lit(p), F.array(*map(F.lit, e)))])[F.col("pos")]
+    # 24 shapes of six endings each: by the number of the shape alone every one would have a single ending
+    end = F.element_at(ends, (F.floor(F.col("entry_id") / 7) % 6 + 1).cast("int"))
+    return S.raw(spark, d).select("entry_id", "pos", F.concat("lemma", end).alias("surface"))
 
 
 def stems(spark, d) -> DataFrame:
-    """Base forms by ending."""
-    return surfaces(spark, d).select("entry_id", F.explode(T.stems(F.col("surface"))).alias("stem"))
+    """Base forms by ending and part of speech."""
+    return surfaces(spark, d).select("entry_id", F.explode(T.stems(F.col("surface"), F.col("pos"))).alias("stem"))
 
 
 def compound_stems(spark, d) -> DataFrame:
     """Combinations of the words' stems."""
-    return surfaces(spark, d).select("entry_id", F.explode(T.compound_stems(F.col("surface"))).alias("stem"))
+    return surfaces(spark, d).select("entry_id", F.explode(T.compound_stems(F.col("surface"), F.col("pos"))).alias("stem"))
 
 
 def lemma_variants(spark, d) -> DataFrame:
@@ -173,12 +179,7 @@ QUERIES = {
 _CLEAN = S._CLEAN
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOP)
 _WORDS = r"list_distinct(list_filter(list_transform(string_split_regex(trim({g}), '\s+'), lambda t: regexp_extract(t, '^[[:punct:]]*([^[:punct:]\s]+)[[:punct:]]*$', 1)), lambda t: t <> ''))"
-_SURFACES = "surfaces AS (SELECT entry_id, lemma || ['s', 'es', 'ches', 'men', 'ies', ''][entry_id % 6 + 1] AS surface FROM raw)"
-
-
-def _stems(w: str) -> str:
-    forms = ", ".join(f"CASE WHEN {w} LIKE '%{end}' THEN left({w}, length({w}) - {len(end)}) || '{base}' END" for end, base in T.NOUN_ENDINGS)
-    return f"list_distinct(list_filter([{forms}], lambda f: f IS NOT NULL AND length(f) > 0))"
+_SURFACES = f"surfaces AS (SELECT entry_id, lemma, pos, lemma || (CASE pos {' '.join(f'WHEN {p!r} THEN {list(e)}' for p, e in SURFACES.items())} END)[(entry_id // 7) % 6 + 1] AS surface FROM raw)"
 
 
 SQL = {
@@ -211,7 +212,7 @@ SQL = {
         SELECT entry_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') AS words FROM p""",
     "stopword_filter": f"WITH w AS (SELECT unnest({_WORDS.format(g='gloss')}) AS word FROM entry) SELECT word, count(*) AS n FROM w WHERE lower(word) NOT IN ({_STOP}) GROUP BY word",
     "stems": f"WITH {_SURFACES} SELECT entry_id, unnest({_stems('surface')}) AS stem FROM surfaces",
-    "compound_stems": f"""WITH {_SURFACES}, p AS (SELECT entry_id, split_part(surface, ' ', 1) AS a, split_part(surface, ' ', 2) AS b FROM surfaces),
+    "compound_stems": f"""WITH {_SURFACES}, p AS (SELECT entry_id, pos, split_part(surface, ' ', 1) AS a, split_part(surface, ' ', 2) AS b FROM surfaces),
         q AS (SELECT entry_id, CASE WHEN len({_stems('a')}) > 0 THEN {_stems('a')} ELSE [a] END AS x, CASE WHEN len({_stems('b')}) > 0 THEN {_stems('b')} ELSE [b] END AS y FROM p),
         r AS (SELECT entry_id, unnest(x) AS x, y FROM q)
         SELECT entry_id, x || ' ' || y AS stem FROM (SELECT entry_id, x, unnest(y) AS y FROM r)""",

@@ -26,6 +26,16 @@ def scratch(spark: SparkSession) -> str:
     return f"{base}/files-{uuid.uuid4().hex}"
 
 
+def stamp(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """The files under a folder: how many, their bytes, the time of the last change."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found, n, size, last = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True), 0, 0, 0
+    while found.hasNext():
+        file = found.next()
+        n, size, last = n + 1, size + file.getLen(), max(last, file.getModificationTime())
+    return n, size, last
+
+
 def write_entries(entries: DataFrame, path: str) -> None:
     """K1: one JSON object a line."""
     entries.write.json(path)

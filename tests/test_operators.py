@@ -20,7 +20,12 @@ def test_glosses_literally(spark):
     assert shown(spark, T.balance_parens, ["(a", "a))", "ok"]) == ["(a)", "((a))", "ok"]
     assert shown(spark, T.without_examples, ['a; "b c"; d']) == ["a; d"]
     assert shown(spark, T.gloss_words, ["(One) two-three, one One  é"]) == [["One", "one", "é"]]
-    assert shown(spark, T.stems, ["boxes", "men", "flies", "s", "glass"]) == [["box", "boxe"], ["man"], ["fly", "flie"], [], ["glas"]]
+    stems = lambda pos: lambda g: T.stems(g, F.lit(pos))
+    assert shown(spark, stems("noun"), ["boxes", "men", "flies", "s", "glass", "baking"]) == [["box", "boxe"], ["man"], ["fly", "flie"], [], ["glas"], []]
+    assert shown(spark, stems("verb"), ["baked", "tries", "going", "men", "s"]) == [["bake", "bak"], ["trie", "try", "tri"], ["goe", "go"], [], []]
+    assert shown(spark, stems("adjective"), ["finer", "tallest", "boxes", None]) == [["fin", "fine"], ["tall", "talle"], [], []]
+    assert shown(spark, stems("adverb"), ["faster", "boxes"]) == [[], []]
+    assert shown(spark, lambda g: T.compound_stems(g, F.lit("verb")), ["takes offed", "x y"]) == [["take offe", "take off", "tak offe", "tak off"], ["x y"]]
     assert shown(spark, T.lemma_variants, ["a_b", "a-b", "a b", "ab"]) == [["a_b", "a b", "a-b"], ["a-b", "a b"], ["a b", "a-b"], ["ab"]]
     valid = lambda g: T.entry_valid(F.lit("x" * 46), g)
     assert shown(spark, valid, ["ab", "abc", "a" * 250, "a" * 251, "aé "]) == [False, True, True, False, False]
