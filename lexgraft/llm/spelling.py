@@ -30,7 +30,7 @@ from lexgraft.llm.common import dropped, table, written
 
 SMALL, CAPITAL = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Words of a part of the acceptor.
-MOST = 20_000
+MOST = 4_000
 PAIR = "a string, n_a long, b string, n_b long"
 
 
