@@ -116,9 +116,13 @@ def balance_parens(gloss: Column) -> Column:
     return F.concat(F.repeat(F.lit("("), F.greatest(missing, F.lit(0))), gloss, F.repeat(F.lit(")"), F.greatest(-missing, F.lit(0))))
 
 
+#: Letters, digits, underscores, hyphens and apostrophes, at the end a letter or digit.
+LEMMA = r"^[\w'-]+[A-Za-z0-9]$"
+
+
 def valid_lemma(lemma: Column) -> Column:
-    """Letters, digits, underscores, hyphens and apostrophes, at the end a letter or digit; shorter than 47."""
-    return F.replace(lemma, F.lit(" "), F.lit("_")).rlike(r"^[\w'-]+[A-Za-z0-9]$") & (F.length(lemma) < 47)
+    """Of the characters of LEMMA, spaces counting as underscores; shorter than 47."""
+    return F.replace(lemma, F.lit(" "), F.lit("_")).rlike(LEMMA) & (F.length(lemma) < 47)
 
 
 def entry_valid(lemma: Column, gloss: Column, exempt: Column | None = None) -> Column:

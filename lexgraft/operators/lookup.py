@@ -29,6 +29,13 @@ def fuzzy(keys: DataFrame, sense: DataFrame, exception: DataFrame) -> DataFrame:
     return found.groupBy("key_id", "synset_id").agg(F.min(F.struct("branch", "sense_rank")).alias("m")).select("key_id", "synset_id", "m.*")
 
 
+def known(keys: DataFrame, sense: DataFrame, exception: DataFrame) -> DataFrame:
+    """(key_id) of the keys that are a lemma themselves, by a stem or by an irregular form (no spellings, no compounds)."""
+    forms = keys.select("key_id", "pos", F.explode(F.concat(F.array("lemma"), T.stems(F.col("lemma"), F.col("pos")))).alias("lemma"))
+    odd = keys.join(exception.withColumnRenamed("surface", "lemma"), ["lemma", "pos"]).select("key_id", "pos", F.col("base").alias("lemma"))
+    return forms.unionByName(odd).join(sense, ["lemma", "pos"], "left_semi").select("key_id").distinct()
+
+
 def first_sense(keys: DataFrame, sense: DataFrame, exception: DataFrame) -> DataFrame:
     """(key_id, synset_id): the first sense of the first branch that has any."""
     best = F.min(F.struct("branch", "sense_rank", "synset_id")).alias("m")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lexgraft.plans.rules import ALWAYS_PERSON
-from lexgraft.plans.rules_sql import _DECIDED, _FOUND, _top, _voted, quoted
+from lexgraft.plans.rules_sql import _DECIDED, _FOUND, _top, _voted, quoted, stems
 
 VALID = r"regexp_matches(replace(lemma, ' ', '_'), '^[\w''-]+[A-Za-z0-9]$') AND length(lemma) < 47"
 FITS = r"length(gloss) BETWEEN 3 AND 250 AND NOT regexp_matches(gloss, '[^\x00-\x7F]')"
@@ -28,18 +28,32 @@ _APPLIED = (
   capped AS (SELECT * EXCLUDE (rn, senses) FROM (SELECT r.*, row_number() OVER (PARTITION BY lemma ORDER BY entry_id) AS rn FROM route r WHERE route = 'new synset') LEFT JOIN n_senses USING (lemma) WHERE coalesce(senses, 0) + rn - 1 <= 99),
   goes_under AS (SELECT entry_id, min(target) AS target FROM first_match WHERE op = 'hypernym' GROUP BY entry_id),
   n_pointers AS (SELECT src AS target, count(DISTINCT CASE WHEN level = 'synset' THEN pointer END) + count(CASE WHEN level = 'word' THEN 1 END) AS base FROM edge GROUP BY src),
-  roomy AS (SELECT c.*, u.target FROM capped c JOIN goes_under u USING (entry_id) LEFT JOIN n_pointers p ON p.target = u.target QUALIFY coalesce(p.base, 0) + row_number() OVER (PARTITION BY u.target ORDER BY c.entry_id) <= 500),
+  linked AS (SELECT DISTINCT entry_id, CASE op WHEN 'antonym' THEN '!' WHEN 'pertainym' THEN '\\' WHEN 'derived' THEN '\\' WHEN 'similar to' THEN '&' WHEN 'member meronym' THEN '%m' WHEN 'domain topic' THEN ';c' END AS symbol, target
+    FROM (SELECT entry_id, op, target FROM first_match UNION ALL SELECT entry_id, 'domain topic', target FROM domain_links WHERE entry_id IN (SELECT entry_id FROM first_match)) WHERE op NOT IN ('hypernym', 'merge', 'lexicalise') AND target IS NOT NULL),
+  crowded AS (SELECT DISTINCT synset_id FROM sense JOIN n_senses USING (lemma) WHERE senses > 99),
+  wants AS (SELECT c.entry_id, 0 AS place, 0 AS seq, '@' AS symbol, u.target FROM capped c JOIN goes_under u USING (entry_id)
+    UNION ALL SELECT l.entry_id, p.place, 1, l.symbol, l.target FROM linked l JOIN (SELECT entry_id, 0 AS place FROM capped JOIN goes_under USING (entry_id) UNION ALL SELECT entry_id, 1 FROM route WHERE route = 'modifier') p USING (entry_id) WHERE l.target NOT IN (SELECT synset_id FROM crowded)),
+  -- no target of the given tables is full, so that an entry that falls gives no room back
+  granted AS (SELECT w.entry_id, w.symbol, w.target FROM wants w LEFT JOIN n_pointers p USING (target) QUALIFY coalesce(p.base, 0) + row_number() OVER (PARTITION BY w.target ORDER BY w.place, w.entry_id, w.seq, w.symbol) <= 500),
+  roomy AS (SELECT c.*, g.target FROM capped c JOIN granted g ON g.entry_id = c.entry_id AND g.symbol = '@'),
   free AS (SELECT low, pos, slot, row_number() OVER (PARTITION BY low, pos ORDER BY slot) AS rn FROM (SELECT DISTINCT lower(lemma) AS low, pos FROM route WHERE route = 'new synset') n CROSS JOIN generate_series(1, 15) g(slot)
     WHERE NOT EXISTS (SELECT 1 FROM sense s WHERE lower(s.lemma) = n.low AND s.pos = n.pos AND s.sense_rank = g.slot)),
   slotted AS (SELECT r.*, f.slot, replace(r.lemma, ' ', '_') || CASE WHEN regexp_matches(r.lemma, '[0-9]$') THEN '"' ELSE '' END || f.slot AS file_id FROM (SELECT *, lower(lemma) AS low, row_number() OVER (PARTITION BY lower(lemma), pos ORDER BY entry_id) AS rn FROM roomy) r JOIN free f USING (low, pos, rn)),
-  linked AS (SELECT DISTINCT entry_id, CASE op WHEN 'antonym' THEN '!' WHEN 'pertainym' THEN '\\' WHEN 'derived' THEN '\\' WHEN 'similar to' THEN '&' WHEN 'member meronym' THEN '%m' WHEN 'domain topic' THEN ';c' END AS symbol, target
-    FROM (SELECT entry_id, op, target FROM first_match UNION ALL SELECT entry_id, 'domain topic', target FROM domain_links WHERE entry_id IN (SELECT entry_id FROM first_match)) WHERE op NOT IN ('hypernym', 'merge', 'lexicalise') AND target IS NOT NULL),
-  link_list AS (SELECT entry_id, string_agg(target || ',' || symbol, ' ' ORDER BY target || ',' || symbol) AS links FROM linked GROUP BY entry_id),
-  modified AS (SELECT r.entry_id, r.lemma, r.pos, r.gloss, l.symbol, l.target FROM route r LEFT JOIN linked l USING (entry_id) WHERE r.route = 'modifier'),
-  merged AS (SELECT target AS synset_id, lemma FROM to_merge m WHERE NOT EXISTS (SELECT 1 FROM sense s WHERE s.synset_id = m.target AND s.lemma = m.lemma))""".replace("\\\\", "\\")
+  link_list AS (SELECT entry_id, string_agg(target || ',' || symbol, ' ' ORDER BY target || ',' || symbol) AS links FROM granted WHERE symbol <> '@' GROUP BY entry_id),
+  modified AS (SELECT r.entry_id, r.lemma, r.pos, r.gloss, l.symbol, l.target FROM route r LEFT JOIN (SELECT * FROM granted WHERE symbol <> '@') l USING (entry_id) WHERE r.route = 'modifier'),
+  merged AS (SELECT target AS synset_id, lemma FROM to_merge m WHERE NOT EXISTS (SELECT 1 FROM sense s WHERE s.synset_id = m.target AND s.lemma = m.lemma)),
+  spellings AS (SELECT DISTINCT r.pos, replace(r.lemma, ' ', '_') AS surface, f.how AS base FROM first_match f JOIN route r USING (entry_id) WHERE f.op = 'lexicalise' AND r.route = 'exception'),
+  apart AS (SELECT * FROM spellings WHERE regexp_matches(base, '^[\\w''-]+[A-Za-z0-9]$') AND length(base) < 47 AND NOT list_contains({stems('surface')}, base)),
+  sides_of AS (SELECT DISTINCT pos, replace(unnest([surface, base]), '_', ' ') AS lemma FROM apart),
+  known_side AS (SELECT DISTINCT pos, lemma FROM (SELECT pos, lemma, unnest(list_append({stems('lemma')}, lemma)) AS form FROM sides_of UNION ALL SELECT o.pos, o.lemma, x.base FROM sides_of o JOIN exception x ON x.surface = o.lemma AND x.pos = o.pos) k WHERE EXISTS (SELECT 1 FROM sense s WHERE s.lemma = k.form AND s.pos = k.pos)),
+  decided AS (SELECT *, (pos, replace(surface, '_', ' ')) IN (SELECT (pos, lemma) FROM known_side) AS a, (pos, replace(base, '_', ' ')) IN (SELECT (pos, lemma) FROM known_side) AS b FROM apart),
+  spelled_out AS (SELECT DISTINCT CASE WHEN b THEN surface ELSE base END AS surface, pos, CASE WHEN b THEN base ELSE surface END AS base FROM decided WHERE a <> b)""".replace("\\\\", "\\")
 )
 
 
+_REASON = """'{"heuristic":"' || how || '","rule":"' || rule || '","score":"' || score::DECIMAL(9, 6) || '"}'"""
+
+
 def _from(text: str) -> str:
     return f"WITH {_APPLIED} {text}"
 
@@ -52,7 +66,9 @@ SQL = {
     "route_by_operation": _from("SELECT entry_id, route FROM route"),
     "merge_dedup": _from("SELECT target, lemma, entry_id FROM to_merge"),
     "sense_cap": _from("SELECT entry_id, lemma FROM capped"),
-    "pointer_cap": _from("SELECT entry_id, target FROM roomy"),
+    "pointer_cap": _from("SELECT entry_id, symbol, target FROM granted"),
+    "exception_pairs": _from("SELECT surface, pos, base FROM spelled_out"),
+    "exceptions_out": _from("SELECT pos, surface || ' ' || base AS line FROM exception UNION SELECT pos, surface || ' ' || base FROM spelled_out"),
     "lemma_slot": _from("""SELECT entry_id, replace(r.lemma, ' ', '_') || CASE WHEN regexp_matches(r.lemma, '[0-9]$') THEN '"' ELSE '' END || f.slot AS file_id FROM (SELECT *, lower(lemma) AS low, row_number() OVER (PARTITION BY lower(lemma), pos ORDER BY entry_id) AS rn FROM route WHERE route = 'new synset') r JOIN free f USING (low, pos, rn)"""),
     "relation_edges": _from("SELECT entry_id, symbol, target FROM linked"),
     "attach_new_synset": _from("SELECT entry_id, target, file_id, coalesce(links, '') AS links FROM slotted LEFT JOIN link_list USING (entry_id)"),
@@ -65,9 +81,9 @@ SQL = {
         UNION ALL SELECT lemma, pos, md5(pos || '|' || lemma || '|' || entry_id), 1 FROM (SELECT entry_id, lemma, pos FROM slotted UNION ALL SELECT entry_id, lemma, pos FROM route WHERE route = 'modifier')"""),
     "operations_log": _from("""SELECT f.entry_id, concat_ws(chr(9), e.lemma, e.pos, f.entry_id::VARCHAR, e.gloss, f.op, f.target::VARCHAR, replace(l.lemmas, ' ', ' '), s.gloss, '{"rule":' || f.rule || ',"heuristic":"' || f.how || '"}') AS line
         FROM first_match f JOIN e USING (entry_id) JOIN synset s ON s.synset_id = f.target JOIN (SELECT synset_id, string_agg(lemma, ',' ORDER BY lemma) AS lemmas FROM (SELECT DISTINCT synset_id, lemma FROM sense) GROUP BY synset_id) l ON l.synset_id = f.target
-        UNION ALL SELECT f.entry_id, concat_ws(chr(9), e.lemma, e.pos, f.entry_id::VARCHAR, e.gloss, f.op, n.word) FROM first_match f JOIN e USING (entry_id) JOIN named n ON n.entry_id = f.entry_id AND n.rule = 1 WHERE f.target IS NULL"""),
-    "proposal_record": _from("""SELECT entry_id, op, target, rule, how FROM proposals WHERE op NOT IN ('member meronym', 'part meronym', 'domain topic') QUALIFY row_number() OVER (PARTITION BY entry_id, op ORDER BY rule DESC, target DESC NULLS LAST) = 1
-        UNION ALL SELECT entry_id, op, target, rule, how FROM proposals WHERE op IN ('member meronym', 'part meronym', 'domain topic')"""),
+        UNION ALL SELECT f.entry_id, concat_ws(chr(9), e.lemma, e.pos, f.entry_id::VARCHAR, e.gloss, f.op, f.how) FROM first_match f JOIN e USING (entry_id) WHERE f.target IS NULL"""),
+    "proposal_record": _from(f"""SELECT entry_id, op, target, {_REASON} AS reason FROM proposals WHERE op NOT IN ('member meronym', 'part meronym', 'domain topic') QUALIFY row_number() OVER (PARTITION BY entry_id, op ORDER BY rule DESC, target DESC NULLS LAST) = 1
+        UNION ALL SELECT entry_id, op, target, {_REASON} FROM proposals WHERE op IN ('member meronym', 'part meronym', 'domain topic')"""),
     "remaining_entries": _from("SELECT entry_id, lemma FROM raw WHERE entry_id NOT IN (SELECT entry_id FROM first_match)"),
     "augment_after_match": _from("SELECT entry_id, domain, target FROM domain_links WHERE entry_id IN (SELECT entry_id FROM first_match)"),
     "operation_counts": _from("SELECT rule, op, count(*) AS n FROM first_match GROUP BY rule, op ORDER BY n DESC, rule, op"),

@@ -46,10 +46,7 @@ def first_sense(spark, d):
 
 def in_lexicon_semi(spark, d):
     """Keys that are a lemma themselves, by a stem or by an irregular form (no spellings, no compounds)."""
-    k = keys(spark, d)
-    forms = k.select("key_id", "pos", F.explode(F.concat(F.array("lemma"), T.stems(F.col("lemma"), F.col("pos")))).alias("lemma"))
-    odd = k.join(S.exception(spark, d).withColumnRenamed("surface", "lemma"), ["lemma", "pos"]).select("key_id", "pos", F.col("base").alias("lemma"))
-    return forms.unionByName(odd).join(S.sense(spark, d), ["lemma", "pos"], "left_semi").select("key_id").distinct()
+    return lookup.known(keys(spark, d), S.sense(spark, d), S.exception(spark, d))
 
 
 def not_in_lexicon_anti(spark, d):
@@ -157,15 +154,6 @@ def tiling_similarity_pairs(spark, d):
     return similarity.tiling_pairs(items, lines, grams=5)
 
 
-def exception_pairs(spark, d):
-    """Spelling pairs of which the lexicon knows exactly one side; the known one is the base."""
-    pairs = keys(spark, d).select("key_id", "pos", "lemma").join(S.part_words(spark, d).select(F.col("key").alias("key_id"), F.col("noun").alias("other")), "key_id").select("lemma", "other", "pos").distinct()
-    known = S.sense(spark, d).select(F.col("lemma").alias("k"), "pos").distinct()
-    one = pairs.join(known.withColumn("a", F.lit(True)).withColumnRenamed("k", "lemma"), ["lemma", "pos"], "left").join(known.withColumn("b", F.lit(True)).withColumnRenamed("k", "other"), ["other", "pos"], "left")
-    one = one.select("lemma", "other", F.coalesce("a", F.lit(False)).alias("a"), F.coalesce("b", F.lit(False)).alias("b")).filter("a <> b")
-    return one.select(F.when(F.col("a"), F.col("other")).otherwise(F.col("lemma")).alias("surface"), F.when(F.col("a"), F.col("lemma")).otherwise(F.col("other")).alias("base")).distinct()
-
-
-QUERIES = {f.__name__: f for f in (sense_lookup, fuzzy_sense_lookup, fuzzy_lookup_many, first_sense, in_lexicon_semi, not_in_lexicon_anti, one_hop, pointer_follow, gloss_equi_join, is_descendant, synset_votes, lemma_weights, load_vectors, gloss_vector, gloss_cosine, best_sense, too_similar_filter, weighted_overlap, tiling_similarity_pairs, exception_pairs)}
+QUERIES = {f.__name__: f for f in (sense_lookup, fuzzy_sense_lookup, fuzzy_lookup_many, first_sense, in_lexicon_semi, not_in_lexicon_anti, one_hop, pointer_follow, gloss_equi_join, is_descendant, synset_votes, lemma_weights, load_vectors, gloss_vector, gloss_cosine, best_sense, too_similar_filter, weighted_overlap, tiling_similarity_pairs)}
 
 from lexgraft.plans.lookups_sql import SQL  # noqa: E402

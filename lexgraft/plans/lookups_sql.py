@@ -45,7 +45,4 @@ SQL = {
         shared AS (SELECT pair_id, unnest(list_intersect({_LIST.format(g='a')}, {_LIST.format(g='b')})) AS lemma FROM pairs),
         scores AS (SELECT pair_id, sum(weight) AS score FROM shared JOIN weights USING (lemma) GROUP BY pair_id)
         SELECT pair_id, round(coalesce(score, 0), 5) AS score FROM pairs LEFT JOIN scores USING (pair_id)""",
-    "exception_pairs": f"""WITH {_KEYS}, pairs AS (SELECT DISTINCT k.lemma, p.noun AS other FROM keys k JOIN parts p ON p.key = k.key_id), known AS (SELECT DISTINCT lemma FROM sense WHERE pos = 'noun'),
-        f AS (SELECT lemma, other, lemma IN (SELECT lemma FROM known) AS a, other IN (SELECT lemma FROM known) AS b FROM pairs)
-        SELECT DISTINCT CASE WHEN a THEN other ELSE lemma END AS surface, CASE WHEN a THEN lemma ELSE other END AS base FROM f WHERE a <> b""",
 }

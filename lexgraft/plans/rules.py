@@ -43,27 +43,30 @@ NO_DOMAIN = ("uncountable", "countable", "rare", "archaic", "transitive", "figur
 ALWAYS_PERSON = ("person", "individual", "somebody", "someone")
 #: Names of the patterns, so that the SQL can use the same texts.
 PATTERN = {
-    "noun_antonym": r"^(?:not (?:an? )?|absence of (?:an? )?|lack of (?:an? )?)([a-z]+)$",
-    "verb_antonym": r"^to (?:not ([a-z]+)|([a-z]+) (?:incorrectly|badly|wrongly|improperly))$",
-    "modifier_antonym": r"^(?:not capable of|not|opposing|opposed to) ([a-z]+)$",
     "one_noun": r"^(?:(?:the|an?) )?([a-z]+)$",
     "one_verb": r"^(?:to )?([a-z]+)$",
     "one_word": r"^([a-z]+)$",
-    "manner": r"^[Ii]n an? ([a-z]+) (?:manner|way)",
+    "manner": r"(?i)\bin an? (\w+) (?:manner|way)\b",
     "member": r"^[Aa]ny member of the ([A-Z][a-z]+)",
-    "group": r"^(?:An?|The) ([a-z]+) of (?:(?:an?|the) )?(.+)$",
-    "someone": r"^(?:[Oo]ne|[Ss]ome(?:one|body)) who ",
-    "typed": r"^(?:[Aa]n?|[Tt]he) ([a-z]+) (?:who|that) ",
+    "group": r"\b(?:An?|The) (\S+) of (?:(?:an?|the) )?(.+)$",
+    "someone": r"(?i)(?:one|somebody)\s+who\s",
+    "typed": r"(?i)(?:an?|the)\s+(\S+)\s+(?:who|that)\s",
     "article_link": r"(?:^|\s)(?:An?|The|Those) \[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]([^,.;:]*)",
     "first_link": r"^\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\](?:$|[,.;:])",
     "after_link": r"^(?:In|Of|When|Because|From|On|Above|At) .*, (?:the|an?) \[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]([^,.;:]*)",
     "verb_link": r"^[Tt]o (?:[a-z]+ly )?\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]",
     "verb_head": r"^[Tt]o (?:[a-z]+ly )?([a-z]+)",
-    "which": r"^(?:An?|The) ([a-z ]+?) (?:that|which) ",
-    "any_of": r"^[Aa]ny of ([a-z ]+?) (?:that|which) ",
-    "comma": r"^(?:An?|The) ([a-z ]+),",
-    "list": r"^[a-z]+(?:, [a-z]+){2,}$",
-    "relate": r"^(?:of or relating to|of|relating to|pertaining to) (?:the )?(.+)$",
+    "which": r"^(?:[Aa]n?|[Aa]ny|[Tt]he) ([a-z][a-z -]*?) (?:that|which)\b",
+    "any_of": r"^[Aa]ny of ([a-z][a-z -]*?) (?:that|which)\b",
+    "comma": r"^(?:[Aa]n?|[Aa]ny|[Tt]he) ([a-z][a-z -]*),",
+    "list": r"^[a-z][a-z-]*[a-z](?:, [a-z][a-z-]*[a-z]){2,}",
+    "relate": r"^(?:of(?:,? or relating to)?|relating to(?:, or of)?|pertaining to) (?:(?:an?|the) )?(.+)$",
+}
+#: By part of speech, what names an antonym at the start of a part of a gloss; in this order over all parts.
+ANTONYMS = {
+    "noun": (r"^not (?:an? )?(\w+)", r"^absence of (\w+)", r"^lack of (\w+)"),
+    "verb": (r"^to not (\w+)", r"^to (\w+) (?:incorrectly|badly|wrongly|improperly)\b"),
+    "modifier": (r"^not (\w+)", r"^opposing (\w+)", r"^opposed to (\w+)", r"^not capable of (\w+)"),
 }
 
 
@@ -116,6 +119,30 @@ class Lexicon:
     def vectors(self) -> DataFrame:
         return files.kept(similarity.normalised(S.word_vector(self.spark, self.d)))
 
+    @cached_property
+    def own(self) -> DataFrame:
+        """(entry_id, own): senses of an entry's lemma, by J2: spellings, stems, compound stems, irregular forms."""
+        keys = self.entries.select(F.col("entry_id").alias("key_id"), "lemma", "pos")
+        return files.kept(lookup.fuzzy(keys, self.sense, self.exception).select(F.col("key_id").alias("entry_id"), F.col("synset_id").alias("own")).distinct())
+
+    @cached_property
+    def near(self) -> DataFrame:
+        """(src, dst): synsets of which one is the other's parent or parent's parent, or that have a child in common."""
+        up = self.edge.filter(F.col("pointer").isin("@", "@i", "&", "^")).select("src", "dst").distinct()
+        two = up.join(up.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst"))
+        parents = up.select(F.col("src").alias("child"), F.col("dst").alias("one")).join(up.select(F.col("src").alias("child"), F.col("dst").alias("two")), "child").filter("one <> two").select(F.col("one").alias("src"), F.col("two").alias("dst"))
+        ways = up.union(two).union(parents).distinct()
+        return files.kept(ways.union(ways.select("dst", "src")).distinct())
+
+    @cached_property
+    def parents(self) -> DataFrame:
+        """(synset_id, parent): the first hypernym of each synset."""
+        return files.kept(self.edge.filter(F.col("pointer").isin("@", "@i")).groupBy(F.col("src").alias("synset_id")).agg(F.min("dst").alias("parent")))
+
+    @cached_property
+    def rooted(self) -> DataFrame:
+        return files.kept(under_root(self, 3, ("@", "@i")))
+
     @cached_property
     def texts(self) -> DataFrame:
         """(entry_id, part, a): vectors of the entries' glosses (all) and of what follows a group's name (rest)."""
@@ -168,24 +195,26 @@ def named(x, e: DataFrame, rules: Sequence[int]) -> DataFrame:
 
     bodies = e.select("entry_id", "pos", F.posexplode(T.leading_annotations(F.col("raw"))).alias("at", "body")).select("entry_id", "pos", "at", T.annotation_value(F.col("body")).alias("v"))
     kind = F.create_map(*[F.lit(x) for p in TEMPLATES.items() for x in p])[F.col("v.type")]
-    first = bodies.withColumn("kind", kind).filter("kind IS NOT NULL AND v.value IS NOT NULL AND (pos <> 'adverb' OR kind = 'merge')")
-    first = first.groupBy("entry_id", "pos").agg(F.min(F.struct("at", "kind", "v")).alias("m"))
-    rows(first, 1, F.col("m.kind"), F.array("m.v.value"), pos)
+    kinds = bodies.withColumn("kind", kind).filter("kind IS NOT NULL AND v.value <> ''").groupBy("entry_id", "pos", "kind", "v.type").agg(F.min("at").alias("ord"), F.max_by("v.value", "at").alias("word"))
+    if 1 in rules:
+        out.append(kinds.select("entry_id", F.lit(1).alias("rule"), "kind", "ord", "word", pos.alias("wpos")))
 
     links_ = x.relation.filter("type = 'SYNONYM'").join(e.select("entry_id", "pos"), "entry_id").groupBy("entry_id", "pos").agg(F.array_sort(F.collect_set("target")).alias("targets"))
     rows(links_, 2, "synonym", F.col("targets"), pos)
 
-    parts = F.transform(F.split("gloss", "[;,]"), F.trim)
-    opposite = lambda p: F.when(pos == "noun", pick(p, "noun_antonym")).when(pos == "verb", F.concat(pick(p, "verb_antonym"), pick(p, "verb_antonym", 2))).otherwise(pick(p, "modifier_antonym"))
-    under = F.when((pos == "verb") & F.col("lemma").rlike("^(?:over|super)"), F.concat(F.lit("under"), F.regexp_extract("lemma", "^(?:over|super)(.*)$", 1))).otherwise("")
-    words = F.filter(F.concat(F.array(under), F.transform(parts, opposite)), lambda w: w != "")
-    rows(e, 3, "antonym", F.slice(words, 1, 1), pos)
+    parts = F.transform(F.split("gloss", "[;,]"), lambda p: F.trim(p))
+    named_by = lambda patterns: F.flatten(F.array(*map(found_in, patterns)))
+    found_in = lambda t: F.transform(parts, lambda p: F.regexp_extract(p, t, 1))
+    opposite = F.when(pos == "noun", named_by(ANTONYMS["noun"])).when(pos == "verb", named_by(ANTONYMS["verb"])).otherwise(named_by(ANTONYMS["modifier"]))
+    rest = F.regexp_extract("lemma", "^(?:over|super|under)(.*)$", 1)
+    prefix = F.when((pos != "verb") | (rest == ""), "").when(F.col("lemma").startswith("under"), F.concat(F.lit("super"), rest)).otherwise(F.concat(F.lit("under"), rest))
+    rows(e, 3, "antonym", F.array_distinct(F.filter(F.concat(F.array(prefix), opposite), lambda w: w != "")), pos)
 
     single = lambda p: F.when(pos == "noun", pick(p, "one_noun")).when(pos == "verb", pick(p, "one_verb")).otherwise(pick(p, "one_word"))
     rows(e, 4, "synonym", F.array_distinct(F.filter(F.transform(T.sub_definitions(F.col("gloss"), ";"), single), lambda w: w != "")), pos)
 
     fresh = e.join(x.sense.select("lemma", "pos").distinct(), ["lemma", "pos"], "left_anti")
-    exact = F.when(F.col("gloss").rlike(PATTERN["manner"] + "$"), "exact").otherwise("longer")
+    exact = F.when(F.col("gloss").rlike(PATTERN["manner"] + ".{0,2}$"), "exact").otherwise("longer")
     rows(fresh.filter("pos = 'adverb'"), 5, exact, F.array(pick(F.col("gloss"), "manner")), "adjective")
 
     genus = F.when(F.get(T.leading_annotations(F.col("raw")), F.lit(0)).startswith("taxlink|"), F.get(F.split(F.get(T.leading_annotations(F.col("raw")), F.lit(0)), r"\|"), F.lit(1))).otherwise(pick(F.col("gloss"), "member"))
@@ -194,7 +223,7 @@ def named(x, e: DataFrame, rules: Sequence[int]) -> DataFrame:
     rows(e.filter("pos = 'noun'"), 7, "group", F.array(pick(F.col("gloss"), "group")), "noun")
     rows(e.filter("pos = 'noun'"), 7, "member", T.noun_ngrams(T.following(pick(F.col("gloss"), "group", 2))), "noun")
 
-    rows(e.filter(pos.eqNullSafe("noun") & F.col("gloss").rlike(PATTERN["someone"])), 8, "generic", F.array(F.lit("person")), "noun")
+    rows(e.filter((pos == "noun") & (F.col("gloss").rlike(PATTERN["someone"]) | (pick(F.col("gloss"), "typed") == "person"))), 8, "generic", F.array(F.lit("person")), "noun")
     rows(e.filter("pos = 'noun'"), 8, "typed", F.array(pick(F.col("gloss"), "typed")), "noun")
 
     noun = fresh.filter("pos = 'noun'")
@@ -205,7 +234,7 @@ def named(x, e: DataFrame, rules: Sequence[int]) -> DataFrame:
     for at, name in enumerate(("which", "any_of", "comma")):
         rows(noun, 13, F.lit(str(at)), T.noun_ngrams(F.filter(F.split(pick(F.col("gloss"), name), " "), lambda w: w != "")), "noun")
     adjective = fresh.filter("pos = 'adjective'")
-    rows(adjective.filter(low.rlike(PATTERN["list"])), 14, "list", F.array_distinct(F.split(low, ", ")), "adjective")
+    rows(adjective.filter(low.rlike(PATTERN["list"])), 14, "list", F.array_distinct(F.split(low, r"\s*,\s*")), "adjective")
     rows(adjective, 15, "noun", T.adjective_ngrams(T.following(pick(low, "relate"))), "noun")
 
     found = out[0]
@@ -230,26 +259,16 @@ def scores(x, pairs: DataFrame) -> DataFrame:
     return met.select("entry_id", "part", "synset_id", F.round(similarity.cosine("a", "p"), 6).alias("plain"), F.round(similarity.cosine("a", "x"), 6).alias("extended"))
 
 
-def own_senses(x) -> DataFrame:
-    """(entry_id, own): senses of an entry's lemma, by J2: spellings, stems, compound stems, irregular forms."""
-    keys = x.entries.select(F.col("entry_id").alias("key_id"), "lemma", "pos")
-    return lookup.fuzzy(keys, x.sense, x.exception).select(F.col("key_id").alias("entry_id"), F.col("synset_id").alias("own")).distinct()
-
-
 def duplicates(x, pairs: DataFrame) -> DataFrame:
     """Of the pairs (entry_id, synset_id) those whose synset is a sense of the entry's lemma or within two hops of one.
 
     Hops go both ways, but are followed upwards only, where edges are few: two synsets are within two hops if one is
     the other's parent or parent's parent, or if they have a parent or a child in common.
     """
-    met = pairs.select("entry_id", "synset_id").distinct().join(own_senses(x), "entry_id")
+    met = pairs.select("entry_id", "synset_id").distinct().join(x.own, "entry_id")
     up = x.edge.filter(F.col("pointer").isin("@", "@i", "&", "^")).select("src", "dst").distinct()
-    two = up.join(up.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst"))
-    parents = up.select(F.col("src").alias("child"), F.col("dst").alias("one")).join(up.select(F.col("src").alias("child"), F.col("dst").alias("two")), "child").filter("one <> two").select(F.col("one").alias("src"), F.col("two").alias("dst"))
-    ways = up.union(two).union(parents).distinct()
-    near = ways.union(ways.select("dst", "src")).distinct()
     direct = met.filter(F.col("synset_id") == F.col("own")).select("entry_id", "synset_id")
-    linked = met.join(near, (F.col("synset_id") == F.col("src")) & (F.col("own") == F.col("dst"))).select("entry_id", "synset_id")
+    linked = met.join(x.near, (F.col("synset_id") == F.col("src")) & (F.col("own") == F.col("dst"))).select("entry_id", "synset_id")
     shared = met.join(up, F.col("synset_id") == F.col("src")).select("entry_id", "synset_id", "own", F.col("dst").alias("mid")).join(up, (F.col("own") == F.col("src")) & (F.col("mid") == F.col("dst"))).select("entry_id", "synset_id")
     return direct.union(linked).union(shared).distinct()
 
@@ -260,11 +279,6 @@ def top(rows: DataFrame, by: list[str], score: str, least: float = 0.0) -> DataF
     return rows.filter(F.col(score) > least).withColumn("rn", best).filter("rn = 1").drop("rn")
 
 
-def parents(x) -> DataFrame:
-    """(synset_id, parent): the first hypernym of each synset."""
-    return x.edge.filter(F.col("pointer").isin("@", "@i")).groupBy(F.col("src").alias("synset_id")).agg(F.min("dst").alias("parent"))
-
-
 def under_root(x, depth: int, pointers: tuple[str, ...]) -> DataFrame:
     """(synset_id, depth): synsets up to so many levels under the root, by their greatest depth there."""
     down = x.edge.filter(F.col("pointer").isin(*pointers)).select(F.col("dst").alias("synset_id"), F.col("src").alias("next"))
@@ -307,10 +321,14 @@ def domain_links(x) -> DataFrame:
 class Round:
     """What some rules decide on for some entries."""
 
-    def __init__(self, x: Lexicon, rules: Sequence[int] | None = None, entries: DataFrame | None = None):
+    def __init__(self, x: Lexicon, rules: Sequence[int] | None = None, entries: DataFrame | None = None, base: Round | None = None):
+        """base: a round of more rules and entries, whose named and found words serve here too."""
         self.x, self.spark = x, x.spark
         self.rules = tuple(RULES.values()) if rules is None else tuple(rules)
         self.entries = x.entries if entries is None else entries
+        if base is not None:
+            own = lambda df: df.filter(F.col("rule").isin(*self.rules)).join(self.entries.select("entry_id"), "entry_id", "left_semi")
+            self.named, self.found = own(base.named), own(base.found)
 
     @cached_property
     def named(self) -> DataFrame:
@@ -357,16 +375,21 @@ class Round:
         return unique.unionByName(tied).select("entry_id", "synset_id", "n", "ties", "how", "plain")
 
     def annotation(self) -> DataFrame:
-        lexicalise = self.named.filter("rule = 1 AND kind = 'lexicalise'").select("entry_id", F.lit("lexicalise").alias("op"), F.lit(None).cast("long").alias("target"), F.lit("template").alias("how"), F.lit(0.0).alias("score"))
-        rows = self.free(self.of(1, "merge", "attach", "sibling"), True).join(self.entries.select("entry_id", "pos", "gloss"), "entry_id")
+        """The first template stands whose word is a spelling or leads to a synset that the guard lets pass."""
+        spelled = self.named.filter("rule = 1 AND kind = 'lexicalise'").select("entry_id", "ord", F.lit("lexicalise").alias("op"), F.lit(None).cast("long").alias("target"), F.col("word").alias("how"), F.lit(0.0).alias("score"))
+        rows = self.of(1, "merge", "attach", "sibling").join(self.entries.select("entry_id", "pos", "gloss"), "entry_id").filter("pos <> 'adverb' OR kind = 'merge'")
+        stopped = rows.join(self.known(rows), ["entry_id", "synset_id"], "left_semi").select("entry_id", "ord").distinct()
+        rows = rows.join(stopped, ["entry_id", "ord"], "left_anti")
         short = ~F.col("gloss").contains(" ")
         first = rows.filter(short & (F.col("rank") == 1)).withColumn("how", F.lit("first sense"))
-        chosen = first.unionByName(top(rows.filter(~short), ["entry_id"], "extended").withColumn("how", F.lit("similarity")))
+        chosen = first.unionByName(top(rows.filter(~short), ["entry_id", "ord"], "extended").withColumn("how", F.lit("similarity")))
         adjective = F.col("pos") == "adjective"
-        out = chosen.join(parents(self.x), "synset_id", "left")
+        out = chosen.join(self.x.parents, "synset_id", "left")
         op = F.when(F.col("kind") == "merge", "merge").when(adjective, "similar to").otherwise("hypernym")
         target = F.when((F.col("kind") == "sibling") & ~adjective, F.col("parent")).otherwise(F.col("synset_id"))
-        return out.select("entry_id", op.alias("op"), target.alias("target"), "how", F.col("extended").alias("score")).filter("target IS NOT NULL").unionByName(lexicalise)
+        every = out.select("entry_id", "ord", op.alias("op"), target.alias("target"), "how", F.col("extended").alias("score")).filter("target IS NOT NULL").unionByName(spelled)
+        least = F.row_number().over(Window.partitionBy("entry_id").orderBy("ord"))
+        return every.withColumn("rn", least).filter("rn = 1").drop("rn", "ord")
 
     def relations(self) -> DataFrame:
         rows = self.of(2)
@@ -376,13 +399,14 @@ class Round:
         return self.voted(rows.join(stopped, "entry_id", "left_anti"), True).select("entry_id", F.lit("merge").alias("op"), F.col("synset_id").alias("target"), "how", F.col("plain").alias("score"))
 
     def antonyms(self) -> DataFrame:
-        rows = self.of(3).join(self.entries.select("entry_id", "pos", "gloss"), "entry_id")
+        rows = self.of(3).withColumn("least", F.min("ord").over(Window.partitionBy("entry_id"))).filter("ord = least").drop("least")  # the first word that is known
+        rows = rows.join(self.entries.select("entry_id", "pos", "gloss"), "entry_id")
         plain = F.col("gloss").contains(",")
         first = rows.filter(((F.col("senses") == 1) | ~plain) & (F.col("rank") == 1))
         word = first.unionByName(top(rows.filter((F.col("senses") > 1) & plain), ["entry_id"], "extended"))
         other = self.x.edge.filter("pointer = '!'")
         other = other.select("src", "dst").union(other.select("dst", "src")).groupBy(F.col("src").alias("synset_id")).agg(F.min("dst").alias("opposite"))
-        word = word.join(other, "synset_id", "left").join(parents(self.x), "synset_id", "left")
+        word = word.join(other, "synset_id", "left").join(self.x.parents, "synset_id", "left")
         merged = word.filter("opposite IS NOT NULL").select("entry_id", F.col("opposite").alias("synset_id"), "extended")
         merged = self.free(merged).select("entry_id", F.lit("merge").alias("op"), F.col("synset_id").alias("target"), F.lit("antonym's antonym").alias("how"), F.col("extended").alias("score"))
         new = word.filter("opposite IS NULL")
@@ -409,8 +433,8 @@ class Round:
         """(genus, member, hypernym): of a genus the first member meronym under the root that has a hypernym."""
         e = self.x.edge
         member = e.filter("pointer = '%m'").select(F.col("src").alias("genus"), F.col("dst").alias("synset_id"))
-        organism = under_root(self.x, 3, ("@", "@i")).select("synset_id")
-        met = member.join(organism, "synset_id", "left_semi").join(parents(self.x), "synset_id")
+        organism = self.x.rooted.select("synset_id")
+        met = member.join(organism, "synset_id", "left_semi").join(self.x.parents, "synset_id")
         return met.groupBy("genus").agg(F.min(F.struct("synset_id", "parent")).alias("m")).select("genus", F.col("m.synset_id").alias("member"), F.col("m.parent").alias("hypernym"))
 
     def taxonomy(self) -> DataFrame:
@@ -419,7 +443,7 @@ class Round:
         return make("hypernym", "hypernym").unionByName(make("member meronym", "genus"))
 
     def groups(self) -> DataFrame:
-        grouped = under_root(self.x, 3, ("@", "@i")).select("synset_id")
+        grouped = self.x.rooted.select("synset_id")
         x = self.of(7, "group").filter("rank = 1").join(grouped, "synset_id", "left_semi").select("entry_id", F.col("synset_id").alias("target"), F.col("plain").alias("score"))
         y = self.of(7, "member").join(x.select("entry_id"), "entry_id", "left_semi")
         best = top(y, ["entry_id"], "plain")
@@ -429,10 +453,10 @@ class Round:
 
     def persons(self) -> DataFrame:
         persons, lemmas = person_data(self.x)
-        already = own_senses(self.x).join(persons, F.col("own") == F.col("synset_id")).select("entry_id").distinct()
+        already = self.x.own.join(persons, F.col("own") == F.col("synset_id")).select("entry_id").distinct()
         names = lemmas.select(F.col("lemma").alias("word")).union(self.spark.createDataFrame([(w,) for w in ALWAYS_PERSON], "word string"))
-        typed = self.of(8, "typed").filter("rank = 1").join(names, "word", "left_semi").select("entry_id", F.col("synset_id").alias("target"), F.lit("typed").alias("how"), F.col("plain").alias("score"))
-        generic = self.named.filter("rule = 8 AND kind = 'generic'").select("entry_id").distinct()
+        typed = self.of(8, "typed").filter("rank = 1 AND word <> 'person'").join(names, "word", "left_semi").select("entry_id", F.col("synset_id").alias("target"), F.lit("typed").alias("how"), F.col("plain").alias("score"))
+        generic = self.named.filter("rule = 8 AND kind = 'generic'").select("entry_id").distinct().join(typed, "entry_id", "left_anti")
         asked = self.x.texts.filter("part = 'all'").join(generic, "entry_id", "left_semi").select(F.col("entry_id").alias("key"), F.col("a").alias("v"))
         held = self.x.sides.join(persons, "synset_id", "left_semi").select(F.col("synset_id").alias("id"), F.col("p").alias("v"))
         best = similarity.nearest(files.kept(asked), files.kept(held)).select(F.col("key").alias("entry_id"), F.col("id").alias("synset_id"), F.col("score").alias("plain"))
@@ -473,6 +497,7 @@ def proposed(one: Round) -> DataFrame:
     out = None
     for number in one.rules:
         rows = one.rule(number).withColumn("rule", F.lit(number)).select("entry_id", "rule", "op", "target", "how", "score")
+        rows = files.kept(rows)  # one plan for all rules takes longer to compile than to run
         out = rows if out is None else out.unionByName(rows)
     return out.distinct()
 
@@ -487,11 +512,12 @@ def stands(made: DataFrame) -> DataFrame:
 STAGES = ((1, 2), (3, 4, 5, 6), (7, 8), (10, 11, 12, 13, 14, 15))
 
 
-def cascade(x: Lexicon) -> tuple[DataFrame, list[Round]]:
+def cascade(x: Lexicon, base: Round | None = None) -> tuple[DataFrame, list[Round]]:
     """(what stands(proposed()) gives over all rules, the rounds of the stages); no entry is scored after its match."""
+    base = base or Round(x)
     pool, out, rounds = x.entries, None, []
     for rules in STAGES:
-        rounds.append(Round(x, rules, pool))
+        rounds.append(Round(x, rules, pool, base))
         rows = files.kept(stands(proposed(rounds[-1])))
         out = rows if out is None else out.unionByName(rows)
         if rules != STAGES[-1]:
@@ -502,15 +528,16 @@ def cascade(x: Lexicon) -> tuple[DataFrame, list[Round]]:
 _MADE: dict = {}
 
 
-def made(spark, d, part: str):
+def made(spark, d, part: str, wrap=None):
     """What is derived from a folder of tables once in a session, while its files are the same.
 
-    "lexicon", "round" (all rules), "proposals" (of all rules), "accepted" (of each entry's first).
+    "lexicon", "round" (all rules), "proposals" (of all rules), "accepted" (of each entry's first); with wrap, a class
+    of lexicon and table, what that makes of it.
     """
-    key = (spark.sparkContext.applicationId, d, part, files.stamp(spark, d))
+    key = (spark.sparkContext.applicationId, d, part, wrap, files.stamp(spark, d))
     if key not in _MADE:
-        makers = {"lexicon": lambda: Lexicon(spark, d), "round": lambda: Round(made(spark, d, "lexicon")), "proposals": lambda: files.kept(proposed(made(spark, d, "round"))), "accepted": lambda: cascade(made(spark, d, "lexicon"))[0]}
-        _MADE[key] = makers[part]()
+        makers = {"lexicon": lambda: Lexicon(spark, d), "round": lambda: Round(made(spark, d, "lexicon")), "proposals": lambda: files.kept(proposed(made(spark, d, "round"))), "accepted": lambda: cascade(made(spark, d, "lexicon"), made(spark, d, "round"))[0]}
+        _MADE[key] = wrap(made(spark, d, "lexicon"), made(spark, d, part)) if wrap else makers[part]()
     return _MADE[key]
 
 

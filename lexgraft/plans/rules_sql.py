@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lexgraft.functions import text as T
-from lexgraft.plans.rules import ALWAYS_PERSON, NO_DOMAIN, PATTERN, RULES, TEMPLATES
+from lexgraft.plans.rules import ALWAYS_PERSON, ANTONYMS, NO_DOMAIN, PATTERN, RULES, TEMPLATES
 from lexgraft.sources import tables as S
 
 
@@ -56,7 +56,10 @@ _DOMAINS = f"""dlabels AS (SELECT entry_id, list_slice(string_split(body, '|'),
   domains AS (SELECT DISTINCT entry_id, regexp_replace(word, '[\\[\\]]', '', 'g') AS word FROM (SELECT entry_id, unnest(l) AS word FROM dlabels WHERE NOT list_has_any(l, [{quoted(NO_DOMAIN)}])) WHERE NOT contains(word, '='))"""
 _KIND = " ".join(f"WHEN '{t}' THEN '{op}'" for t, op in TEMPLATES.items())
 _SINGLE = f"CASE pos WHEN 'noun' THEN {ex('p', 'one_noun')} WHEN 'verb' THEN {ex('p', 'one_verb')} ELSE {ex('p', 'one_word')} END"
-_OPPOSITE = f"CASE pos WHEN 'noun' THEN {ex('trim(p)', 'noun_antonym')} WHEN 'verb' THEN {ex('trim(p)', 'verb_antonym')} || {ex('trim(p)', 'verb_antonym', 2)} ELSE {ex('trim(p)', 'modifier_antonym')} END"
+_PARTS = "list_transform(string_split_regex(gloss, '[;,]'), lambda p: trim(p))"
+_OPPOSITE = "CASE pos " + " ".join(f"{when} flatten([" + ", ".join(f"list_transform({_PARTS}, lambda p: regexp_extract(p, '{t}', 1))" for t in ANTONYMS[p]) + "])" for when, p in (("WHEN 'noun' THEN", "noun"), ("WHEN 'verb' THEN", "verb"), ("ELSE", "modifier"))) + " END"
+_REST = "regexp_extract(lemma, '^(?:over|super|under)(.*)$', 1)"
+_PREFIX = f"CASE WHEN pos <> 'verb' OR {_REST} = '' THEN '' WHEN lemma LIKE 'under%' THEN 'super' || {_REST} ELSE 'under' || {_REST} END"
 _TAX = "CASE WHEN lead[1] LIKE 'taxlink|%' THEN string_split(lead[1], '|')[2] ELSE " + ex("gloss", "member") + " END"
 
 
@@ -73,17 +76,16 @@ _NAMED = (
   e AS MATERIALIZED (SELECT *, lower(gloss) AS low FROM (SELECT entry_id, lemma, pos, raw, {S._CLEAN.format(g='raw')} AS gloss, trim(regexp_replace(raw, '\\{{\\{{[^{{}}]*\\}}\\}}', '', 'g')) AS plain,
     regexp_extract_all(regexp_extract(raw, '^\\s*((?:\\{{\\{{[^{{}}]*\\}}\\}}\\s*)*)', 1), '\\{{\\{{([^{{}}]*)\\}}\\}}', 1) AS lead FROM raw)),
   fresh AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM sense s WHERE s.lemma = e.lemma AND s.pos = e.pos)),
-  templates AS (SELECT entry_id, pos, value, kind FROM (SELECT *, CASE type {_KIND} END AS kind FROM valued) WHERE kind IS NOT NULL AND value IS NOT NULL AND (pos <> 'adverb' OR kind = 'merge') QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY n) = 1),
+  templates AS (SELECT entry_id, pos, kind, min(n) - 1 AS ord, arg_max(value, n) AS word FROM (SELECT *, CASE type {_KIND} END AS kind FROM valued) WHERE kind IS NOT NULL AND value <> '' GROUP BY entry_id, pos, kind, type),
   lists AS (
-    SELECT entry_id, 1 AS rule, kind, [value] AS words, pos AS wpos FROM templates
-    UNION ALL SELECT r.entry_id, 2, 'synonym', list_sort(list(DISTINCT target)), any_value(e.pos) FROM relation r JOIN e USING (entry_id) WHERE type = 'SYNONYM' GROUP BY r.entry_id
-    UNION ALL SELECT entry_id, 3, 'antonym', list_slice(list_filter(list_concat([CASE WHEN pos = 'verb' AND regexp_matches(lemma, '^(?:over|super)') THEN 'under' || regexp_extract(lemma, '^(?:over|super)(.*)$', 1) ELSE '' END], list_transform(string_split_regex(gloss, '[;,]'), lambda p: {_OPPOSITE})), lambda w: w <> ''), 1, 1), pos FROM e
+    SELECT r.entry_id, 2 AS rule, 'synonym' AS kind, list_sort(list(DISTINCT target)) AS words, any_value(e.pos) AS wpos FROM relation r JOIN e USING (entry_id) WHERE type = 'SYNONYM' GROUP BY r.entry_id
+    UNION ALL SELECT entry_id, 3, 'antonym', list_filter(list_concat([{_PREFIX}], {_OPPOSITE}), lambda w: w <> ''), pos FROM e
     UNION ALL SELECT entry_id, 4, 'synonym', list_filter(list_transform(list_filter(list_transform(string_split(gloss, ';'), lambda x: regexp_replace(trim(x), '[.,;:!?]+$', '')), lambda x: x <> ''), lambda p: {_SINGLE}), lambda w: w <> ''), pos FROM e
-    UNION ALL SELECT entry_id, 5, CASE WHEN regexp_matches(gloss, '{PATTERN['manner']}$') THEN 'exact' ELSE 'longer' END, [{ex('gloss', 'manner')}], 'adjective' FROM fresh WHERE pos = 'adverb'
+    UNION ALL SELECT entry_id, 5, CASE WHEN regexp_matches(gloss, '{PATTERN['manner']}.{{0,2}}$') THEN 'exact' ELSE 'longer' END, [{ex('gloss', 'manner')}], 'adjective' FROM fresh WHERE pos = 'adverb'
     UNION ALL SELECT entry_id, 6, 'genus', [lower({_TAX})], 'noun' FROM e WHERE pos = 'noun'
     UNION ALL SELECT entry_id, 7, 'group', [{ex('gloss', 'group')}], 'noun' FROM e WHERE pos = 'noun'
     UNION ALL SELECT entry_id, 7, 'member', {ngrams('w')}, 'noun' FROM (SELECT entry_id, {following(ex('gloss', 'group', 2))} AS w FROM e WHERE pos = 'noun')
-    UNION ALL SELECT entry_id, 8, 'generic', ['person'], 'noun' FROM e WHERE pos = 'noun' AND regexp_matches(gloss, '{PATTERN['someone']}')
+    UNION ALL SELECT entry_id, 8, 'generic', ['person'], 'noun' FROM e WHERE pos = 'noun' AND (regexp_matches(gloss, '{PATTERN['someone']}') OR {ex('gloss', 'typed')} = 'person')
     UNION ALL SELECT entry_id, 8, 'typed', [{ex('gloss', 'typed')}], 'noun' FROM e WHERE pos = 'noun'
     UNION ALL """
     + " UNION ALL ".join(f"SELECT entry_id, 10, '{i}', {ngrams('w')}, 'noun' FROM (SELECT entry_id, {_link(n)} AS w FROM fresh WHERE pos = 'noun' AND regexp_matches(plain, '{PATTERN[n]}'))" for i, n in enumerate(("article_link", "first_link", "after_link")))
@@ -93,11 +95,11 @@ _NAMED = (
     UNION ALL """
     + " UNION ALL ".join(f"SELECT entry_id, 13, '{i}', {ngrams('w')}, 'noun' FROM (SELECT entry_id, {pieces(ex('gloss', n))} AS w FROM fresh WHERE pos = 'noun')" for i, n in enumerate(("which", "any_of", "comma")))
     + f"""
-    UNION ALL SELECT entry_id, 14, 'list', string_split(low, ', '), 'adjective' FROM fresh WHERE pos = 'adjective' AND regexp_matches(low, '{PATTERN['list']}')
+    UNION ALL SELECT entry_id, 14, 'list', string_split_regex(low, '\\s*,\\s*'), 'adjective' FROM fresh WHERE pos = 'adjective' AND regexp_matches(low, '{PATTERN['list']}')
     UNION ALL SELECT entry_id, 15, 'noun', list_filter([CASE WHEN len(w) >= 3 THEN array_to_string(list_slice(w, 1, 3), ' ') END, CASE WHEN len(w) >= 2 THEN array_to_string(list_slice(w, 1, 2), ' ') END, CASE WHEN len(w) >= 3 THEN array_to_string(list_slice(w, 2, 3), ' ') END, w[1], w[2], w[3]], lambda g: g IS NOT NULL AND g NOT IN ({quoted(T.STOP)})), 'noun'
       FROM (SELECT entry_id, {following(ex('low', 'relate'))} AS w FROM fresh WHERE pos = 'adjective')),
   once AS (SELECT entry_id, rule, kind, list_filter(words, lambda x, i: list_position(words, x) = i) AS words, wpos FROM lists),
-  named AS MATERIALIZED (SELECT * FROM (SELECT entry_id, rule, kind, generate_subscripts(words, 1) - 1 AS ord, unnest(words) AS word, wpos FROM once) WHERE word <> '')"""
+  named AS MATERIALIZED (SELECT * FROM (SELECT entry_id, rule, kind, generate_subscripts(words, 1) - 1 AS ord, unnest(words) AS word, wpos FROM once UNION ALL SELECT entry_id, 1, kind, ord, word, pos FROM templates) WHERE word <> '')"""
 )
 _FOUND = (
     _NAMED
@@ -159,10 +161,11 @@ def _winners(rule: int, score: str, least: float = 0) -> str:
 
 
 _RULE = {
-    1: f"""SELECT entry_id, CASE WHEN kind = 'merge' THEN 'merge' WHEN pos = 'adjective' THEN 'similar to' ELSE 'hypernym' END AS op, CASE WHEN kind = 'sibling' AND pos <> 'adjective' THEN parent ELSE synset_id END AS target, how, extended AS score
-      FROM (SELECT *, 'first sense' AS how FROM guarded1 WHERE NOT contains(gloss, ' ') AND rank = 1 UNION ALL {_top("*, 'similarity'", 'guarded1', "contains(gloss, ' ')", 'entry_id', 'extended')}) LEFT JOIN parent USING (synset_id)
+    1: f"""SELECT entry_id, op, target, how, score FROM (
+      SELECT entry_id, ord, CASE WHEN kind = 'merge' THEN 'merge' WHEN pos = 'adjective' THEN 'similar to' ELSE 'hypernym' END AS op, CASE WHEN kind = 'sibling' AND pos <> 'adjective' THEN parent ELSE synset_id END AS target, how, extended AS score
+      FROM (SELECT *, 'first sense' AS how FROM guarded1 WHERE NOT contains(gloss, ' ') AND rank = 1 UNION ALL {_top("*, 'similarity'", 'guarded1', "contains(gloss, ' ')", 'entry_id, ord', 'extended')}) LEFT JOIN parent USING (synset_id)
       WHERE CASE WHEN kind = 'sibling' AND pos <> 'adjective' THEN parent ELSE synset_id END IS NOT NULL
-      UNION ALL SELECT entry_id, 'lexicalise', NULL, 'template', 0.0 FROM named WHERE rule = 1 AND kind = 'lexicalise'""",
+      UNION ALL SELECT entry_id, ord, 'lexicalise', NULL, word, 0.0 FROM named WHERE rule = 1 AND kind = 'lexicalise') QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY ord) = 1""",
     2: "SELECT entry_id, 'merge' AS op, synset_id AS target, how, plain AS score FROM voted2",
     3: """SELECT entry_id, 'merge' AS op, opposite AS target, 'antonym''s antonym' AS how, extended AS score FROM contrary WHERE opposite IS NOT NULL AND NOT EXISTS (SELECT 1 FROM dup d WHERE d.entry_id = contrary.entry_id AND d.synset_id = opposite)
       UNION ALL SELECT entry_id, 'antonym', synset_id, 'antonym', extended FROM contrary WHERE opposite IS NULL AND pos IN ('adjective', 'adverb')
@@ -173,8 +176,9 @@ _RULE = {
     6: """SELECT r.entry_id, o.op, CASE o.op WHEN 'hypernym' THEN m.hypernym ELSE m.genus END AS target, 'genus' AS how, 0.0 AS score FROM rows r JOIN members m ON m.genus = r.synset_id, (VALUES ('hypernym'), ('member meronym')) o(op) WHERE r.rule = 6 AND r.rank = 1""",
     7: f"""SELECT entry_id, 'hypernym' AS op, synset_id AS target, 'group' AS how, plain AS score FROM grouped UNION ALL SELECT entry_id, 'member meronym', synset_id, 'member', plain FROM (SELECT entry_id, synset_id, plain FROM best7 UNION ALL
       SELECT entry_id, synset_id, plain FROM (SELECT * FROM rows WHERE rule = 7 AND kind = 'member' AND entry_id IN (SELECT entry_id FROM grouped) AND entry_id NOT IN (SELECT entry_id FROM best7) QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY ord, rank, synset_id) = 1))""",
-    8: f"""SELECT entry_id, 'hypernym' AS op, target, how, score FROM (SELECT entry_id, synset_id AS target, 'typed' AS how, plain AS score FROM rows WHERE rule = 8 AND kind = 'typed' AND rank = 1 AND (word IN (SELECT lemma FROM person_lemmas) OR word IN ({quoted(ALWAYS_PERSON)}))
+    8: f"""SELECT entry_id, 'hypernym' AS op, target, how, score FROM (SELECT entry_id, synset_id AS target, 'typed' AS how, plain AS score FROM rows WHERE rule = 8 AND kind = 'typed' AND rank = 1 AND word <> 'person' AND (word IN (SELECT lemma FROM person_lemmas) OR word IN ({quoted(ALWAYS_PERSON)}))
       UNION ALL SELECT entry_id, synset_id, 'closure', plain FROM (SELECT n.entry_id, c.synset_id, c.plain FROM named n JOIN cos c ON c.entry_id = n.entry_id AND c.part = 'all' JOIN persons p ON p.synset_id = c.synset_id WHERE n.rule = 8 AND n.kind = 'generic' AND c.plain > 0
+          AND n.entry_id NOT IN (SELECT entry_id FROM rows WHERE rule = 8 AND kind = 'typed' AND rank = 1 AND word <> 'person' AND (word IN (SELECT lemma FROM person_lemmas) OR word IN ({quoted(ALWAYS_PERSON)})))
         QUALIFY row_number() OVER (PARTITION BY n.entry_id ORDER BY c.plain DESC, c.synset_id) = 1)) WHERE entry_id NOT IN (SELECT entry_id FROM own JOIN persons ON own = synset_id)""",
     10: _winners(10, "plain"),
     11: _winners(11, "plain", -1),
@@ -188,10 +192,11 @@ _RULE = {
 _DECIDED = (
     _FOUND
     + f""",
-  guarded1 AS (SELECT * FROM rows WHERE rule = 1 AND kind <> 'lexicalise' AND entry_id NOT IN (SELECT entry_id FROM rows WHERE rule = 1 AND kind <> 'lexicalise' AND stop)),
+  guarded1 AS (SELECT * FROM rows r WHERE rule = 1 AND kind <> 'lexicalise' AND (pos <> 'adverb' OR kind = 'merge') AND NOT EXISTS (SELECT 1 FROM rows s WHERE s.rule = 1 AND s.kind <> 'lexicalise' AND s.stop AND s.entry_id = r.entry_id AND s.ord = r.ord)),
+  third AS (SELECT * FROM rows WHERE rule = 3 QUALIFY ord = min(ord) OVER (PARTITION BY entry_id)),
   {_voted('voted2', 2, True, "entry_id NOT IN (SELECT f.entry_id FROM found f LEFT JOIN upward u USING (synset_id) JOIN dup d ON d.entry_id = f.entry_id AND d.synset_id IN (f.synset_id, u.up) WHERE f.rule = 2)")},
-  contrary AS (SELECT a.*, o.opposite, p.parent FROM (SELECT entry_id, pos, synset_id, extended FROM rows WHERE rule = 3 AND (senses = 1 OR NOT contains(gloss, ',')) AND rank = 1 UNION ALL
-    {_top('entry_id, pos, synset_id, extended', 'rows', "rule = 3 AND senses > 1 AND contains(gloss, ',')", 'entry_id', 'extended')}) a LEFT JOIN opposite o USING (synset_id) LEFT JOIN parent p USING (synset_id)),
+  contrary AS (SELECT a.*, o.opposite, p.parent FROM (SELECT entry_id, pos, synset_id, extended FROM third WHERE (senses = 1 OR NOT contains(gloss, ',')) AND rank = 1 UNION ALL
+    {_top('entry_id, pos, synset_id, extended', 'third', "senses > 1 AND contains(gloss, ',')", 'entry_id', 'extended')}) a LEFT JOIN opposite o USING (synset_id) LEFT JOIN parent p USING (synset_id)),
   guarded4 AS (SELECT r.*, count(DISTINCT word) OVER (PARTITION BY entry_id) AS words FROM rows r WHERE rule = 4 AND entry_id NOT IN (SELECT entry_id FROM rows WHERE rule = 4 AND stop)),
   members AS (SELECT genus, member, hypernym FROM (SELECT m.src AS genus, m.dst AS member, p.parent AS hypernym FROM edge m JOIN rooted r ON r.id = m.dst JOIN parent p ON p.synset_id = m.dst WHERE m.pointer = '%m') QUALIFY row_number() OVER (PARTITION BY genus ORDER BY member) = 1),
   grouped AS (SELECT * FROM rows WHERE rule = 7 AND kind = 'group' AND rank = 1 AND synset_id IN (SELECT id FROM rooted)),

@@ -137,11 +137,6 @@ def vocabulary(spark, d) -> DataFrame:
     return words(S.entry(spark, d)).unionByName(words(S.synset(spark, d))).filter(~F.lower("word").isin(*T.STOP)).distinct()
 
 
-def exceptions_out(spark, d) -> DataFrame:
-    """K5: sorted lines of irregular forms."""
-    return S.exception(spark, d).distinct().select("pos", F.concat_ws(" ", "surface", "base").alias("line")).orderBy("pos", "line")
-
-
 def stable_synset_id(spark, d) -> DataFrame:
     """A name for each new synset that later rounds can point to."""
     return S.raw(spark, d).select("entry_id", F.md5(F.concat_ws("|", "pos", "lemma", F.col("entry_id").cast("string"))).alias("synset_id"))
@@ -173,7 +168,7 @@ QUERIES = {
     "gloss_without_examples": per_raw(T.without_examples),
     "balance_parens": per_raw(T.balance_parens),
     "extended_gloss": extended,
-} | {f.__name__: f for f in (pos_normalise, sense_explode, gloss_lines, lang_filter, lemma_normalise, entry_dedup, combined_gloss, relations_parse, annotation_values, gloss_words, stopword_filter, stems, compound_stems, lemma_variants, entry_valid, sub_definitions, vocabulary, exceptions_out, stable_synset_id, pointer_counts, sense_counts, gloss_multimap)}
+} | {f.__name__: f for f in (pos_normalise, sense_explode, gloss_lines, lang_filter, lemma_normalise, entry_dedup, combined_gloss, relations_parse, annotation_values, gloss_words, stopword_filter, stems, compound_stems, lemma_variants, entry_valid, sub_definitions, vocabulary, stable_synset_id, pointer_counts, sense_counts, gloss_multimap)}
 
 
 _CLEAN = S._CLEAN
@@ -222,7 +217,6 @@ SQL = {
     "sub_definitions": r"""WITH p AS (SELECT entry_id, list_filter(list_transform(string_split_regex(raw, '[;,]'), lambda x: regexp_replace(trim(x), '[.,;:!?]+$', '')), lambda x: x <> '') AS parts FROM raw)
         SELECT entry_id, (generate_subscripts(parts, 1) - 1)::INTEGER AS n, unnest(parts) AS part FROM p""",
     "vocabulary": f"WITH w AS (SELECT unnest({_WORDS.format(g='gloss')}) AS word FROM (SELECT gloss FROM entry UNION ALL SELECT gloss FROM synset)) SELECT DISTINCT word FROM w WHERE lower(word) NOT IN ({_STOP})",
-    "exceptions_out": "SELECT DISTINCT pos, surface || ' ' || base AS line FROM exception ORDER BY pos, line",
     "stable_synset_id": "SELECT entry_id, md5(pos || '|' || lemma || '|' || entry_id) AS synset_id FROM raw",
     "pointer_counts": "SELECT src, count(DISTINCT CASE WHEN level = 'synset' THEN pointer END) + count(CASE WHEN level = 'word' THEN 1 END) AS n FROM edge GROUP BY src",
     "sense_counts": "SELECT lemma, count(*) AS n FROM sense GROUP BY lemma",

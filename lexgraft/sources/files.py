@@ -61,6 +61,15 @@ def read_exceptions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(words[0].alias("surface"), words[1].alias("base"))
 
 
+def write_exceptions(pairs: DataFrame, path: str) -> None:
+    """K5: lines of irregular forms (surface, pos, base) in a folder for each part of speech.
+
+    Each file is sorted, and so are the files of a folder by their numbers: ranges of the whole order.
+    """
+    lines = pairs.select("pos", F.concat_ws(" ", "surface", "base").alias("line")).distinct()
+    lines.repartitionByRange("pos", "line").sortWithinPartitions("pos", "line").write.partitionBy("pos").text(path)
+
+
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     """S3: (synset_id, lemmas, gloss) of data lines: id, pos, number of lemmas, lemmas, | gloss."""
     parts = F.split("value", r" \| ", 2)

@@ -101,17 +101,24 @@ SHAPES = (
     ("noun", "any of various {grp} {noun} which are {adj}; {grp}"),
     ("noun", "In the {adj} style, a [[{grp}]] of {noun}"),
     ("adjective", "pertaining to the {adj} {noun}"),
+    ("noun", "{noun}, formerly someone who has {adj}"),
+    ("noun", "Now {grp}. The {noun} of a {grp} {noun}, {adj}"),
+    ("adverb", "{adj}ly; in an {adj} way, of {noun}"),
+    ("noun", "{{{{form of|plural|{noun}}}}} {{{{synonym of|{grp}}}}} and {adj}"),
+    ("adjective", "not zz{adj}; opposed to {adj} and {noun}"),
+    ("noun", "any {grp} x-{noun} that is {adj}"),
+    ("adjective", "of, or relating to a {noun}; {adj}"),
+    ("adjective", "{adj}, {adj}-like, {grp}, {noun} or so"),
 )
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(entry_id, lemma, pos, raw): marked-up glosses, one for each part; of four lemmas the lexicon knows one."""
     parts = part_words(spark, sf_dir).withColumn("cap", F.initcap("noun"))
-    text, pos = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for i, (p, shape) in enumerate(SHAPES):
-        here = F.col("key") % len(SHAPES) == i
-        pieces = [F.lit(x) if isinstance(x, str) else F.col(x[0]) for x in cut(shape)]
-        text, pos = F.when(here, F.concat(*pieces)).otherwise(text), F.when(here, p).otherwise(pos)
+    text, pos, shape = F, F, F.col("key") % len(SHAPES)
+    for i, (p, form) in enumerate(SHAPES):
+        pieces = [F.lit(x) if isinstance(x, str) else F.col(x[0]) for x in cut(form)]
+        text, pos = text.when(shape == i, F.concat(*pieces)), pos.when(shape == i, F.lit(p))
     lemma = F.when(F.floor(F.col("key") / len(SHAPES)) % 4 == 0, F.col("lemma")).otherwise(F.concat(F.lit("neo"), "lemma"))
     return parts.select(F.col("key").alias("entry_id"), lemma.alias("lemma"), pos.alias("pos"), text.alias("raw"))
 
