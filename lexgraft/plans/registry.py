@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lexgraft.plans import apply, filed, lookups, rules, texts
+from lexgraft.plans import apply, filed, lookups, rounds, rules, texts
 from lexgraft.sources import tables
 
-MODULES = (texts, lookups, rules, apply, filed)
+MODULES = (texts, lookups, rules, apply, rounds, filed)
 
 
 def queries() -> dict:

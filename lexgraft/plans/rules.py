@@ -80,7 +80,8 @@ class Lexicon:
 
     def with_tables(self, **tables) -> Lexicon:
         """The same with other senses, synsets, edges, exceptions or entries; what doesn't depend on them is shared."""
-        own = {k: v for k, v in self.__dict__.items() if k in ("parts", "words", "relation", "vectors", "sense", "synset", "edge", "exception", "entries")}
+        own = {k: getattr(self, k) for k in ("parts", "words", "relation", "vectors")}
+        own |= {k: v for k, v in self.__dict__.items() if k in ("sense", "synset", "edge", "exception", "entries")}
         return Lexicon(self.spark, self.d, **(own | tables))
 
     @cached_property

@@ -34,10 +34,3 @@ def test_written_lines_are_the_entries(spark, sf):
     got = [json.loads(r.line) for r in QUERIES["write_entries_jsonl"](spark, sf).collect()]
     want = {r.entry_id: r.targets for r in QUERIES["read_entries_jsonl"](spark, sf).collect()}
     assert {r["entry_id"] for r in got} == set(want) and all({"lemma", "pos", "glosses"} <= set(r) for r in got)
-
-
-def test_a_round_sees_what_the_one_before_has_written(spark, sf):
-    rows = QUERIES["round_loop"](spark, sf).collect()
-    first = {r.entry_id: r.route for r in rows if r["round"] == 1}
-    assert {r.entry_id: r.route for r in QUERIES["route_by_operation"](spark, sf).collect()} == first
-    assert len(first) == sum(r["round"] == 1 for r in rows) and not {r.entry_id for r in rows if r["round"] == 2} & set(first)
