@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import functools
+import inspect
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +66,29 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def under_own_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """operator(docs, ..) with the columns of docs under names of their own, so that none clashes with its private ones.
+
+    The result has them back under theirs; what it adds replaces columns of the same name.
+    """
+    kind = inspect.signature(operator)
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        given = kind.bind(docs, *args, **kwargs)
+        given.apply_defaults()
+        names, own = docs.columns, [f"__own{i}" for i in range(len(docs.columns))]
+        given.arguments["docs"] = docs.toDF(*own)
+        for which in ("id_col", "text_col", "source_col"):
+            if which in given.arguments:
+                given.arguments[which] = own[names.index(given.arguments[which])]
+        out = operator(*given.args, **given.kwargs)
+        back, added = dict(zip(own, names, strict=True)), {c for c in out.columns if c not in own}
+        return out.select(*(F.col(c).alias(back.get(c, c)) for c in out.columns if back.get(c, "") not in added))
+
+    return run
+
+
 def crc_mod(column: str, by: int) -> Column:
     """crc32 of the value as text, modulo by; a null id counts as remainder 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % by, F.lit(0))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgraft.llm.common import table, written
+from lexgraft.llm.common import table, under_own_names, written
 
 RADIUS = 23
 BLOCKS = 8
@@ -169,6 +169,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, id_col:
     return out if out is not None else spark.createDataFrame([], FOUND)
 
 
+@under_own_names
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, text_col: str = "text") -> DataFrame:
     """The rows of docs that meet no item; all columns stay. Each row is judged by its own text, whatever its id."""
     spark, place = docs.sparkSession, docs.columns.index(text_col)

@@ -17,7 +17,7 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, most: int, wanted: l
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label).isNotNull() & (crc_mod(id_col, 3) != 1))
     known = known.groupBy(F.col(id_col).alias("__id")).agg(F.max(label).cast("int").alias("__y"))
     drawn = F.broadcast(known.orderBy(F.xxhash64("__id"), "__id").limit(most))
-    rows = docs.join(drawn, docs[id_col] == F.col("__id")).select(F.col("__y").alias("y"), F.col("__id"), *wanted)
+    rows = docs.select(F.col(id_col).alias("__own_id"), F.struct(*wanted).alias("__wanted")).join(drawn, F.col("__own_id") == F.col("__id")).select(F.col("__y").alias("y"), "__id", "__wanted.*")
     return sorted(rows.collect(), key=lambda r: r["__id"])
 
 

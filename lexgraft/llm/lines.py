@@ -6,7 +6,8 @@ where rows share an id, then by line number. Lines of fewer than `min_words` wor
 removed; lines without words never are in any case.
 
 1. Equal sets collapse to their first line; all others of a set are removed.
-2. Words are ordered by rarity. Every word of every distinct set is counted, in 2^21 buckets of its hash, so the
+2. Sets so small that one more word would make them too unlike (fewer than 4 words at 0.8) resemble equal sets only,
+   which have met. Of the others, words are ordered by rarity. Every word of every distinct set is counted, in 2^21 buckets of its hash, so the
    table of rarities has a fixed size (2 MB) for any corpus; within a rarity the hash decides. Any fixed order is
    exact, the counts only decide how many candidates there are. A word whose bucket counts 1 is in one set only
    and leads to nobody.
@@ -20,20 +21,22 @@ removed; lines without words never are in any case.
 5. Pairs are verified on the sets of whole hashes of 64 bits.
 
 Results: a null text stays null and counts no lines; empty texts stay; a text whose lines all go becomes empty.
-Rows that share an id or have none are told apart by their texts; of rows with the same id and the same text the
-first keeps its lines and the others are removed line by line like any repetition. An empty table gives an empty
-one. Very long lines and texts are worked on whole. Columns called n_lines or n_removed are replaced by dedup()
-and stay as they are in without_repeats().
+Rows that share an id or have none are told apart by their texts; of rows with the same id and the same text one
+keeps its lines and the others are removed line by line like any repetition; which one, if their other columns differ,
+is left to Spark. An empty table gives an empty
+one. Very long lines and texts are worked on whole. Other columns, of any name, stay; n_lines and n_removed are
+replaced by dedup() only.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexgraft.llm.common import SPACE, dropped, table, written
+from lexgraft.llm.common import SPACE, dropped, table, under_own_names, written
 
 #: Asks for a Bloom filter of the wanted sets on the scan of all sets, before their words are shuffled.
 BLOOM = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
@@ -97,7 +100,9 @@ def prefixes(sets: DataFrame, t: float) -> DataFrame:
     ranked = F.expr(f"sort_array(transform(codes, c -> (coalesce(cast(get(rarities, cast(c & {place}L AS int)) AS bigint), 0L) << {RARITY_SHIFT}) | (c & {low}L)))")
     # a word flips one of 128 bits: one of 64 in the bitmap that a further bit of its hash names
     bits = [F.expr(f"aggregate(codes, 0L, (a, c) -> a ^ CASE WHEN (c >> 46) & 1L = {half}L THEN 1L << cast((c >> 40) & 63L AS int) ELSE 0L END)") for half in (0, 1)]
-    known = sets.withColumn("rarities", rarities(sets).scalar())
+    # a set of n words resembles no other of n + 1 unless n is at least t / (1 - t); equal sets have met already
+    least = math.ceil(t / (1 - t) - 1e-9) if t < 1 else 1 << 30
+    known = sets.filter(F.size("codes") >= least).withColumn("rarities", rarities(sets).scalar())
     n = F.size("codes")
     return written(known.select("set", "id", n.alias("n"), bits[0].alias("b1"), bits[1].alias("b2"), F.slice(ranked, F.lit(1), (n - F.ceil(n * t - 1e-9) + 1).cast("int")).alias("prefix")), "prefixes")
 
@@ -205,13 +210,15 @@ def quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\") + "'"
 
 
+@under_own_names
 def dedup(docs: DataFrame, t: float = 0.8, min_words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with its columns, text_col without the removed lines, and n_lines, n_removed (int)."""
     met = cleaned(docs, t, min_words, id_col, text_col)
-    columns = [F.col("__text").alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    columns = [(F.col("__text") if c == text_col else F.col(c)).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
     return met.select(*columns, F.col("__lines").alias("n_lines"), (F.col("__lines") - F.col("__left")).alias("n_removed"))
 
 
+@under_own_names
 def without_repeats(docs: DataFrame, t: float = 0.8, min_words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with just its columns, text_col without the removed lines."""
     return cleaned(docs, t, min_words, id_col, text_col).select(*(F.col("__text").alias(c) if c == text_col else F.col(c) for c in docs.columns))

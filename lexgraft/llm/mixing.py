@@ -25,7 +25,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexgraft.llm.common import WORD, dropped, table, written
+from lexgraft.llm.common import WORD, dropped, table, under_own_names, written
 
 #: Up to so many sources, their table is broadcast.
 FEW_SOURCES = 10_000
@@ -123,6 +123,7 @@ def mix(docs: DataFrame, weigh: Callable[[list], list[float]] | None = None, sha
     return taken
 
 
+@under_own_names
 def mixed_documents(docs: DataFrame, weigh: Callable[[list], list[float]] | None = None, share: float = 1.5, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of docs of which the mix takes words, with all columns and `taken` (words, repeats counted)."""
     numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgraft.llm.common import WORD, table
+from lexgraft.llm.common import WORD, table, under_own_names
 from lexgraft.llm.learn import held_out, sampled
 
 TRAIN_ROWS, TRAIN_CHARS = 8000, 200_000
@@ -159,6 +159,7 @@ def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col:
     return fit(x, np.array([r.y for r in rows], np.int64), list(stats))
 
 
+@under_own_names
 def scored(docs: DataFrame, rules: Rules, text_col: str = "text", name: str = "score") -> DataFrame:
     """docs with all columns and the score of the whole text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexgraft.llm.common import LOWER, components, hamming, table, written
+from lexgraft.llm.common import LOWER, components, hamming, table, under_own_names, written
 
 BLOCK = 1 << 14
 SMALL = 64
@@ -121,6 +121,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, id_col: st
     return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+@under_own_names
 def keep_one(docs: DataFrame, width: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, the one with the least id (null ids last); all columns stay.
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgraft.llm.common import table
+from lexgraft.llm.common import table, under_own_names
 from lexgraft.llm.learn import held_out, sampled
 
 BUCKETS, DIM, FILTERS, WIDTHS, PREFIXES = 1 << 15, 8, 6, (1, 2, 3), (5, 3)
@@ -198,6 +198,7 @@ def trained(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: st
     return fit([r.t for r in rows], [r.y for r in rows])
 
 
+@under_own_names
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", name: str = "score") -> DataFrame:
     """docs with all columns and the score of the whole text."""
     carried = docs.sparkSession.sparkContext.broadcast(model)  # about 1 MB, whatever the corpus
@@ -219,7 +220,8 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def keep_civil(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose score is below the threshold; all columns stay."""
     model = trained(docs, labels, label, id_col, text_col)
-    return scored(docs, model, id_col, text_col, "__toxic").filter(F.col("__toxic") < THRESHOLD).drop("__toxic")
+    name = "__toxic" + "_" * max(map(len, docs.columns))  # longer than any column's
+    return scored(docs, model, id_col, text_col, name).filter(F.col(name) < THRESHOLD).drop(name)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
