@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexgraft.functions import text as T
 from lexgraft.operators import lookup
+from lexgraft.plans import rules as R
 from lexgraft.sources import files
 from lexgraft.sources import tables as S
 
@@ -50,13 +51,17 @@ def exceptions_in(spark, d) -> DataFrame:
 
 
 def load_lexicon(spark, d) -> DataFrame:
-    """S3: synsets written as data lines and read back."""
-    lemmas = S.sense(spark, d).groupBy("synset_id").agg(F.array_sort(F.collect_set(F.replace("lemma", F.lit(" "), F.lit("_")))).alias("lemmas"))
-    rows = S.synset(spark, d).join(lemmas, "synset_id")
-    line = F.concat(F.col("synset_id").cast("string"), F.lit(" n "), F.size("lemmas").cast("string"), F.lit(" "), F.array_join("lemmas", " "), F.lit(" | "), "gloss")
-    path = files.scratch(spark)
-    rows.select(line.alias("value")).write.text(path)
-    return files.read_lexicon(spark, path).select("synset_id", F.array_join("lemmas", ",").alias("lemmas"), "gloss")
+    """S3: the four tables of a lexicon, written as files of counted fields and read back; glosses by digest.
+
+    t says which table a row is of. What the reference check finds is a row too.
+    """
+    x, path = R.made(spark, d, "lexicon"), files.scratch(spark)
+    files.write_lexicon(path, x.synset, x.sense, x.edge, x.exception)
+    tables = files.read_lexicon(spark, path)
+    row = lambda t, t_name, **c: t.select(F.lit(t_name).alias("t"), *(F.expr(c.get(k, f"cast(null as {kind})")).cast(kind).alias(k) for k, kind in (("a", "long"), ("b", "long"), ("p", "string"), ("q", "string"), ("r", "string"), ("n", "int"))))
+    out = row(tables["synset"], "synset", a="synset_id", q="pos", r="md5(gloss)").unionByName(row(tables["sense"], "sense", a="synset_id", p="lemma", q="pos", n="sense_rank"))
+    out = out.unionByName(row(tables["edge"], "edge", a="src", b="dst", p="pointer", q="level", n="ord")).unionByName(row(tables["exception"], "exception", p="surface", q="pos", r="base"))
+    return out.unionByName(row(files.check(spark, path, tables), "fault", p="what", q="id"))
 
 
 def share(a, b):
@@ -79,7 +84,8 @@ SQL = {
     "read_entries_jsonl": "SELECT e.entry_id, e.lemma, e.pos, e.gloss, string_agg(r.target, ',' ORDER BY r.target) AS targets FROM entry e LEFT JOIN relation r USING (entry_id) GROUP BY ALL",
     "read_dump_entries": "SELECT entry_id, pos, 0 AS n, raw AS gloss FROM raw UNION ALL SELECT entry_id, pos, 1, 'second of ' || lemma FROM raw",
     "exceptions_in": "SELECT surface, base FROM exception",
-    "load_lexicon": "SELECT s.synset_id, string_agg(lemma, ',' ORDER BY replace(lemma, ' ', '_')) AS lemmas, any_value(s.gloss) AS gloss FROM synset s JOIN (SELECT DISTINCT synset_id, lemma FROM sense) USING (synset_id) GROUP BY s.synset_id",
+    "load_lexicon": """SELECT 'synset' AS t, synset_id AS a, NULL::BIGINT AS b, NULL::VARCHAR AS p, pos AS q, md5(gloss) AS r, NULL::INTEGER AS n FROM synset
+        UNION ALL SELECT 'sense', synset_id, NULL, lemma, pos, NULL, sense_rank FROM sense UNION ALL SELECT 'edge', src, dst, pointer, level, NULL, ord FROM edge UNION ALL SELECT 'exception', NULL, NULL, surface, pos, base, NULL FROM exception""",
     "pluggable_similarity": f"""WITH ew AS MATERIALIZED (SELECT entry_id, lemma, pos, {_WORDS.format(g='gloss')} AS a FROM entry), sw AS MATERIALIZED (SELECT synset_id, {_WORDS.format(g='gloss')} AS b FROM synset),
         s AS (SELECT entry_id, synset_id, sense_rank, round(len(list_intersect(a, b)) / greatest(len(a), 1), 6) AS score FROM ew JOIN sense n USING (lemma, pos) JOIN sw USING (synset_id))
         SELECT entry_id, synset_id, score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY score DESC, sense_rank, synset_id) = 1""",

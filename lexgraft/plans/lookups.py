@@ -73,9 +73,9 @@ def gloss_equi_join(spark, d):
 
 
 def is_descendant(spark, d):
-    """G1: each nation's ancestors, itself included."""
-    start = S.tree(spark, d).filter("src LIKE 'N%'").select(F.col("src").alias("root"))
-    return graph.closure(start, S.tree(spark, d)).select("root", "node")
+    """G1: the ancestors of every node of the tree, itself included."""
+    tree = files.kept(S.tree(spark, d))
+    return graph.closure(tree.select(F.col("src").alias("root")), tree).select("root", "node")
 
 
 def synset_votes(spark, d) -> DataFrame:
@@ -91,10 +91,10 @@ def lemma_weights(spark, d):
 
 
 def load_vectors(spark, d):
-    """Vectors of the vocabulary's words, of length 1."""
+    """Vectors of the vocabulary's words, of length 1, from a table in buckets of words."""
+    name = files.write_vectors(similarity.normalised(S.word_vector(spark, d)))
     vocabulary = S.entry(spark, d).select(F.explode(T.gloss_words(F.lower("gloss"))).alias("word")).distinct()
-    rows = similarity.normalised(S.word_vector(spark, d)).join(vocabulary, "word", "left_semi")
-    return rows.select("word", F.round(F.col("vec")[0], 6).alias("x"), F.round(F.col("vec")[63], 6).alias("y"))
+    return vector_rows(spark.table(name).join(vocabulary, "word", "left_semi"), "word")
 
 
 def vector_rows(df: DataFrame, name: str) -> DataFrame:

@@ -33,10 +33,10 @@ SQL = {
     "one_hop": f"WITH {_HOPS} SELECT DISTINCT src AS synset_id, dst AS near FROM both_ways",
     "pointer_follow": "SELECT src, pointer, arg_min(dst, ord * 10000000000000 + dst) AS dst FROM edge GROUP BY src, pointer",
     "gloss_equi_join": "SELECT first, lemma, synset_id FROM (SELECT s.synset_id, lemma, min(s.synset_id) OVER w AS first, count(*) OVER w AS n FROM synset y JOIN (SELECT DISTINCT synset_id, lemma FROM sense) s USING (synset_id) WINDOW w AS (PARTITION BY y.gloss, lemma)) WHERE n > 1",
-    "is_descendant": "WITH up AS (SELECT src AS root, src AS node FROM tree WHERE src LIKE 'N%' UNION SELECT up.root, t.dst FROM up JOIN tree t ON t.src = up.node) SELECT root, node FROM up",
+    "is_descendant": "WITH up AS (SELECT src AS root, src AS node FROM tree UNION SELECT up.root, t.dst FROM up JOIN tree t ON t.src = up.node) SELECT root, node FROM up",
     "synset_votes": f"WITH {_VOTES} SELECT entry_id, synset_id, n FROM votes",
     "lemma_weights": f"WITH {_WEIGHTS} SELECT lemma, round(weight, 6) AS weight FROM weights",
-    "load_vectors": f"WITH {_VECTORS}, ew AS (SELECT DISTINCT unnest({_LIST.format(g='gloss')}) AS word FROM entry) SELECT word, round(vec[1], 6) AS x, round(vec[64], 6) AS y FROM unit JOIN ew USING (word)",
+    "load_vectors": f"WITH {_VECTORS}, ew AS (SELECT DISTINCT unnest({_LIST.format(g='gloss')}) AS word FROM entry) SELECT word, {_COMPONENTS} FROM unit JOIN ew USING (word)",
     "gloss_vector": f"WITH {_VECTORS} SELECT md5(gloss) AS gloss, {_COMPONENTS} FROM gv WHERE gloss IN (SELECT gloss FROM entry)",
     "gloss_cosine": f"WITH {_SCORED} SELECT entry_id, synset_id, score FROM scored",
     "best_sense": f"WITH {_SCORED} SELECT entry_id, synset_id, score FROM scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY score DESC, sense_rank, synset_id) = 1",

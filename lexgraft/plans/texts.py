@@ -57,9 +57,12 @@ def entry_dedup(spark, d) -> DataFrame:
 
 
 def combined_gloss(spark, d) -> DataFrame:
-    """Cleaned glosses, distinct, in first-seen order."""
-    parts = F.array_distinct(F.transform(F.split("raw", ";"), T.clean_gloss))
-    return S.raw(spark, d).select("entry_id", F.array_join(parts, " ").alias("gloss"), F.size(parts).alias("n"))
+    """Cleaned glosses, distinct, in first-seen order, and the ordered map from raw to clean; equal raw ones are one key."""
+    raw = F.array_distinct(F.split("raw", ";"))
+    cleaned = F.map_from_entries(F.transform(raw, lambda g: F.struct(g, T.clean_gloss(g))))
+    rows = S.raw(spark, d).select("entry_id", cleaned.alias("glosses"))
+    parts, pairs = F.array_distinct(F.map_values("glosses")), F.transform(F.map_entries("glosses"), lambda e: F.concat_ws(" => ", e["key"], e["value"]))
+    return rows.select("entry_id", F.array_join(parts, " ").alias("gloss"), F.size(parts).alias("n"), F.array_join(pairs, " | ").alias("glosses"))
 
 
 def relations_parse(spark, d) -> DataFrame:
@@ -195,9 +198,10 @@ SQL = {
     "lang_filter": "SELECT doc_id, source, n_chars FROM documents WHERE lang = 'en'",
     "lemma_normalise": "SELECT entry_id, replace(lemma, ' ', '_') AS lemma, upper(pos) AS pos FROM raw",
     "entry_dedup": "SELECT lemma, pos, min(entry_id) AS entry_id FROM raw GROUP BY lemma, pos",
-    "combined_gloss": f"""WITH p AS (SELECT entry_id, list_transform(string_split(raw, ';'), lambda g: {_CLEAN.format(g='g')}) AS parts FROM raw),
-        q AS (SELECT entry_id, list_filter(parts, lambda x, i: list_position(parts, x) = i) AS parts FROM p)
-        SELECT entry_id, array_to_string(parts, ' ') AS gloss, len(parts)::INTEGER AS n FROM q""",
+    "combined_gloss": f"""WITH r AS (SELECT entry_id, string_split(raw, ';') AS all_parts FROM raw), o AS (SELECT entry_id, list_filter(all_parts, lambda x, i: list_position(all_parts, x) = i) AS raws FROM r),
+        p AS (SELECT entry_id, raws, list_transform(raws, lambda g: {_CLEAN.format(g='g')}) AS parts FROM o),
+        q AS (SELECT entry_id, raws, parts AS every, list_filter(parts, lambda x, i: list_position(parts, x) = i) AS parts FROM p)
+        SELECT entry_id, array_to_string(parts, ' ') AS gloss, len(parts)::INTEGER AS n, array_to_string(list_transform(raws, lambda x, i: x || ' => ' || every[i]), ' | ') AS glosses FROM q""",
     "relations_parse": "SELECT entry_id, type, target, target_sense FROM relation",
     "annotation_values": r"""WITH b AS (SELECT entry_id, regexp_extract_all(regexp_extract(raw, '^\s*((?:\{\{[^{}]*\}\}\s*)*)', 1), '\{\{([^{}]*)\}\}', 1) AS bodies FROM raw),
         u AS (SELECT entry_id, string_split(unnest(bodies), '|') AS args, generate_subscripts(bodies, 1) AS n FROM b),

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ENTRY = "entry_id long, lemma string, pos string, glosses array<string>, relations array<struct<target:string,type:string>>"
@@ -70,12 +70,88 @@ def write_exceptions(pairs: DataFrame, path: str) -> None:
     lines.repartitionByRange("pos", "line").sortWithinPartitions("pos", "line").write.partitionBy("pos").text(path)
 
 
-def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
-    """S3: (synset_id, lemmas, gloss) of data lines: id, pos, number of lemmas, lemmas, | gloss."""
-    parts = F.split("value", r" \| ", 2)
-    words = F.split(parts[0], " ")
-    rows = spark.read.text(path).select(words[0].cast("long").alias("synset_id"), F.slice(words, F.lit(4), words[2].cast("int")).alias("lemmas"), parts[1].alias("gloss"))
-    return rows.select("synset_id", F.transform("lemmas", lambda w: F.replace(w, F.lit("_"), F.lit(" "))).alias("lemmas"), "gloss")
+#: Letters of the parts of speech in lexicon files.
+LETTERS = {"noun": "n", "verb": "v", "adjective": "a", "adverb": "r"}
+
+
+def letter(pos: str | Column) -> Column:
+    return F.create_map(*[F.lit(x) for p in LETTERS.items() for x in p])[F.col(pos)]
+
+
+def part_of_speech(letter: Column) -> Column:
+    return F.create_map(*[F.lit(x) for p, c in LETTERS.items() for x in (c, p)])[letter]
+
+
+def write_lexicon(path: str, synset: DataFrame, sense: DataFrame, edge: DataFrame, exception: DataFrame) -> None:
+    """S3: a lexicon as text: data, index, senses and exceptions, each sorted, in a folder for each part of speech.
+
+    A data line holds the synset, its letter, a count and that many lemmas with their numbers, a count and that many
+    pointers of four fields (symbol, target, letter, places of the words), a bar and the gloss. An index line holds a
+    lemma, its letter, a count of senses, a count and that many symbols, and the synsets in the order of senses.
+    """
+    spelled = F.replace("lemma", F.lit(" "), F.lit("_"))
+    lemmas = sense.groupBy("synset_id").agg(F.array_sort(F.collect_set(F.replace("lemma", F.lit(" "), F.lit("_")))).alias("lemmas"))
+    fields = F.concat_ws(" ", "pointer", F.col("dst").cast("string"), letter("other"), F.when(F.col("level") == "synset", "0000").otherwise(F.concat(F.lpad(F.hex(F.col("ord").cast("long")), 2, "0"), F.lit("01"))))
+    kinds = synset.select(F.col("synset_id").alias("dst"), F.col("pos").alias("other"))
+    out = edge.join(kinds, "dst").groupBy(F.col("src").alias("synset_id")).agg(F.array_sort(F.collect_list(fields)).alias("pointers"), F.array_sort(F.collect_set("pointer")).alias("symbols"))
+    whole = synset.join(lemmas, "synset_id").join(out, "synset_id", "left").withColumn("pointers", F.coalesce("pointers", F.array().cast("array<string>")))
+    numbered = F.transform("lemmas", lambda w, i: F.concat(w, F.lit(" "), F.lower(F.hex(i))))
+    data = F.concat_ws(" ", F.col("synset_id").cast("string"), letter("pos"), F.hex(F.size("lemmas")), F.array_join(numbered, " "), F.lpad(F.size("pointers").cast("string"), 3, "0"), F.when(F.size("pointers") > 0, F.array_join("pointers", " ")), F.lit("|"), "gloss")
+    text = lambda df, name: df.repartitionByRange("pos", "line").sortWithinPartitions("pos", "line").write.partitionBy("pos").text(f"{path}/{name}")
+    text(whole.select("pos", data.alias("line")), "data")
+    symbols = sense.join(out, "synset_id").select("lemma", "pos", F.explode("symbols").alias("symbol")).groupBy("lemma", "pos").agg(F.array_sort(F.collect_set("symbol")).alias("symbols"))
+    ids = sense.groupBy("lemma", "pos").agg(F.array_sort(F.collect_list(F.struct("sense_rank", "synset_id"))).alias("ids")).join(symbols, ["lemma", "pos"], "left")
+    symbols = F.coalesce("symbols", F.array().cast("array<string>"))
+    index = F.concat_ws(" ", spelled, letter("pos"), F.size("ids").cast("string"), F.size(symbols).cast("string"), F.when(F.size(symbols) > 0, F.array_join(symbols, " ")), F.array_join(F.transform("ids", lambda s: s["synset_id"].cast("string")), " "))
+    text(ids.select("pos", index.alias("line")), "index")
+    text(sense.select("pos", F.concat_ws(" ", F.concat(spelled, F.lit("%"), letter("pos")), F.col("synset_id").cast("string"), F.col("sense_rank").cast("string")).alias("line")), "senses")
+    write_exceptions(exception, f"{path}/exceptions")
+
+
+def read_lexicon(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """S3: the four tables synset, sense, edge and exception of the files that write_lexicon describes.
+
+    Fields are found by the counts before them. Senses come from the index; check() holds them against the others.
+    """
+    lines = lambda name: spark.read.text(f"{path}/{name}")
+    number = lambda c: F.conv(c, 16, 10).cast("int")
+    field = lambda c, i: F.get(F.col(c), F.lit(i) if isinstance(i, int) else i)
+    halves = F.split("value", r" \| ?", 2)
+    data = lines("data").select(F.split(halves[0], " ").alias("f"), halves[1].alias("gloss")).withColumn("words", number(field("f", 2)))
+    data = data.select(field("f", 0).cast("long").alias("synset_id"), part_of_speech(field("f", 1)).alias("pos"), F.slice("f", F.lit(4), 2 * F.col("words")).alias("lemmas"), field("f", 3 + 2 * F.col("words")).cast("int").alias("n"), F.expr("slice(f, 5 + 2 * words, size(f))").alias("rest"), "gloss")
+    pointer = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.slice("rest", 4 * i + 1, 4))
+    edge = data.filter("n > 0").select(F.col("synset_id").alias("src"), F.explode(pointer).alias("p"))
+    edge = edge.select("src", field("p", 1).cast("long").alias("dst"), field("p", 0).alias("pointer"), F.when(field("p", 3) == "0000", "synset").otherwise("word").alias("level"), number(F.substring(field("p", 3), 1, 2)).alias("ord"))
+    index = lines("index").select(F.split("value", " ").alias("f")).withColumn("senses", field("f", 2).cast("int")).withColumn("kinds", field("f", 3).cast("int"))
+    ids = F.slice("f", 5 + F.col("kinds"), F.col("senses"))
+    sense = index.select(F.replace(field("f", 0), F.lit("_"), F.lit(" ")).alias("lemma"), part_of_speech(field("f", 1)).alias("pos"), F.posexplode(ids).alias("at", "id"))
+    words = F.split("value", " ")
+    return {
+        "synset": data.select("synset_id", "pos", "gloss"),
+        "sense": sense.select("lemma", "pos", F.col("id").cast("long").alias("synset_id"), (F.col("at") + 1).cast("int").alias("sense_rank")),
+        "edge": edge,
+        "exception": lines("exceptions").select(words[0].alias("surface"), "pos", F.explode(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))).alias("base")),
+    }
+
+
+def check(spark: SparkSession, path: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """(what, id): pointers and senses to synsets that the data don't hold, and senses that the index and the list of senses don't share."""
+    ids = tables["synset"].select(F.col("synset_id").alias("id"))
+    lost = lambda df, what: df.distinct().join(ids, "id", "left_anti").select(F.lit(what).alias("what"), F.col("id").cast("string").alias("id"))
+    listed = spark.read.text(f"{path}/senses").select(F.col("value").alias("id"))
+    known = tables["sense"].select(F.concat_ws(" ", F.concat(F.replace("lemma", F.lit(" "), F.lit("_")), F.lit("%"), letter("pos")), F.col("synset_id").cast("string"), F.col("sense_rank").cast("string")).alias("id"))
+    other = listed.exceptAll(known).union(known.exceptAll(listed)).select(F.lit("sense listed once").alias("what"), "id")
+    return lost(tables["edge"].select(F.col("dst").alias("id")), "pointer").union(lost(tables["sense"].select(F.col("synset_id").alias("id")), "sense")).union(other)
+
+
+def write_vectors(vectors: DataFrame, buckets: int = 64) -> str:
+    """Vectors (word, vec) as a table in the scratch folder, in buckets of their words; its name.
+
+    Joins on the word read it without an exchange, and a filter on words reads their buckets only.
+    """
+    spark, name = vectors.sparkSession, f"vectors_{uuid.uuid4().hex}"
+    vectors.repartition(buckets, "word").write.bucketBy(buckets, "word").sortBy("word").option("path", scratch(spark)).saveAsTable(name)
+    return name
 
 
 def kept(df: DataFrame) -> DataFrame:

@@ -1,6 +1,9 @@
+import numpy as np
 import pytest
 
-from lexgraft.plans import registry
+from lexgraft.operators import similarity
+from lexgraft.plans import registry, rules
+from lexgraft.sources import files
 from tests import oracle
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
@@ -17,15 +20,91 @@ def test_query_equals_sql(spark, sf, db, name):
     oracle.compare(spark, db, sf, QUERIES[name], SQL[name], name not in ("gloss_equi_join",))
 
 
+def plain_tiling(a, b, least=5):
+    """Share of a in the longest common runs of free characters, one after the other, by all pairs of places."""
+    a, b = (np.frombuffer(t.lower().encode("utf-32-le"), np.uint32).astype(np.int64) for t in (a, b))
+    free_a, free_b, marked = np.ones(len(a), bool), np.ones(len(b), bool), 0
+    while len(a) and len(b):
+        same = (a[:, None] == b[None, :]) & free_a[:, None] & free_b[None, :]
+        run = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i in range(len(a) - 1, -1, -1):
+            run[i, :-1] = np.where(same[i], run[i + 1, 1:] + 1, 0)
+        n = run.max()
+        if n < least:
+            break
+        i, j = np.argwhere(run == n)[0]
+        free_a[i : i + n], free_b[j : j + n] = False, False
+        marked += n
+    return marked / len(a) if len(a) else 0.0
+
+
 def test_tiling_pairs_by_brute_force(spark, sf):
     items = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
     texts = {r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     lines = {x for t in texts for x in t.split("\n")}
     runs = lambda t: {tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))}
     held = [(i.item_id, i.text, runs(i.text)) for i in items]
-    want = sum(bool(runs(x) & r) for x in lines for _, _, r in held)
-    got = QUERIES["tiling_similarity_pairs"](spark, sf).collect()
-    assert got and len(got) == want and all(0 <= r.score <= 1 for r in got)
+    want = sorted((i, plain_tiling(t, x)) for x in lines for i, t, r in held if runs(x) & r)
+    got = sorted((r.left_id, r.score) for r in QUERIES["tiling_similarity_pairs"](spark, sf).collect())
+    assert got and got == want
+
+
+def test_vectors_are_read_by_bucket(spark):
+    vectors = spark.createDataFrame([(f"w{i}", [float(i)]) for i in range(300)], "word string, vec array<double>")
+    name = files.write_vectors(vectors, 16)
+    one = spark.table(name).filter("word = 'w7'")
+    assert [r.vec for r in one.collect()] == [[7.0]]
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "SelectedBucketsCount: 1 out of 16" in plan(one)
+    wanted = spark.createDataFrame([(f"w{i}",) for i in range(0, 400, 3)], "word string").repartition(16, "word")
+    met = spark.table(name).hint("merge").join(wanted, "word")
+    assert plan(met).count("Exchange hashpartitioning") == 1 and met.count() == 100
+
+
+def test_lexicon_files_whose_references_are_broken(spark):
+    synset = spark.createDataFrame([(1, "noun", "a | b"), (2, "verb", "")], "synset_id long, pos string, gloss string")
+    sense = spark.createDataFrame([("x y", "noun", 1, 1), ("z", "verb", 2, 1), ("z", "verb", 1, 2)], "lemma string, pos string, synset_id long, sense_rank int")
+    edge = spark.createDataFrame([(1, 2, "!", "word", 1), (2, 1, "@", "synset", 0), (2, 1, "+", "word", 2)], "src long, dst long, pointer string, level string, ord int")
+    odd = spark.createDataFrame([("xs", "noun", "x")], "surface string, pos string, base string")
+    path = files.scratch(spark)
+    files.write_lexicon(path, synset, sense, edge, odd)
+    back = files.read_lexicon(spark, path)
+    for name, df in (("synset", synset), ("sense", sense), ("edge", edge), ("exception", odd)):
+        assert sorted(map(tuple, back[name].select(df.columns).collect())) == sorted(map(tuple, df.collect()))
+    assert files.check(spark, path, back).count() == 0
+    broken = back | {"synset": back["synset"].filter("synset_id = 2"), "sense": back["sense"].filter("lemma = 'z'")}
+    assert sorted(map(tuple, files.check(spark, path, broken).collect())) == [("pointer", "1"), ("sense", "1"), ("sense listed once", "x_y%n 1 1")]
+
+
+def test_files_of_exceptions_are_sorted(spark, tmp_path):
+    odd = spark.createDataFrame([(f"s{i * 37 % 100:02d}", ("noun", "verb")[i % 2], "b") for i in range(100)] + [("s00", "noun", "b")], "surface string, pos string, base string")
+    files.write_exceptions(odd, str(tmp_path / "exc"))
+    for pos in ("noun", "verb"):
+        parts = [p.read_text().splitlines() for p in sorted((tmp_path / "exc" / f"pos={pos}").glob("part-*"))]
+        lines = [line for part in parts for line in part]
+        assert len(lines) == 50 and lines == sorted(lines)
+
+
+def test_a_cascade_scores_fewer_rows_and_gives_the_same(spark, sf):
+    every = rules.made(spark, sf, "round")
+    want = sorted(map(tuple, rules.stands(rules.proposals(spark, sf)).collect()))
+    got, rounds = rules.cascade(rules.made(spark, sf, "lexicon"), every)
+    assert sorted(map(tuple, got.collect())) == want
+    assert sum(r.rows.count() for r in rounds) < 0.9 * every.rows.count()
+
+
+def test_nearest_by_tiles(spark):
+    pick = np.random.default_rng(5)
+    rows = lambda n: [(i, v.tolist()) for i, v in enumerate(np.round(pick.normal(size=(n, 3)), 1))]
+    left, right = rows(70), rows(90) + [(90, [0.0, 0.0, 0.0])]
+    frame = lambda r, key: spark.createDataFrame([(i, (v, float(np.linalg.norm(v)))) for i, v in r], f"{key} long, v struct<vec: array<double>, norm: double>")
+    got = {r.key: (r.id, r.score) for r in similarity.nearest(frame(left, "key"), frame(right, "id"), 16).collect()}
+    for i, a in left:
+        cos = [(-round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 6), j) for j, b in right if np.linalg.norm(b) and np.linalg.norm(a)]
+        best = min(cos, default=(0, None))
+        assert got.get(i) == ((best[1], -best[0]) if best[0] < 0 else None)
+    plan = similarity.nearest(frame(left, "key"), frame(right, "id"), 16)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
 def test_written_lines_are_the_entries(spark, sf):
