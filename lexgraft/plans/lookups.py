@@ -109,13 +109,16 @@ def gloss_vector(spark, d):
     return vector_rows(rows.withColumn("gloss", F.lower(F.hex("digest"))), "gloss")
 
 
-def scored(spark, d) -> DataFrame:
-    """Each entry with every sense of its lemma, and the cosine of the glosses. One vector for each distinct gloss of either side."""
+def scored(spark, d, fuzzy: bool = False) -> DataFrame:
+    """Each entry with every sense of its lemma, exact or by J2, and the cosine of the glosses. One vector for each distinct gloss of either side."""
     vectors = similarity.normalised(S.word_vector(spark, d))
     entries, synsets = S.entry(spark, d), S.synset(spark, d).select("synset_id", "gloss")
     every = files.kept(similarity.gloss_vectors(entries.select("gloss").union(synsets.select("gloss")), vectors))
     pack = lambda df, name: df.withColumn("digest", similarity.digest("gloss")).drop("gloss").join(every.select("digest", F.struct("vec", "norm").alias(name)), "digest").drop("digest")
-    met = pack(entries, "a").join(S.sense(spark, d).join(pack(synsets, "b"), "synset_id"), ["lemma", "pos"])
+    keys_ = entries.select(F.col("entry_id").alias("key_id"), "lemma", "pos")
+    senses = lookup.fuzzy(keys_, S.sense(spark, d), S.exception(spark, d)) if fuzzy else lookup.exact(keys_, S.sense(spark, d))
+    pairs = senses.select(F.col("key_id").alias("entry_id"), "synset_id", "sense_rank")
+    met = pairs.join(pack(entries, "a"), "entry_id").join(pack(synsets, "b"), "synset_id")
     return met.select("entry_id", "synset_id", "sense_rank", F.round(similarity.cosine("a", "b"), 6).alias("score"))
 
 
@@ -130,8 +133,8 @@ def best_sense(spark, d):
 
 
 def too_similar_filter(spark, d):
-    """V5: entries that no sense of their lemma resembles by more than 0.3."""
-    close = scored(spark, d).filter("score > 0.3").select("entry_id").distinct()
+    """V5: entries that no sense of their lemma, by J2, resembles by more than 0.3."""
+    close = scored(spark, d, True).filter("score > 0.3").select("entry_id").distinct()
     return S.entry(spark, d).join(close, "entry_id", "left_anti").select("entry_id", "lemma")
 
 

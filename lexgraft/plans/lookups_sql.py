@@ -40,7 +40,10 @@ SQL = {
     "gloss_vector": f"WITH {_VECTORS} SELECT md5(gloss) AS gloss, {_COMPONENTS} FROM gv WHERE gloss IN (SELECT gloss FROM entry)",
     "gloss_cosine": f"WITH {_SCORED} SELECT entry_id, synset_id, score FROM scored",
     "best_sense": f"WITH {_SCORED} SELECT entry_id, synset_id, score FROM scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY score DESC, sense_rank, synset_id) = 1",
-    "too_similar_filter": f"WITH {_SCORED} SELECT entry_id, lemma FROM entry WHERE entry_id NOT IN (SELECT entry_id FROM scored WHERE score > 0.3)",
+    "too_similar_filter": f"WITH {_VECTORS}, "
+    + forms("SELECT entry_id AS key_id, lemma, pos FROM entry")
+    + """, close AS (SELECT f.key_id FROM fuzzy f JOIN entry e ON e.entry_id = f.key_id JOIN gv a ON a.gloss = e.gloss JOIN synset y ON y.synset_id = f.synset_id JOIN gv b ON b.gloss = y.gloss WHERE round(coalesce(list_cosine_similarity(a.vec, b.vec), 0), 6) > 0.3)
+        SELECT entry_id, lemma FROM entry WHERE entry_id NOT IN (SELECT key_id FROM close)""",
     "weighted_overlap": f"""WITH {_WEIGHTS}, pairs AS (SELECT e.entry_id AS pair_id, e.gloss AS a, y.gloss AS b FROM entry e JOIN sense s USING (lemma, pos) JOIN synset y ON y.synset_id = s.synset_id WHERE s.sense_rank = 1),
         shared AS (SELECT pair_id, unnest(list_intersect({_LIST.format(g='a')}, {_LIST.format(g='b')})) AS lemma FROM pairs),
         scores AS (SELECT pair_id, sum(weight) AS score FROM shared JOIN weights USING (lemma) GROUP BY pair_id)
