@@ -509,6 +509,7 @@ def stands(made: DataFrame) -> DataFrame:
     return made.withColumn("least", least).filter("rule = least").drop("least")
 
 
+PROPOSAL = "entry_id long, rule int, op string, target long, how string, score double"
 #: Rules that are asked together; later ones only of entries for which no earlier one has a proposal.
 STAGES = ((1, 2), (3, 4, 5, 6), (7, 8), (10, 11, 12, 13, 14, 15))
 
@@ -516,14 +517,20 @@ STAGES = ((1, 2), (3, 4, 5, 6), (7, 8), (10, 11, 12, 13, 14, 15))
 def cascade(x: Lexicon, base: Round | None = None) -> tuple[DataFrame, list[Round]]:
     """(what stands(proposed()) gives over all rules, the rounds of the stages); no entry is scored after its match."""
     base = base or Round(x)
+    # rules that name no known word have nothing to propose, but for the two that need none
+    named_ = base.found.select("rule").union(base.named.filter("rule IN (1, 8)").select("rule"))
+    live = {r.rule for r in named_.distinct().collect()}
     pool, out, rounds = x.entries, None, []
-    for rules in STAGES:
+    for stage in STAGES:
+        rules = [r for r in stage if r in live]
+        if not rules:
+            continue
         rounds.append(Round(x, rules, pool, base))
         rows = files.kept(stands(proposed(rounds[-1])))
         out = rows if out is None else out.unionByName(rows)
-        if rules != STAGES[-1]:
+        if stage != STAGES[-1]:
             pool = files.kept(pool.join(rows.select("entry_id").distinct(), "entry_id", "left_anti"))
-    return out, rounds
+    return (x.spark.createDataFrame([], PROPOSAL) if out is None else out), rounds
 
 
 _MADE: dict = {}
