@@ -1,15 +1,19 @@
 """Language-model scores from Brown classes.
 
-Exchange clustering puts the TOP most frequent tokens of the training documents into CLASSES classes: words are
-moved, one by one, to the class that raises the likelihood of the class bigrams most. All other words belong to
-one of FORMS classes by their last two bytes. A text's probability is the product over its tokens of
-P(class | class before) * P(token | class): class bigrams are interpolated with class frequencies by how often
-the class before was seen; a token has (c + 1) / (T + V + 1) of its class (T tokens, V kinds). An end stands
+Exchange clustering puts the words of a dictionary, the TABLE most frequent tokens of the training documents, into
+CLASSES classes. The TOP most frequent ones begin: they are moved, one by one, to the class that raises the
+likelihood of the class bigrams most. Then all words of the dictionary that occur SUPPORT times or more are exchanged
+in ROUNDS rounds: Spark counts how often each class comes before and after each word, and words go to their best class
+while the others stay (all beyond TOP, then every second word; a round that doesn't raise the likelihood is undone).
+What is rarer belongs to one of FORMS classes by its last two bytes. A text's probability is the product over its
+tokens of P(class | class before) * P(token | class): class bigrams are interpolated with class frequencies by how
+often the class before was seen; a token has (c + 1) / (T + V + 1) of its class (T tokens, V kinds). An end stands
 before the first token.
 
-Counts cover all training documents: partial counts by task, summed by Spark. Tokens that are frequent (TABLE at
-most) travel to the workers as a dictionary; the rest of each text meets its counts in a join. The driver sees
-the dictionary and at most (TOP + FORMS)^2 unit bigrams, whatever the corpus.
+Counts cover all training documents: partial counts by task, summed by Spark. Words of the dictionary travel to the
+workers; the rest of each text meets its counts in a join. The driver sees the dictionary with its classes and at
+most (TOP + FORMS)^2 bigrams, whatever the corpus; the words' contexts stay in Spark. A text of any length is scored
+whole. Columns other than the three that `score` names play no part.
 
 Results: a null text counts as empty, and consists of one end; rows that repeat each other get the same scores;
 with no training document all counts are 0 and the base score is 0.
@@ -26,11 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgraft.llm.common import LOWER, crc_mod, table, written
+from lexgraft.llm.common import LOWER, crc_mod, dropped, table, written
 
 END = b"\n"
-TOP, CLASSES, FORMS, TABLE, SWEEPS = 800, 64, 32, 200_000, 6
-FLUSH = 300_000
+TOP, CLASSES, FORMS, TABLE, SWEEPS, ROUNDS, SUPPORT = 800, 64, 32, 200_000, 6, 3, 5
+#: Words, and codes of pairs, that a task counts at once.
+FLUSH, PAIRS = 300_000, 6_000_000
 #: Class bigrams count as much as class frequencies once the class before was seen so often.
 HALF = 5.0
 
@@ -75,33 +80,88 @@ def frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
     return sorted(zip(rows["word"].to_pylist(), rows["c"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
 
 
-def unit_bigrams(docs: DataFrame, top: list[bytes]) -> np.ndarray:
-    """How often each unit (a top token or a form) follows each other one, within texts and from an end to the first."""
-    units, size = {w: i for i, w in enumerate(top)}, len(top) + FORMS
+def encoded(docs: DataFrame, words: list[tuple[bytes, int]]) -> DataFrame:
+    """(units) over docs (text), as a written table: an end, then the units of the text's tokens.
+
+    Units are the places of the dictionary's words, and len(words) + form for all others.
+    """
+    carried = docs.sparkSession.sparkContext.broadcast({w: i for i, (w, _) in enumerate(words)})  # at most TABLE tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, first = np.zeros(size * size, np.int64), len(units)
+        place = carried.value
+        first = len(place)
         for batch in batches:
-            for text in batch.column(0):
-                words = [END, *tokens_of(text.as_py())]
-                at = np.array([units[w] if w in units else first + form(w) for w in words])
-                codes, n = np.unique(at[:-1] * size + at[1:], return_counts=True)
-                sums[codes] += n
+            rows = [np.array([place[w] if w in place else first + form(w) for w in [END, *tokens_of(t.as_py())]], np.int32) for t in batch.column(0)]
+            ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, np.concatenate([*rows, np.zeros(0, np.int32)]))], ["units"])
+
+    return written(docs.select("text").mapInArrow(run, "units array<int>"), "encoded")
+
+
+def neighbours(units: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The units that stand next to each other within a text, as int64: left ones, right ones."""
+    flat, lengths = units.flatten().to_numpy(zero_copy_only=False).astype(np.int64), units.value_lengths().to_numpy(zero_copy_only=False)
+    within = np.ones(max(len(flat) - 1, 0), bool)
+    within[np.cumsum(lengths)[:-1] - 1] = False
+    return flat[:-1][within], flat[1:][within]
+
+
+def class_bigrams(texts: DataFrame, own: np.ndarray, k: int) -> np.ndarray:
+    """How often each of k classes follows each other one; own: the class of each unit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(k * k, np.int64)
+        for batch in batches:
+            u, v = neighbours(batch.column(0))
+            sums += np.bincount(own[u] * k + own[v], minlength=k * k)
         some = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(sums[some])], ["pair", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(size * size)
+    rows = texts.mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(k * k)
     out[rows["pair"].to_numpy()] = rows["n"].to_numpy()
-    return out.reshape(size, size)
+    return out.reshape(k, k)
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
 
 
+def likelihood(m: np.ndarray) -> float:
+    """Log likelihood of the class bigrams, but for what doesn't depend on the classes."""
+    return float(_xlogx(m).sum() - _xlogx(m.sum(axis=0)).sum() - _xlogx(m.sum(axis=1)).sum())
+
+
+def without(m: np.ndarray, own: int, after: np.ndarray, before: np.ndarray, same: float) -> np.ndarray:
+    """Class bigrams m without a word of class own: its bigrams to and from each class, and with itself."""
+    m = m.copy()
+    m[own] -= after
+    m[:, own] -= before
+    m[own, own] -= same
+    return m
+
+
+def gains(m: np.ndarray, after: np.ndarray, before: np.ndarray, same: float, classes: int) -> np.ndarray:
+    """What the likelihood gains, up to a constant, if a word that m is without enters each of the first classes."""
+    f, c = _xlogx, np.arange(classes)
+    a, b = np.flatnonzero(after), np.flatnonzero(before)
+    rows, cols = m[:classes, a], m[b, :classes]
+    rows = (f(rows + after[a]) - f(rows)) * (a[None, :] != c[:, None])
+    cols = (f(cols + before[b][:, None]) - f(cols)) * (b[:, None] != c[None, :])
+    corner, ours = m[c, c], after[c] + before[c] + same
+    out, into = m.sum(axis=1)[c] + before[c], m.sum(axis=0)[c] + after[c]
+    totals = f(out + after.sum() + same) - f(out) + f(into + before.sum() + same) - f(into)
+    return rows.sum(axis=1) + cols.sum(axis=0) + f(corner + ours) - f(corner) - totals
+
+
+def better(m: np.ndarray, old: int, after: np.ndarray, before: np.ndarray, same: float, classes: int) -> int:
+    """The class that a word of class old goes to: the best one; old if that is as good. m is with the word."""
+    gain = gains(without(m, old, after, before, same), after, before, same, classes)
+    return int(gain.argmax()) if old >= classes or gain.max() > gain[old] + 1e-9 else old
+
+
 def exchange(n: np.ndarray, top: int, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
-    """Class of each unit: the first `top` move among `classes`, the others keep a class of their own each."""
+    """Class of each unit: the first `top` move among `classes`, one by one, the others keep a class of their own each."""
     own = np.concatenate([np.arange(top) % classes, classes + np.arange(len(n) - top)])
     k = classes + len(n) - top
     member = np.zeros((len(n), k))
@@ -113,47 +173,93 @@ def exchange(n: np.ndarray, top: int, classes: int = CLASSES, sweeps: int = SWEE
             old, same = own[w], n[w, w]
             member[w, old] = 0
             after, before = n[w] @ member, n[:, w] @ member  # to and from each class, without w itself
-            m[old] -= after
-            m[:, old] -= before
-            m[old, old] -= same
-            # gain of adding w to each class: rows, columns, the corner, and the totals
-            f = _xlogx
-            c = slice(0, classes)
-            rows = f(m[c] + after) - f(m[c])
-            cols = (f(m[:, c] + before[:, None]) - f(m[:, c])).T
-            d = np.arange(classes)
-            corner = m[d, d]
-            gain = rows.sum(axis=1) - rows[d, d] + cols.sum(axis=1) - cols[d, d] + f(corner + after[c] + before[c] + same) - f(corner)
-            out, into = m[c].sum(axis=1), m[:, c].sum(axis=0)
-            gain -= f(out + after.sum() + same) - f(out) + f(into + before.sum() + same) - f(into)
-            new = int(gain.argmax()) if gain.max() > gain[old] + 1e-9 else old
-            moved += new != old
-            own[w] = new
+            new = better(m, old, after, before, same, classes)
             member[w, new] = 1
-            m[new] += after
-            m[:, new] += before
-            m[new, new] += same
+            if new != old:
+                moved += 1
+                own[w] = new
+                m = without(without(m, old, after, before, same), new, -after, -before, -same)
         if not moved:
             break
     return own
 
 
+def contexts(texts: DataFrame, own: np.ndarray, k: int, moving: np.ndarray) -> DataFrame:
+    """(word, slots: array of (slot, n)) for each unit that is moving: how often class s comes after it (slot s),
+    before it (slot k + s), and itself after itself (slot 2 * k, not counted in the others)."""
+    wide = 2 * k + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(codes: list[np.ndarray]) -> pa.RecordBatch:
+            code, n = np.unique(np.concatenate([*codes, np.zeros(0, np.int64)]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array((code // wide).astype(np.int32)), pa.array((code % wide).astype(np.int32)), pa.array(n.astype(np.int64))], ["word", "slot", "n"])
+
+        codes: list[np.ndarray] = []
+        for batch in batches:
+            u, v = neighbours(batch.column(0))
+            twin, left, right = (u == v) & moving[u], (u != v) & moving[u], (u != v) & moving[v]
+            codes += [u[left] * wide + own[v[left]], v[right] * wide + k + own[u[right]], u[twin] * wide + 2 * k]
+            if sum(map(len, codes)) > PAIRS:
+                yield batch_of(codes)
+                codes = []
+        yield batch_of(codes)
+
+    parts = texts.mapInArrow(run, "word int, slot int, n long").repartition("word")  # counts of whole chunks: one shuffle serves both groupings
+    return parts.groupBy("word", "slot").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("slots"))
+
+
+def exchanged(texts: DataFrame, own: np.ndarray, m: np.ndarray, moving: np.ndarray) -> np.ndarray:
+    """Classes of all units after each that is moving has gone to the class that is best while all others stay."""
+    k = len(m)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, lists, new = batch.column(0).to_numpy(), batch.column(1), []
+            pair = lists.flatten()
+            slot, n = pair.field(0).to_numpy(zero_copy_only=False), pair.field(1).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            for w, s, c in zip(word.tolist(), np.split(slot, ends[:-1]), np.split(n, ends[:-1]), strict=True):
+                all_of_it = np.zeros(2 * k + 1)
+                all_of_it[s] = c
+                new.append(better(m, int(own[w]), all_of_it[:k], all_of_it[k : 2 * k], float(all_of_it[-1]), CLASSES))
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(new, pa.int32())], ["word", "class"])
+
+    rows = contexts(texts, own, k, moving).mapInArrow(run, "word int, class int").toArrow()  # at most TABLE rows
+    out = own.copy()
+    out[rows["word"].to_numpy()] = rows["class"].to_numpy()
+    return out
+
+
+def clustered(texts: DataFrame, words: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each unit, class bigrams): the first TOP words one by one, then all words with SUPPORT in rounds.
+
+    The first round takes the words beyond TOP out of their forms. Each later one moves every second word, so that
+    words that belong together don't pass each other by, and stands if it raises the likelihood.
+    """
+    top, k, known = min(TOP, len(words)), CLASSES + FORMS, sum(c >= SUPPORT for _, c in words)
+    units = np.array([*range(top), *(top + form(w) for w, _ in words[top:]), *range(top, top + FORMS)], np.int64)
+    n = class_bigrams(texts, units, top + FORMS)
+    own = np.concatenate([exchange(n, top)[:top], CLASSES + np.arange(FORMS)])[units]
+    m = class_bigrams(texts, own, k)
+    for turn in range(ROUNDS):
+        place = np.arange(len(units))
+        moving = (place < known) & ((place % 2 == turn % 2) if turn else (place >= top))
+        new = exchanged(texts, own, m, moving)
+        after = class_bigrams(texts, new, k)
+        if not turn or likelihood(after) > likelihood(m):
+            own, m = new, after
+    return own, m
+
+
 class Model:
     """What the workers need: the dictionary's classes and counts, and the log10 tables of classes."""
 
-    def __init__(self, words: list[tuple[bytes, int]], n: np.ndarray, kinds: np.ndarray, tokens: np.ndarray):
-        top = len(n) - FORMS
-        own = exchange(n, top) if top else np.arange(FORMS) + CLASSES
-        member = np.zeros((len(n), CLASSES + FORMS))
-        member[np.arange(len(n)), own] = 1
-        m = member.T @ n @ member
+    def __init__(self, words: list[tuple[bytes, int]], own: np.ndarray, m: np.ndarray, kinds: np.ndarray, tokens: np.ndarray):
         self.place = {w: i for i, (w, _) in enumerate(words)}
-        self.classes = np.array([own[i] if i < top else CLASSES + form(w) for i, (w, _) in enumerate(words)], np.int64)
-        self.logs = np.log10(np.array([c for _, c in words], float) + 1)
-        t, v = np.zeros(CLASSES + FORMS), np.zeros(CLASSES + FORMS)
-        for i in range(top):
-            t[own[i]] += words[i][1]
-            v[own[i]] += 1
+        self.classes = own[: len(words)]
+        times = np.array([c for _, c in words], float)
+        self.logs = np.log10(times + 1)
+        t, v = (np.bincount(self.classes, x, CLASSES + FORMS).astype(float) for x in (times, np.ones(len(words))))
         t[CLASSES:] += tokens
         v[CLASSES:] += kinds
         self.emit = np.log10(t + v + 1)
@@ -179,15 +285,16 @@ def fit(train: DataFrame) -> tuple[Model, DataFrame, int, int]:
     counts = counted(train)
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()[0]
     words = frequent(counts)
-    top = [w for w, _ in words[:TOP]]
-    n = unit_bigrams(train, top)
+    texts = encoded(train, words)
+    own, m = clustered(texts, words)
+    dropped(texts)
     last = F.crc32(F.substring("word", -2, 2)) % FORMS
-    others = counts.filter(~F.col("word").isin(top)) if top else counts
+    others = counts.filter(F.col("c") < words[-1][1]) if words else counts
     forms = others.groupBy(last.alias("form")).agg(F.count("*").alias("kinds"), F.sum("c").alias("tokens")).collect()
     kinds, tokens = np.zeros(FORMS), np.zeros(FORMS)
     for r in forms:
         kinds[r.form], tokens[r.form] = r.kinds, r.tokens
-    return Model(words, n, kinds, tokens), counts, int(sums.n or 0), int(sums.v)
+    return Model(words, own, m, kinds, tokens), counts, int(sums.n or 0), int(sums.v)
 
 
 def score(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
