@@ -15,7 +15,9 @@ query's k best so far are merged, and its k-th best product goes along to the ne
 Queries are a stated set: block by block they meet every bucket that may matter, in a cogroup.
 
 Results: vectors that are null, empty or hold a null or a component that is not finite take no part; ties go to
-the smaller id; rows that repeat an id are candidates each, except to the query that has that id; vectors of
+the smaller id; rows that repeat an id are candidates each, except to queries that have that id, and queries each, so
+that such a query_id has a list of k for each of its rows; products are exact whole numbers (one of 2**63 or more is
+an error); vectors of
 other dimensions than the query's are never its candidates; an empty table gives an empty result. Long vectors
 are taken whole. Other columns, of any name, play no part.
 """
@@ -35,7 +37,9 @@ LEVELS = (1 / 64, 1 / 16, 1 / 4, 1)
 #: From this local threshold on coordinates prune; below, lengths do.
 STEEP = 0.1
 SLACK = 1e-7
-FOUND = "query_id long, vec_id long, score long, products long"
+#: Up to here sums of products of whole numbers are exact as doubles.
+EXACT = 2.0**53
+FOUND = "query long, vec_id long, score long, products long"
 
 
 def whole(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
@@ -59,14 +63,18 @@ def near_enough(unit: np.ndarray, lengths: np.ndarray, directions: np.ndarray, l
     return most * (lengths / lengths[0])[:, None] >= local[None, :] - SLACK
 
 
-def search(queries: np.ndarray, q_ids: np.ndarray, best: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> list[tuple]:
-    """(query id, id, product, None) of what may be among the k best, and (query id, None, None, products made).
+def search(queries: np.ndarray, q_ids: np.ndarray, best: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, names: np.ndarray | None = None) -> list[tuple]:
+    """(query, id, product, None) of what may be among the k best, and (query, None, None, products made).
 
-    best: each query's k-th best product so far, minus infinity if there is none. Whole numbers below 2**53 are exact.
+    names: what the queries are called in the result, their ids if left out.
+
+    best: each query's k-th best product so far, minus infinity if there is none. Products are exact below 2**63.
     """
-    lengths = np.sqrt((vectors**2).sum(axis=1))
+    names, whole_queries = q_ids if names is None else names, queries
+    lengths = np.sqrt((vectors.astype(float) ** 2).sum(axis=1))
     order = np.lexsort((ids, -lengths))
-    vectors, ids, lengths = vectors[order], ids[order], lengths[order]
+    whole_vectors, ids, lengths = vectors[order], ids[order], lengths[order]
+    queries, vectors = queries.astype(float), whole_vectors.astype(float)
     unit, out = vectors / np.maximum(lengths, 1e-12)[:, None], []
     for c in range(0, len(q_ids), CHUNK):
         q, key, limit = queries[c : c + CHUNK], q_ids[c : c + CHUNK], best[c : c + CHUNK].copy()
@@ -87,23 +95,25 @@ def search(queries: np.ndarray, q_ids: np.ndarray, best: np.ndarray, vectors: np
             for i in np.flatnonzero(likely.any(axis=0)).tolist():
                 at = np.flatnonzero(likely[:, i])
                 made[i] += len(at)
-                rows = np.concatenate([kept[i], np.stack([(vectors[b][at] @ q[i]).astype(np.int64), ids[b][at]], axis=1)])
+                product = vectors[b][at] @ q[i] if reach[i] < EXACT else whole_vectors[b][at].astype(object) @ whole_queries[c + i].astype(object)
+                rows = np.concatenate([kept[i], np.stack([product.astype(np.int64), ids[b][at]], axis=1)])
                 kept[i] = rows[np.lexsort((rows[:, 1], -rows[:, 0]))[:k]]
                 if len(kept[i]) == k:
                     limit[i] = max(limit[i], float(kept[i][-1, 0]))
         for i in np.flatnonzero(made).tolist():
-            out += [(int(key[i]), int(x), int(s), None) for s, x in kept[i]] + [(int(key[i]), None, None, int(made[i]))]
+            name = int(names[c + i])
+            out += [(name, int(x), int(s), None) for s, x in kept[i]] + [(name, None, None, int(made[i]))]
     return out
 
 
 def visited(rows: DataFrame, asked: DataFrame, blocks: int, k: int) -> DataFrame:
-    """FOUND: what the queries (id, v, length, best, block) find in the buckets of rows."""
+    """FOUND: what the queries (query, id, v, length, best, block) find in the buckets of rows."""
     limits = rows.groupBy("bucket").agg(F.max("length").alias("longest")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     needs = asked.groupBy("block").agg(F.min(F.coalesce("need", F.lit(-1.0))).alias("need"))
     pairs = limits.join(needs, "block").filter(F.col("longest") * (1 + SLACK) >= F.col("need")).select("bucket", "block")
     pairs = written(pairs, "pairs")
     one = rows.join(pairs, "bucket").select("bucket", "block", "id", "v")
-    two = asked.join(pairs, "block").select("bucket", "block", F.col("id").alias("query_id"), F.col("v").alias("q"), "best")
+    two = asked.join(pairs, "block").select("bucket", "block", "query", F.col("id").alias("query_id"), F.col("v").alias("q"), "best")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -113,8 +123,9 @@ def visited(rows: DataFrame, asked: DataFrame, blocks: int, k: int) -> DataFrame
                 a, b = left[sizes[0] == d], right[sizes[1] == d]
                 if len(a):
                     limit = b.best.to_numpy(dtype=float, na_value=np.nan)
-                    found += search(np.stack(b.q.to_numpy()).astype(float), b.query_id.to_numpy(), np.where(np.isnan(limit), -np.inf, limit), np.stack(a.v.to_numpy()).astype(float), a.id.to_numpy(), k)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score", "products"]).astype("Int64")
+                    found += search(np.stack(b.q.to_numpy()), b.query_id.to_numpy(), np.where(np.isnan(limit), -np.inf, limit), np.stack(a.v.to_numpy()), a.id.to_numpy(), k, b["query"].to_numpy())
+        columns = list(zip(*found, strict=True)) or [()] * 4
+        return pd.DataFrame({name: pd.array(list(c), dtype="Int64") for name, c in zip(["query", "vec_id", "score", "products"], columns, strict=True)})
 
     return one.groupBy("bucket", "block").cogroup(two.groupBy("bucket", "block")).applyInPandas(run, FOUND)
 
@@ -138,27 +149,27 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     sums = kept.agg(F.count("*").alias("n"), F.sum(F.col("asked").cast("long")).alias("m")).collect()[0]
     n, m = sums.n, sums.m or 0
     rows, last = ranged(kept, max(1, -(-n // BUCKET_ROWS)), F.desc("length"), "id", name="bucket")
-    queries = rows.filter("asked").select("id", "v", "length")
+    queries = written(rows.filter("asked").select(F.monotonically_increasing_id().alias("query"), "id", "v", "length"), "queries")
     blocks, begin, found, made = max(1, -(-m // QUERY_ROWS)), 0, None, None
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    by = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     for end in sorted({-(-int(last * 64 * share) // 64) or 1 for share in LEVELS}):
         if found is None:
             asked = queries.withColumn("best", F.lit(None).cast("long"))
         else:
-            kth = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("best"))
-            asked = queries.join(kth, F.col("id") == F.col("query_id"), "left").drop("query_id")
+            kth = found.groupBy("query").agg(F.when(F.count("*") >= k, F.min("score")).alias("best"))
+            asked = queries.join(kth, "query", "left")
         need = F.when((F.col("best") > 0) & (F.col("length") > 0), F.col("best") / F.col("length"))
         asked, most = ranged(asked.withColumn("need", need), blocks, "need", "id", name="block")
         met = written(visited(rows.filter((F.col("bucket") >= begin) & (F.col("bucket") < end)), asked, most, k), "met")
-        new = met.filter("vec_id IS NOT NULL").select("query_id", "vec_id", "score")
+        new = met.filter("vec_id IS NOT NULL").select("query", "vec_id", "score")
         new = new if found is None else found.union(new)
         old, found = found, written(new.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).drop("rank"), "found")
-        costs = met.filter("products IS NOT NULL").groupBy("query_id").agg(F.sum("products").alias("products"))
-        costs = written(costs if made is None else made.union(costs).groupBy("query_id").agg(F.sum("products").alias("products")), "products")
+        costs = met.filter("products IS NOT NULL").groupBy("query").agg(F.sum("products").alias("products"))
+        costs = written(costs if made is None else made.union(costs).groupBy("query").agg(F.sum("products").alias("products")), "products")
         dropped(asked, met, *([] if old is None else [old, made]))
         made, begin = costs, end
-    ranked = found.withColumn("rank", F.row_number().over(by))
-    return ranked.join(made, "query_id").select("query_id", "rank", "vec_id", "score", "products")
+    ranked = found.withColumn("rank", F.row_number().over(by)).join(queries.select("query", F.col("id").alias("query_id")), "query")
+    return ranked.join(made, "query").select("query_id", "rank", "vec_id", "score", "products")
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,11 +184,13 @@ WITH v AS (
     FROM embeddings
     WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
       AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), n AS (
+    SELECT *, row_number() OVER () AS query FROM v WHERE vec_id % 50 = 0
 ), s AS (
-    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
-    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+    SELECT q.query, q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
+    FROM n q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
 ), r AS (
-    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+    SELECT query_id, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """

@@ -45,6 +45,16 @@ def test_lengths_ties_signs_broken_vectors_and_clashing_names(spark, monkeypatch
     assert got(topk.top_k(df.filter("vec_id in (0, 1, 2)"), asked)) == brute(rows[:3], lambda i: i % 10 == 0)
 
 
+def test_a_list_for_each_row_of_a_repeated_id_and_long_products(spark):
+    pick = random.Random(9)
+    rows = [(i, [pick.gauss(0, 1) for _ in range(3)]) for i in range(60)] + [(50, [3.0, -1.0, 0.5]), (0, [1.0, 1.0, 1.0]), (0, [1.0, 1.0, 1.0])]
+    rows += [(100, [float(2**20 + 1) / 256, 2.0**21, 0.0]), (101, [2.0**22 + 1 / 256, 2.0**21, -1.0]), (102, [2.0**22 + 2 / 256, 2.0**21, -1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = got(topk.top_k(df, topk.F.col("vec_id") % 50 == 0))
+    assert out == brute(rows, lambda i: i % 50 == 0)
+    assert [sum(r[0] == i for r in out) for i in (0, 50, 100)] == [15, 10, 5] and max(r[3] for r in out) > 2**53
+
+
 def test_search_prunes_and_misses_nothing():
     pick = np.random.default_rng(0)
     for spread in (0.3, 1.0, 3.0):
