@@ -1,14 +1,15 @@
 """Quality by a sparse rule ensemble over statistics of a text.
 
-The statistics are Spark column expressions over the whole text. On at most TRAIN_ROWS labelled documents from
-outside the held-out third, gradient-boosted shallow trees are grown in numpy; every path from a root is a
-conjunctive rule. A logistic regression with an L1 penalty weighs the rules (proximal gradient; the penalty is
-chosen on a fifth of the rows); most get weight 0. What is left is compiled into one Spark column expression, so
-scoring is a projection.
-
-Results: null texts count as empty; an empty text has all statistics 0 and the score that the rules give it; rows
-that repeat each other get the same score. With fewer than two labels to learn from every score is the base rate
-(0.5 without any row).
+The statistics are Spark column expressions over the whole text. On at most TRAIN_ROWS labelled documents of any
+length from outside the held-out third (drawn by a hash of their ids; the driver sees their statistics only),
+gradient-boosted shallow trees are grown in numpy; every path from a root is a conjunctive rule. A logistic regression
+with an L1 penalty weighs the rules (proximal gradient; the penalty is chosen on a fifth of the rows); most get weight
+0. What is left is compiled into one Spark column expression, so scoring is a projection.
+
+Results: null texts count as empty; texts of any length are taken whole; an empty table gives an empty one; columns of
+any name stay, but for one that is called as the score; an empty text has all statistics 0 and the score that the
+rules give it; rows that repeat each other get the same score. With fewer than two labels to learn from every score is
+the base rate (0.5 without any row).
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from lexgraft.llm.common import WORD, table, under_own_names
 from lexgraft.llm.learn import held_out, sampled
 
-TRAIN_ROWS, TRAIN_CHARS = 8000, 200_000
+TRAIN_ROWS = 8000
 TREES, DEPTH, RATE, BINS, LEAST = 40, 3, 0.3, 24, 5
 THRESHOLD = 0.5
 
@@ -154,7 +155,7 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str]) -> Rules:
 def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Rules:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     stats = statistics(text, *sizes(text))
-    rows = sampled(docs.filter(F.length(text) <= TRAIN_CHARS), labels, label, TRAIN_ROWS, [c.cast("double").alias(f"__{n}") for n, c in stats.items()], id_col)
+    rows = sampled(docs, labels, label, TRAIN_ROWS, [c.cast("double").alias(f"__{n}") for n, c in stats.items()], id_col)
     x = np.array([[r[f"__{n}"] for n in stats] for r in rows]).reshape(len(rows), len(stats))
     return fit(x, np.array([r.y for r in rows], np.int64), list(stats))
 
