@@ -74,3 +74,28 @@ def test_tiling():
     for _ in range(200):
         a, b = ("".join(pick.choices("ab", k=pick.randint(1, 25))) for _ in range(2))
         assert similarity.tiling(a, b, 3) == plain(a, b, 3)
+
+
+def test_sums_of_hashed_vectors_shuffle_no_vector(spark):
+    import numpy as np
+
+    pick = np.random.default_rng(3)
+    table = [(i, pick.normal(size=4).tolist()) for i in range(9)] + [(9, [0.0] * 4), (3, [1.0, 0.0, 0.0, 0.0]), (10, None), (11, [1.0, None, 0.0, 0.0]), (12, [1.0])]
+    units = spark.createDataFrame(table, "vec_id long, vec array<double>")
+    texts = spark.createDataFrame([(i, " ".join(f"w{j}" for j in pick.integers(0, 16, 12))) for i in range(40)] + [(40, None), (41, ""), (42, "w9 w15")], "id int, gloss string")
+    unit = {}
+    for i, v in table:
+        if v and len(v) == 4 and None not in v and any(v):
+            unit[i] = unit.get(i, 0) + np.array(v) / np.linalg.norm(v)
+    want = {}
+    for r in texts.collect():
+        known = [unit[k] for k in {int(w[1:]) for w in (r.gloss or "").split()} if k in unit]
+        if known:
+            want[r.id] = np.sum(known, axis=0)
+    place = lambda w: F.substring(w, 2, 9).cast("long")
+    for limit in (100, 4):  # at once, and in parts
+        df = similarity.HashVectors(units, place, 4, limit).of(texts, "id")
+        got = {r.id: r for r in df.collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[k].vec, want[k], atol=1e-12) and abs(got[k].norm - np.linalg.norm(want[k])) < 1e-9 for k in want)
+        if limit == 100:
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
