@@ -3,7 +3,7 @@ import pytest
 
 from lexgraft.operators import similarity
 from lexgraft.plans import registry, rules
-from lexgraft.sources import files
+from lexgraft.sources import files, tables
 from tests import oracle
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
@@ -81,6 +81,16 @@ def test_lexicon_files_whose_references_are_broken(spark):
     assert sorted(map(tuple, files.check(spark, path, broken).collect())) == [("pointer", "1"), ("sense", "1"), ("sense listed once", "x_y%n 1 1")]
 
 
+def test_large_tables_of_small_files_are_not_broadcast(spark, tmp_path, monkeypatch):
+    rows = spark.range(1000).select("id", F.lit(7).alias("x"))
+    plan = lambda other: spark.range(1000).join(other, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(files.kept(rows))
+    monkeypatch.setattr(files, "SMALL", 100)
+    assert "SortMergeJoin" in plan(files.kept(rows).select("id").distinct())
+    spark.range(1000).selectExpr("id AS p_partkey", "'a b' AS p_name", "'t' AS p_type", "'Brand#1' AS p_brand").write.parquet(str(tmp_path / "part.parquet"))
+    assert "SortMergeJoin" in plan(tables.part_words(spark, str(tmp_path)).withColumnRenamed("key", "id"))
+
+
 def test_files_of_exceptions_are_sorted(spark, tmp_path):
     odd = spark.createDataFrame([(f"s{i * 37 % 100:02d}", ("noun", "verb")[i % 2], "b") for i in range(100)] + [("s00", "noun", "b")], "surface string, pos string, base string")
     files.write_exceptions(odd, str(tmp_path / "exc"))
