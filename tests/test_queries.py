@@ -81,6 +81,17 @@ def test_lexicon_files_whose_references_are_broken(spark):
     assert sorted(map(tuple, files.check(spark, path, broken).collect())) == [("pointer", "1"), ("sense", "1"), ("sense listed once", "x_y%n 1 1")]
 
 
+def test_lexicon_files_of_synsets_with_many_pointers(spark):
+    synset = spark.range(1, 1205).selectExpr("id AS synset_id", "'noun' AS pos", "'g' AS gloss")
+    sense = spark.range(1, 1205).selectExpr("concat('w', id) AS lemma", "'noun' AS pos", "id AS synset_id", "1 AS sense_rank")
+    edge = spark.range(2, 1205).selectExpr("1L AS src", "id AS dst", "'%m' AS pointer", "'synset' AS level", "0 AS ord").union(spark.sql("SELECT 2L, 3L, '!', 'word', 300"))
+    path = files.scratch(spark)
+    files.write_lexicon(path, synset, sense, edge, spark.createDataFrame([("xs", "noun", "x")], "surface string, pos string, base string"))
+    back = files.read_lexicon(spark, path)
+    assert sorted(map(tuple, back["edge"].collect())) == sorted(map(tuple, edge.collect()))
+    assert files.check(spark, path, back).count() == 0
+
+
 def test_large_tables_of_small_files_are_not_broadcast(spark, tmp_path, monkeypatch):
     rows = spark.range(1000).select("id", F.lit(7).alias("x"))
     plan = lambda other: spark.range(1000).join(other, "id")._jdf.queryExecution().executedPlan().toString()
