@@ -1,9 +1,13 @@
-"""Near-duplicates by the exact Jaccard similarity of their sets of shingles.
+"""Near-duplicates by SimHash fingerprints, verified and completed by the exact Jaccard similarity of their sets of shingles.
 
 Two texts are near copies if the sets of their shingles (`width` words, a shorter text is one shingle) have a Jaccard
 similarity of `threshold` or more. Of each group that such links connect the row with the least id stays.
 
 1. Equal sets collapse to their first row (empty and null texts have the empty set).
+   Each other set has a fingerprint of 64 bits. Fingerprints that share a variant of a segment with one bit taken out and
+   differ in RADIUS bits or fewer name a pair; pairs that have the similarity are links, and what they connect is one group.
+   Sets at the threshold differ in up to 17 bits, out of reach of such variants, so all links between different groups
+   that fingerprints can't show are found by steps 2 to 5; pairs within a group are not verified again.
 2. A set's keys are ordered: hashes of 62 bits, with those of crowded buckets after all others. All shingles of all
    texts are counted, in 2^17 buckets of their hashes; a bucket far above the mean holds a passage that many texts
    share. Any fixed order is exact; the counts only decide how many candidates there are. Two sets of the given
@@ -29,7 +33,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexgraft.llm.common import LOWER, components, dropped, under_own_names, written
+from lexgraft.llm import simhash
+from lexgraft.llm.common import LOWER, components, dropped, hamming, under_own_names, written
 from lexgraft.llm.lines import BLOOM, KEY
 from lexgraft.llm.lines import keys as row_keys
 
@@ -37,6 +42,8 @@ SMALL, PASSES = 64, 2
 #: Shingles are counted in 2 ** BUCKET_BITS cells.
 BUCKET_BITS = 17
 FLAG = 1 << 62
+#: Fingerprints that differ in so many bits or fewer name a pair.
+RADIUS = 4
 
 
 def keys_of(text: str | None, width: int) -> np.ndarray:
@@ -50,6 +57,15 @@ def keys_of(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b], 42) >> 2 for a, b in zip(starts, stops, strict=True)), np.int64, len(starts)))
 
 
+def fingerprint(keys: np.ndarray) -> int:
+    """The signed fingerprint of a set of keys: a bit is 1 if over half of the mixed keys have it; in blocks of bounded memory."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(keys), simhash.BLOCK):
+        mixed = keys[at : at + simhash.BLOCK].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        ones += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(keys), bitorder="little").view("<i8")[0])
+
+
 def bucket(keys: np.ndarray) -> np.ndarray:
     return (keys & ((1 << BUCKET_BITS) - 1)).astype(np.int64)
 
@@ -98,7 +114,7 @@ def crowded(rows: DataFrame, width: int) -> np.ndarray:
 
 
 def prefixes(rows: DataFrame, width: int, t: float, full: np.ndarray) -> DataFrame:
-    """rows (id, m1, m2, text) with h1, h2, n, prefix, odd: a hash of 128 bits of the set of keys, its size, its prefix, a parity bitmap of 1,024 bits."""
+    """rows (id, m1, m2, text) with h1, h2, n, fp, prefix, odd: a hash of 128 bits of the set of keys, its size, its fingerprint, its prefix, a parity bitmap of 1,024 bits."""
     carried = rows.sparkSession.sparkContext.broadcast(full)  # a boolean a cell
 
     def found(text: str | None) -> tuple:
@@ -106,9 +122,9 @@ def prefixes(rows: DataFrame, width: int, t: float, full: np.ndarray) -> DataFra
         n, whole = len(keys), xxhash.xxh3_128_intdigest(keys.tobytes())
         size = n - int(np.ceil(n * t - 1e-9)) + 1 if n else 0
         odd = (np.bincount(keys & 1023, minlength=1024) & 1).astype(np.uint8)
-        return (whole >> 64) - (1 << 63), (whole & ((1 << 64) - 1)) - (1 << 63), n, ordered(keys, carried.value)[:size], np.packbits(odd).view(np.int64)
+        return (whole >> 64) - (1 << 63), (whole & ((1 << 64) - 1)) - (1 << 63), n, fingerprint(keys), ordered(keys, carried.value)[:size], np.packbits(odd).view(np.int64)
 
-    return mapped(rows, found, "h1 long, h2 long, n int, prefix array<long>, odd array<long>")
+    return mapped(rows, found, "h1 long, h2 long, n int, fp long, prefix array<long>, odd array<long>")
 
 
 def near(x: str, y: str, t: float) -> Column:
@@ -140,6 +156,27 @@ def verified(rows: DataFrame, distinct: DataFrame, pairs: DataFrame, width: int,
     return found
 
 
+def named_by_prints(distinct: DataFrame) -> DataFrame:
+    """(u, v): pairs of sets whose fingerprints are equal or near, a table.
+
+    Sets of one fingerprint meet its first; of the distinct ones those that share a variant meet each other, in buckets
+    of more than SMALL the bucket's least. So near copies make pairs in proportion to their number.
+    """
+    prints = written(distinct.filter("n > 0").select("row", "fp").withColumn("first", F.min("row").over(Window.partitionBy("fp"))), "prints")
+    keyed = prints.filter("row = first").select("row", "fp", F.explode(F.array(*simhash.variants(RADIUS))).alias("key"))
+    bucket = Window.partitionBy("key")
+    shared = keyed.withColumn("lead", F.min(F.struct("fp", "row")).over(bucket)).withColumn("size", F.count("fp").over(bucket)).filter("size > 1")
+    shared = written(shared, "shared")
+    small, large = shared.filter(F.col("size") <= SMALL).select("key", "row", "fp"), shared.filter(F.col("size") > SMALL)
+    direct = small.join(small.select("key", F.col("row").alias("row_2"), F.col("fp").alias("fp_2")), "key").filter((F.col("fp") < F.col("fp_2")) & simhash.linked(RADIUS))
+    led = large.filter((F.col("fp") != F.col("lead.fp")) & (hamming("fp", "lead.fp") <= RADIUS))
+    pairs = prints.filter("row <> first").select(F.col("first").alias("u"), F.col("row").alias("v"))
+    pairs = pairs.union(direct.select("row", "row_2")).union(led.select("lead.row", "row"))
+    pairs = written(pairs.distinct(), "named")
+    dropped(prints, shared)
+    return pairs
+
+
 def shared_rows(distinct: DataFrame) -> DataFrame:
     """(key, x: (row, n, pos)) of the keys that more than one prefix holds, with the group's lead and size; a table."""
     keyed = distinct.select("row", "n", F.posexplode("prefix").alias("pos", "key"))
@@ -158,12 +195,19 @@ def shared_rows(distinct: DataFrame) -> DataFrame:
 def labelled(rows: DataFrame, distinct: DataFrame, width: int, t: float) -> DataFrame:
     """(row, id, m1, m2, label) of each distinct set: the label is one row of its component."""
     group = Window.partitionBy("key")
+    named = named_by_prints(distinct)
+    links = verified(rows, distinct, named, width, t)
+    dropped(named)
+    one = components(links)
     shared = shared_rows(distinct)
     small, large = shared.filter(F.col("size") <= SMALL).select("key", "x"), shared.filter(F.col("size") > SMALL)
     direct = small.join(small.select("key", F.col("x").alias("y")), "key").filter((F.col("x.row") < F.col("y.row")) & near("x", "y", t))
     led = large.select("key", F.col("lead").alias("x"), F.col("x").alias("y")).filter((F.col("x.row") < F.col("y.row")) & near("x", "y", t))
     pairs = written(direct.union(led).select(F.col("x.row").alias("u"), F.col("y.row").alias("v")).distinct(), "pairs")
-    label = components(verified(rows, distinct, pairs, width, t)).withColumnRenamed("node", "row")
+    # what fingerprints have connected needs no other proof
+    side = lambda c: one.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}"))
+    apart = pairs.join(side("u"), "u", "left").join(side("v"), "v", "left").filter("l_u IS NULL OR l_v IS NULL OR l_u <> l_v").select("u", "v")
+    label = components(links.union(verified(rows, distinct, apart, width, t))).withColumnRenamed("node", "row")
     known = large.select("key", "x", F.col("x.row").alias("row")).join(label, "row", "left").select("key", "x", F.coalesce("label", "row").alias("label"))
     open_ = known.withColumn("low", F.min("label").over(group)).withColumn("high", F.max("label").over(group))
     open_ = written(open_.filter("low <> high").select("key", "x", "label"), "open")
@@ -187,8 +231,8 @@ def keep_one(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: st
     sets = prefixes(docs.select(*own, F.col(text_col).cast("string").alias("text")), width, threshold, crowded(rows, width))
     # the first row of equal sets stands for all: no other of them can be the least of its component
     place = F.struct("none", *KEY)
-    sets = sets.groupBy("h1", "h2").agg(F.min(F.struct(place.alias("place"), "n", "prefix", "odd")).alias("s"))
-    distinct = written(sets.select(F.monotonically_increasing_id().alias("row"), "s.place.none", *(F.col(f"s.place.{k}") for k in KEY), "s.n", "s.prefix", "s.odd"), "distinct")
+    sets = sets.groupBy("h1", "h2").agg(F.min(F.struct(place.alias("place"), "n", "fp", "prefix", "odd")).alias("s"))
+    distinct = written(sets.select(F.monotonically_increasing_id().alias("row"), "s.place.none", *(F.col(f"s.place.{k}") for k in KEY), "s.n", "s.fp", "s.prefix", "s.odd"), "distinct")
     found = labelled(rows, distinct, width, threshold).join(distinct.select("row", "none"), "row")
     kept = found.groupBy("label").agg(F.min(place).alias("place")).select(*(F.col(f"place.{k}").alias(f"__{k}") for k in KEY))
     kept = written(kept, "kept")

@@ -78,3 +78,26 @@ def test_stage_of_the_pipeline_takes_copies_that_four_bits_miss(spark, sf):
     rows = [(1, " ".join(words)), (2, " ".join([*words[:-4], "x", "y", "z", "u"])), (3, " ".join(words[:30]))]
     out = dict(cp.STAGES)["near_dedup"](spark, spark.createDataFrame(rows, "doc_id long, text string"), sf)
     assert sorted(r.doc_id for r in out.collect()) == [1, 3]
+
+
+def test_fingerprints_name_near_copies_and_the_exact_join_only_the_rest(spark, monkeypatch):
+    asked, check = [], shingles.verified
+    monkeypatch.setattr(shingles, "verified", lambda rows, distinct, pairs, width, t: asked.append({(r.u, r.v) for r in pairs.select("u", "v").collect()}) or check(rows, distinct, pairs, width, t))
+    rows = near_copies(random.Random(4), 10, 5) + [(900 + k, " ".join([*(f"long{i}" for i in range(400)), f"end{k}"])) for k in range(6)]
+    assert kept(spark, rows) == brute(rows)
+    by_prints, by_sets = asked[0], asked[1]
+    # long copies that differ in their last word alone are linked by fingerprints and not verified again
+    assert len(by_prints) >= 5 and by_sets and not by_prints & by_sets
+
+
+def test_a_fingerprint_is_the_majority_of_each_bit(monkeypatch):
+    import numpy as np
+
+    from lexgraft.llm import simhash
+
+    keys = shingles.keys_of(" ".join(f"w{i}" for i in range(500)), 5)
+    mixed = [(int(k) * 0x9E3779B97F4A7C15) % (1 << 64) for k in keys]
+    want = sum(1 << b for b in range(64) if 2 * sum(m >> b & 1 for m in mixed) > len(mixed))
+    assert shingles.fingerprint(keys) % (1 << 64) == want
+    monkeypatch.setattr(simhash, "BLOCK", 7)
+    assert shingles.fingerprint(keys) % (1 << 64) == want and shingles.fingerprint(np.zeros(0, np.int64)) == 0
