@@ -114,3 +114,20 @@ def test_near_copies_of_a_hot_line_make_few_pairs(spark, monkeypatch):
     monkeypatch.setattr(lines, "HOT", 28)  # the group of 400 is one that has leaders
     same(spark.createDataFrame(rows, "doc_id long, text string"), rows)
     assert sum(made) < 20 * len(rows)
+
+
+def test_leaders_are_asked_once_by_a_set_of_many_frequent_words(spark, monkeypatch):
+    base = [f"b{i}" for i in range(60)]
+    rows = [(k, " ".join(f"x{k}" if i == k % 60 else w for i, w in enumerate(base))) for k in range(400)]
+    made, real = [], lines.repeated
+
+    def counting(sets, pairs, t):
+        made.append(pairs.count())
+        return real(sets, pairs, t)
+
+    monkeypatch.setattr(lines, "repeated", counting)
+    monkeypatch.setattr(lines, "HOT", 28)
+    sets = lines.distinct_sets(spark.createDataFrame(rows, "doc_id long, text string"), 1, "doc_id", "text")
+    found = lines.led(sets, lines.prefixes(sets, 0.8), 0.8).count()
+    assert len(made) == lines.LEADERS and sum(made) <= len(rows)  # one row a set, not one for each of its frequent words
+    assert found > 0.9 * len(rows)
