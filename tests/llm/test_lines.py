@@ -131,3 +131,11 @@ def test_leaders_are_asked_once_by_a_set_of_many_frequent_words(spark, monkeypat
     found = lines.led(sets, lines.prefixes(sets, 0.8), 0.8).count()
     assert len(made) == lines.LEADERS and sum(made) <= len(rows)  # one row a set, not one for each of its frequent words
     assert found > 0.9 * len(rows)
+
+
+def test_a_text_is_hashed_before_it_is_cut_into_lines(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(lines, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()))
+    lines.distinct_sets(spark.createDataFrame([(1, "a b\nc d")], "doc_id long, body string"), 1, "doc_id", "body")
+    above, below = plans[0].split("Generate ", 1)
+    assert "xxhash64(body" not in above and "xxhash64(body" in below
