@@ -16,7 +16,9 @@ similarity of `threshold` or more. Of each group that such links connect the row
    the rows of shared keys go on.
 4. Groups of up to SMALL sets that share a key are compared pair by pair. In larger ones all are first tried with the
    least; those that still hold more than one component go on to a join of pairs of different components.
-5. A parity bitmap of 1,024 bits rules most pairs out; the rest are verified on all keys of both texts. No link between components is lost.
+5. A parity bitmap of 1,024 bits rules most pairs out, a finer one of two bits a key or more those of large sets; the
+   rest are verified on all keys of both texts. These are joined to the pairs in as many parts as the pairs ask for, so
+   that what is on disk at once follows the texts, however many pairs there are. No link between components is lost.
 
 Results: rows are told apart by their id and a hash of their text, so null and repeated ids are rows like any other;
 among rows of the same id the one whose text has the least hash stays, of rows with the same id and text one; null
@@ -44,6 +46,8 @@ BUCKET_BITS = 17
 FLAG = 1 << 62
 #: Fingerprints that differ in so many bits or fewer name a pair.
 RADIUS = 4
+#: Bits of the coarse parity bitmap. A part of the verification joins 1 / SHARE as many keys to pairs as all texts have.
+COARSE, SHARE = 1024, 8
 
 
 def keys_of(text: str | None, width: int) -> np.ndarray:
@@ -76,6 +80,12 @@ def ordered(keys: np.ndarray, crowded: np.ndarray) -> np.ndarray:
     return np.concatenate([keys[~last], keys[last] | FLAG])
 
 
+def parities(keys: np.ndarray, bits: int) -> np.ndarray:
+    """A bitmap of so many bits, a power of two, as longs: a bit is the parity of the number of keys that fall on it."""
+    odd = (np.bincount(keys & (bits - 1), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
 def mapped(rows: DataFrame, found: Callable[[str | None], tuple], schema: str) -> DataFrame:
     """rows (.., text) without the text, and with what found(text) gives for the columns of schema."""
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
@@ -114,17 +124,19 @@ def crowded(rows: DataFrame, width: int) -> np.ndarray:
 
 
 def prefixes(rows: DataFrame, width: int, t: float, full: np.ndarray) -> DataFrame:
-    """rows (id, m1, m2, text) with h1, h2, n, fp, prefix, odd: a hash of 128 bits of the set of keys, its size, its fingerprint, its prefix, a parity bitmap of 1,024 bits."""
+    """rows (id, m1, m2, text) with h1, h2, n, fp, prefix, odd, fine: a hash of 128 bits of the set of keys, its size, its
+    fingerprint, its prefix, its parity bitmap of COARSE bits, and of two bits a key or more where that is larger (else null)."""
     carried = rows.sparkSession.sparkContext.broadcast(full)  # a boolean a cell
 
     def found(text: str | None) -> tuple:
         keys = keys_of(text, width)
         n, whole = len(keys), xxhash.xxh3_128_intdigest(keys.tobytes())
         size = n - int(np.ceil(n * t - 1e-9)) + 1 if n else 0
-        odd = (np.bincount(keys & 1023, minlength=1024) & 1).astype(np.uint8)
-        return (whole >> 64) - (1 << 63), (whole & ((1 << 64) - 1)) - (1 << 63), n, fingerprint(keys), ordered(keys, carried.value)[:size], np.packbits(odd).view(np.int64)
+        bits = 1 << (2 * n - 1).bit_length() if n else 0
+        fine = parities(keys, bits) if bits > COARSE else None
+        return (whole >> 64) - (1 << 63), (whole & ((1 << 64) - 1)) - (1 << 63), n, fingerprint(keys), ordered(keys, carried.value)[:size], parities(keys, COARSE), fine
 
-    return mapped(rows, found, "h1 long, h2 long, n int, fp long, prefix array<long>, odd array<long>")
+    return mapped(rows, found, "h1 long, h2 long, n int, fp long, prefix array<long>, odd array<long>, fine array<long>")
 
 
 def near(x: str, y: str, t: float) -> Column:
@@ -137,11 +149,17 @@ def near(x: str, y: str, t: float) -> Column:
 def verified(rows: DataFrame, distinct: DataFrame, pairs: DataFrame, width: int, t: float) -> DataFrame:
     """The pairs (u, v, ..) whose texts have the similarity."""
     # the keys of one text alone flip bits: no more may differ than the similarity allows
-    side = lambda c: distinct.select(F.col("row").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}"))
-    both = pairs.join(side("u"), "u").join(side("v"), "v")
+    own = pairs.columns
+    side = lambda c, odd: distinct.select(F.col("row").alias(c), F.col("n").alias(f"n_{c}"), F.col(odd).alias(f"odd_{c}"))
+    both = lambda odd: pairs.select(*own).join(side("u", odd), "u").join(side("v", odd), "v")
     differ = F.aggregate(F.zip_with("odd_u", "odd_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
     n = F.col("n_u") + F.col("n_v")
-    pairs = written(both.filter(differ <= n - 2 * F.ceil(n * (t / (1 + t)) - 1e-9)).select(*pairs.columns), "likely")
+    alike = differ <= n - 2 * F.ceil(n * (t / (1 + t)) - 1e-9)
+    coarse = pairs = written(both("odd").filter(alike).select(*own, "n_u", "n_v"), "likely")
+    if not pairs.filter(2 * F.greatest("n_u", "n_v") > COARSE).isEmpty():
+        finer = both("fine").withColumns({"odd_u": folded("odd_u", "odd_v"), "odd_v": folded("odd_v", "odd_u")})
+        pairs = written(finer.filter(F.col("odd_u").isNull() | F.col("odd_v").isNull() | alike).select(*own, "n_u", "n_v"), "likely")
+        dropped(coarse)
     wanted = pairs.select(F.col("u").alias("row")).union(pairs.select("v")).distinct()
     wanted = written(distinct.select("row", *KEY).join(wanted, "row"), "wanted")
     # numbers are never negative: the optimizer makes Bloom filters only of a side that has some condition
@@ -149,13 +167,29 @@ def verified(rows: DataFrame, distinct: DataFrame, pairs: DataFrame, width: int,
     # of rows with the same id and text one is read; the join has put them together
     met = met.withColumn("copy", F.row_number().over(Window.partitionBy(*KEY).orderBy(*KEY))).filter("copy = 1").select("row", "text")
     sets = written(mapped(met, lambda text: (keys_of(text, width),), "keys array<long>"), "sets", BLOOM)
-    both = pairs.join(sets.select(F.col("row").alias("u"), F.col("keys").alias("mine")), "u").join(sets.select(F.col("row").alias("v"), "keys"), "v")
     common = F.size(F.array_intersect("mine", "keys"))
-    found = written(both.filter(common >= t * (F.size("mine") + F.size("keys") - common) - 1e-9).drop("mine", "keys"), "verified")
+    asked, held = pairs.agg(F.sum("n_u")).first()[0] or 0, distinct.agg(F.sum("n")).first()[0] or 1
+    found, parts = None, max(1, -(-SHARE * asked // held))
+    for k in range(parts):
+        part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)) == k  # noqa: E731, B023
+        some = pairs.select(*own).filter(part("u"))
+        # conditions and Bloom filters: no other sets are shuffled
+        mine = sets.filter(part("row")).select(F.col("row").alias("u"), F.col("keys").alias("mine"))
+        other = sets.join(written(some.select(F.col("v").alias("row")).distinct(), "wanted").filter("row >= 0"), "row") if parts > 1 else sets
+        both = some.join(mine, "u").join(other.select(F.col("row").alias("v"), "keys"), "v")
+        more = written(both.filter(common >= t * (F.size("mine") + F.size("keys") - common) - 1e-9).select(*own), "verified", BLOOM)
+        found = more if found is None else found.union(more)
     dropped(pairs, wanted, sets)
     return found
 
 
+def folded(odd: str, other: str) -> Column:
+    """The bitmap in as few bits as the other has: halves of one are laid upon each other. Sizes of pairs differ by a factor of two at most."""
+    half = F.size(odd) / 2
+    first, second = F.slice(odd, F.lit(1), half.cast("int")), F.slice(odd, (half + 1).cast("int"), half.cast("int"))
+    return F.when(F.size(odd) > F.size(other), F.zip_with(first, second, lambda a, b: a.bitwiseXOR(b))).otherwise(F.col(odd))
+
+
 def named_by_prints(distinct: DataFrame) -> DataFrame:
     """(u, v): pairs of sets whose fingerprints are equal or near, a table.
 
@@ -231,8 +265,8 @@ def keep_one(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: st
     sets = prefixes(docs.select(*own, F.col(text_col).cast("string").alias("text")), width, threshold, crowded(rows, width))
     # the first row of equal sets stands for all: no other of them can be the least of its component
     place = F.struct("none", *KEY)
-    sets = sets.groupBy("h1", "h2").agg(F.min(F.struct(place.alias("place"), "n", "fp", "prefix", "odd")).alias("s"))
-    distinct = written(sets.select(F.monotonically_increasing_id().alias("row"), "s.place.none", *(F.col(f"s.place.{k}") for k in KEY), "s.n", "s.fp", "s.prefix", "s.odd"), "distinct")
+    sets = sets.groupBy("h1", "h2").agg(F.min(F.struct(place.alias("place"), "n", "fp", "prefix", "odd", "fine")).alias("s"))
+    distinct = written(sets.select(F.monotonically_increasing_id().alias("row"), "s.place.none", *(F.col(f"s.place.{k}") for k in KEY), "s.n", "s.fp", "s.prefix", "s.odd", "s.fine"), "distinct")
     found = labelled(rows, distinct, width, threshold).join(distinct.select("row", "none"), "row")
     kept = found.groupBy("label").agg(F.min(place).alias("place")).select(*(F.col(f"place.{k}").alias(f"__{k}") for k in KEY))
     kept = written(kept, "kept")

@@ -1,7 +1,9 @@
 import random
 import re
 
+import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from lexgraft.llm import shingles
 
@@ -101,3 +103,26 @@ def test_a_fingerprint_is_the_majority_of_each_bit(monkeypatch):
     assert shingles.fingerprint(keys) % (1 << 64) == want
     monkeypatch.setattr(simhash, "BLOCK", 7)
     assert shingles.fingerprint(keys) % (1 << 64) == want and shingles.fingerprint(np.zeros(0, np.int64)) == 0
+
+
+def test_large_sets_that_are_not_alike_are_ruled_out_before_their_keys_are_joined(spark, monkeypatch):
+    wanted, write = [], shingles.written
+    monkeypatch.setattr(shingles, "written", lambda df, name, conf=None: wanted.append(df.count()) or write(df, name, conf) if name == "wanted" else write(df, name, conf))
+    common = [f"c{i}" for i in range(1800)]
+    docs = spark.createDataFrame([(k, " ".join(common + [f"k{k}w{i}" for i in range(1200)])) for k in range(5)], "id long, text string")
+    rows = docs.select("id", F.xxhash64("text").alias("m1"), F.lit(0).cast("long").alias("m2"), "text")
+    distinct = write(shingles.prefixes(rows, 5, 0.8, np.zeros(1 << shingles.BUCKET_BITS, bool)).withColumn("row", F.col("id")), "distinct")
+    pairs = spark.createDataFrame([(a, b) for a in range(5) for b in range(a)], "u long, v long")
+    assert shingles.verified(rows, distinct, pairs, 5, 0.8).count() == 0
+    assert wanted == [0]  # 1,024 bits can't tell sets of 3,000 keys apart
+
+
+def test_pairs_are_verified_in_parts_and_bitmaps_of_two_sizes_meet(spark, monkeypatch):
+    made, write = [], shingles.written
+    monkeypatch.setattr(shingles, "written", lambda df, name, conf=None: made.append(name) or write(df, name, conf))
+    monkeypatch.setattr(shingles, "SHARE", 20)
+    rows = near_copies(random.Random(5), 12, 6)
+    base = [f"long{i}" for i in range(4110)]  # 4,094 and 4,106 keys: 8,192 and 16,384 bits
+    rows += [(900, " ".join(base)), (901, " ".join(base[:4098])), (902, " ".join(base[:2000]))]
+    assert kept(spark, rows) == brute(rows)
+    assert made.count("verified") > 4  # three calls of one part each before
