@@ -1,3 +1,5 @@
+import re
+
 from lexgraft.functions import text as T
 from lexgraft.operators import graph, lookup, similarity
 from pyspark.sql import functions as F
@@ -99,3 +101,17 @@ def test_sums_of_hashed_vectors_shuffle_no_vector(spark):
         assert got.keys() == want.keys() and all(np.allclose(got[k].vec, want[k], atol=1e-12) and abs(got[k].norm - np.linalg.norm(want[k])) < 1e-9 for k in want)
         if limit == 100:
             assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_without_a_run_of_the_left_ones_are_not_shuffled(spark, monkeypatch):
+    rows, real = [], similarity.kept
+    monkeypatch.setattr(similarity, "kept", lambda df: rows.append(df.count()) or real(df))
+    left = spark.createDataFrame([(1, "The quick brown fox jumps"), (2, "two words"), (3, None), (4, "")], "id long, text string")
+    texts = ["a QUICK  brown fox jumped", "quick brown dog", "Two words", "two words more", "", None, "brown fox jumps\tover", " the quick brown "]
+    right = spark.createDataFrame(list(enumerate([*texts, *(f"other {k} words here" for k in range(200))])), "id long, text string")
+    got = {(r.left_id, r.right_id): r.score for r in similarity.tiling_pairs(left, right).collect()}
+    split = lambda t: re.split(r"\s+", t.lower())
+    runs = lambda t: {" ".join(w[i : i + 3]) for w in [split(t)] for i in range(max(1, len(w) - 2))}
+    want = {(a.id, b.id): similarity.tiling(a.text, b.text, 5) for a in left.collect() for b in right.collect() if a.text is not None and b.text is not None and runs(a.text) & runs(b.text)}
+    assert got == want and len(want) > 4
+    assert rows[-1] < 12  # the others went before
